@@ -42,3 +42,35 @@ def normalised(text: Column) -> Column:
 def fingerprint(value: Column) -> list[Column]:
     """128 bits as two longs of different seeds; at 10^12 distinct values a collision has odds below 10^-14."""
     return [F.xxhash64(value), F.xxhash64(F.lit(7), value)]
+
+
+def map_texts(docs: DataFrame, function, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), max_bytes: int = 8 << 20) -> DataFrame:
+    """Apply ``function`` (a dict of column lists to a dict of column lists) to slices of about ``max_bytes`` of text, so that a worker's memory doesn't follow the batch size. Null texts come as empty ones. One text is never split."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < batch.num_rows:
+                stop, room = start + 1, max_bytes - sizes[start]
+                while stop < batch.num_rows and room >= sizes[stop]:
+                    room -= sizes[stop]
+                    stop += 1
+                part = batch.slice(start, stop - start)
+                out = function({c: [x or "" for x in part.column(c).to_pylist()] if c == "text" else part.column(c).to_pylist() for c in columns})
+                yield pa.RecordBatch.from_arrays([out[c] if isinstance(out[c], pa.Array) else pa.array(out[c], type=types[c]) for c in names], names=names)
+                start = stop
+
+    types = _arrow_types(docs.sparkSession, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def _arrow_types(spark: SparkSession, schema: str) -> dict:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    return {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}

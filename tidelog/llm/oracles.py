@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .secret_scan import INNER, LEAST_VALUE, MARK, OTHER, PART, PATTERNS, STRONG
+
 OP3 = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -33,7 +35,48 @@ SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGIN
 FROM judged GROUP BY doc_id
 """
 
+
+
+def _op7(scope: int = 400) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda kinds: ", ".join(quoted(k) for k in kinds)
+    pieces = [
+        f"""SELECT doc_id, {quoted(kind)} AS kind, {rank} AS rank, {LEAST_VALUE.get(kind, 0)} AS least,
+                   unnest(string_split(marked, chr({ord(MARK)}))) AS p, unnest(range(len(string_split(marked, chr({ord(MARK)}))))) AS i
+            FROM (SELECT doc_id, regexp_replace(text, {quoted(pattern)}, chr({ord(MARK)}) || '\\1' || chr({ord(INNER)}) || '\\2' || chr({ord(MARK)}), 'g') AS marked FROM t)"""
+        for rank, (kind, pattern) in enumerate(PATTERNS.items())
+    ]
+    has = lambda *parts: f"coalesce(max(CASE WHEN kind IN ({listed(k for k in PATTERNS if PART[k] in parts)}) THEN 1 END) OVER near, 0) = 1"
+    return f"""
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), chr({ord(MARK)}) || chr({ord(INNER)}), chr({ord(OTHER)}) || chr({ord(OTHER)})) AS text FROM documents
+), pieces AS ({" UNION ALL ".join(pieces)}), cut AS (
+  SELECT doc_id, kind, rank, least, i, strpos(p, chr({ord(INNER)})) AS inner_at, length(p) AS whole FROM pieces
+), placed AS (
+  SELECT *, whole - (CASE WHEN inner_at > 0 THEN 1 ELSE 0 END) AS n FROM cut
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM placed
+), parts AS (
+  SELECT doc_id, kind, rank, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM summed WHERE inner_at > 0 AND whole - inner_at >= least
+), linked AS (
+  SELECT *, CASE WHEN kind = 'weak_secret' THEN {has("identifier", "endpoint")} ELSE {has("secret")} END AS linked,
+         coalesce(max(CASE WHEN kind IN ({listed(STRONG)}) THEN stop END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) > start AS inside
+  FROM parts WINDOW near AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {scope} PRECEDING AND {scope} FOLLOWING)
+), found AS (
+  SELECT *, kind || ':' || start || ':' || stop AS span FROM linked WHERE kind IN ({listed(STRONG)}) OR (linked AND NOT inside)
+), lists AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({listed(STRONG)})) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id
+"""
+
+
 ORACLES = {
     "op3_exact_dedup": OP3,
+    "op7_secret_scan": _op7(),
     "op10_line_dedup": OP10,
 }
