@@ -36,6 +36,29 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] END AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), both_sides AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x.a, x.b FROM both_sides x JOIN sizes p ON p.doc_id = x.a JOIN sizes q ON q.doc_id = x.b WHERE 100 * x.n >= 80 * (p.n + q.n - x.n)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least_id AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN least_id m ON m.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
 
 def _op7(scope: int = 400) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -78,5 +101,6 @@ FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id
 ORACLES = {
     "op3_exact_dedup": OP3,
     "op7_secret_scan": _op7(),
+    "op9_minhash_dedup": OP9,
     "op10_line_dedup": OP10,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import piece_codec
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .minhash_dedup import minhash_dedup
 from .secret_scan import secret_scan
 from .token_counts import token_counts
 
@@ -37,6 +38,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).drop("found")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(documents(spark, sf_dir), words=4)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -46,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secret_scan": op7_secret_scan,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
