@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
 from .secret_scan import secret_scan
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -38,6 +39,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).drop("found")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(documents(spark, sf_dir), words=4)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secret_scan": op7_secret_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
