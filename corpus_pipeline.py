@@ -1,13 +1,65 @@
-"""Corpus pipeline: each stage takes what its predecessor kept."""
+"""Corpus pipeline: quality rules, exact dedup, near-dedup, redaction of secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm.common import materialize
+from tidelog.llm.exact_dedup import keep_first
+from tidelog.llm.minhash_dedup import keep_one
+from tidelog.llm.packing import best_fit
+from tidelog.llm.quality_rules import fit, keep_quality
+from tidelog.llm.secret_scan import redact
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
+    return keep_first(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one stays."""
+    return keep_one(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a marker; n_chars follows the text."""
+    redacted = redact(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and the bins that they are packed in."""
+    return best_fit(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_dedup", near_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: A trained model and greedy packing can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``; what each keeps is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -48,6 +48,22 @@ def name_texts(texts: DataFrame, block_chars: int = 4096) -> DataFrame:
     return out
 
 
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """The columns with the normalised text, its length and its fingerprint."""
+    return docs.select(*columns, normalised(text_of()).alias("norm")).withColumn("n", F.length("norm")).withColumn("fp", F.xxhash64("norm"))
+
+
+def _shared(digest: DataFrame) -> DataFrame:
+    return materialize(digest.groupBy("n", "fp").count().filter("count > 1").select("n", "fp"))
+
+
+def _grouped(texts: DataFrame, block_chars: int) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (rid, doc_id, norm, more): (the rows with their names, the first row and the size of each group of equal texts)."""
+    named = materialize(texts.drop("norm").join(name_texts(texts.select("rid", "norm"), block_chars), "rid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    return named, materialize(named.groupBy("level", "name").agg(first, F.count("*").alias("group_size")))
+
+
 def exact_dedup(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
     """``docs`` (doc_id, text, more) to one row per row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -56,16 +72,21 @@ def exact_dedup(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
     group without any id (then keep_id is null). Repeated rows count as copies: exactly one row of a group is kept,
     even when doc_ids repeat. Other columns of ``docs`` are not read. An empty table gives an empty table.
     """
-    norm = normalised(text_of())
-    keyed = docs.select("doc_id", norm.alias("norm")).select("doc_id", "norm", F.length("norm").alias("n"), F.xxhash64("norm").alias("fp"))
-    digest = materialize(keyed.select("doc_id", "n", "fp", F.sha2("norm", 256).alias("text_sha256")))
-    shared = materialize(digest.groupBy("n", "fp").count().filter("count > 1").select("n", "fp"))
+    digest = materialize(_keyed(docs, "doc_id").select("doc_id", "n", "fp", F.sha2("norm", 256).alias("text_sha256")))
+    shared = _shared(digest)
     alone = digest.join(shared, ["n", "fp"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-
-    texts = materialize(keyed.join(shared, ["n", "fp"], "left_semi").select("doc_id", "norm", F.monotonically_increasing_id().alias("rid")))
-    named = texts.select("rid", "doc_id", F.sha2("norm", 256).alias("text_sha256")).join(name_texts(texts.select("rid", "norm"), block_chars), "rid")
-    named = materialize(named)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    groups = materialize(named.groupBy("level", "name").agg(first, F.count("*").alias("group_size")))
+    texts = materialize(_keyed(docs, "doc_id").join(shared, ["n", "fp"], "left_semi").select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("rid")))
+    named, groups = _grouped(texts, block_chars)
     copies = named.join(groups, ["level", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
     return alone.unionByName(copies)
+
+
+def keep_first(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    shared = _shared(_keyed(docs))
+    keyed = _keyed(docs.select(F.struct("*").alias("doc"), "text"), "doc")
+    alone = keyed.join(shared, ["n", "fp"], "left_anti").select("doc.*")
+    texts = materialize(keyed.join(shared, ["n", "fp"], "left_semi").select("doc", F.col("doc.doc_id").alias("doc_id"), "norm", F.monotonically_increasing_id().alias("rid")))
+    _, groups = _grouped(texts.select("rid", "doc_id", "norm"), block_chars)
+    firsts = texts.join(groups.select(F.col("first.rid").alias("rid")), "rid", "left_semi").select("doc.*")
+    return alone.unionByName(firsts)

@@ -130,7 +130,7 @@ def near_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, words: int
 
 
 def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` (doc_id, text, more) to one row per row: doc_id, n_shingles, component_id, kept.
+    """``docs`` (doc_id, text, more) to one row per row: doc_id, n_shingles, component_id, kept, text_hash.
 
     A document's set has the distinct runs of ``words`` words (A-Z in lower case); with fewer words, one run of all.
     Two documents are linked when 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id that
@@ -149,6 +149,14 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     labelled = materialize(classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     firsts = labelled.groupBy("component").agg(F.min("first").alias("first"))
     owners = materialize(labelled.drop("first").join(firsts, "component").select("hi", "lo", "first"))
-    linked = full.join(owners, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    linked = full.join(owners, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"), "text_hash")
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``minhash_dedup`` keeps, with all their columns. Rows that repeat doc_id and text stay or go together."""
+    judged = minhash_dedup(docs, words, percent)
+    gone = materialize(judged.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("r_id"), F.xxhash64(text_of()).alias("r_hash"))
+    return rows.join(gone, (F.col("r_hash") == F.col("g_hash")) & F.col("r_id").eqNullSafe(F.col("g_id")), "left_anti").select("doc.*")

@@ -23,6 +23,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 DIGITS, CAPITALS = b"0123456789", bytes(range(65, 91))
 RUN = 5
+FEATURES = 11
 
 
 def repeat_words(words: np.ndarray) -> int:
@@ -72,10 +73,10 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(words), len(data)
         symbols = sum(map(line.count, SYMBOLS))
         last = data[-1:]
-        rows.append((1.0, min(n, 50) / 50, float(n < 3), min(symbols / n, 2.0), float(symbols > 0), (size - len(data.translate(None, DIGITS))) / size, (size - len(data.translate(None, CAPITALS))) / size, min(size / n, 20) / 10, float(last in b".!?"), float(line in seen)))
+        rows.append((1.0, min(n, 50) / 50, float(n < 3), min(symbols / n, 2.0), float(symbols > 0), (size - len(data.translate(None, DIGITS))) / size, (size - len(data.translate(None, CAPITALS))) / size, min(size / n, 20) / 10, float(last in b".!?"), float(line in seen), float(n > 4 and not symbols)))
         seen.add(line)
         sizes.append(size)
-    return np.array(rows, np.float64).reshape(len(rows), 10), np.array(sizes, np.float64)
+    return np.array(rows, np.float64).reshape(len(rows), FEATURES), np.array(sizes, np.float64)
 
 
 @dataclass(frozen=True)
@@ -105,9 +106,9 @@ class LineField:
         return np.array(path[::-1], np.int8)
 
 
-def train(sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.5, decay: float = 1e-3) -> LineField:
+def train(sequences: list[np.ndarray], labels: list[int], steps: int = 80, rate: float = 1.0, decay: float = 1e-3) -> LineField:
     """Gradient ascent on the mean log-likelihood of a line; all lines of a sequence have its label."""
-    size = sequences[0].shape[1] if sequences else 10
+    size = sequences[0].shape[1] if sequences else FEATURES
     emission, transition = np.zeros((2, size)), np.zeros((2, 2))
     by_length: dict[int, list[int]] = defaultdict(list)
     for i, s in enumerate(sequences):
@@ -115,12 +116,10 @@ def train(sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate
             by_length[len(s)].append(i)
     groups = [(np.stack([sequences[i] for i in rows]), np.array([labels[i] for i in rows])) for rows in by_length.values()]
     total = sum(x.shape[0] * x.shape[1] for x, _ in groups)
-    # Both labels weigh the same, however many lines they have.
-    share = [max(sum(x[y == c].shape[0] * x.shape[1] for x, y in groups), 1) / max(total, 1) for c in (0, 1)]
-    for _ in range(steps if total and min(share) < 1 else 0):
+    speed_e, speed_t = np.zeros_like(emission), np.zeros_like(transition)
+    for _ in range(steps if total else 0):
         grad_e, grad_t = np.zeros_like(emission), np.zeros_like(transition)
         for x, y in groups:
-            weight = 1 / (2 * np.array(share)[y] * total)
             e = x @ emission.T
             n, length, _ = e.shape
             fore, aft = np.zeros((length, n, 2)), np.zeros((length, n, 2))
@@ -133,12 +132,14 @@ def train(sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate
             norm = np.logaddexp(fore[-1][:, 0], fore[-1][:, 1])
             node = np.exp(fore + aft - norm[None, :, None])
             truth = np.eye(2)[y]
-            grad_e += np.einsum("n,nlf,lnk->kf", weight, x, truth[None] - node)
+            grad_e += np.einsum("nlf,lnk->kf", x, truth[None] - node) / total
             for t in range(1, length):
                 pair = np.exp(fore[t - 1][:, :, None] + transition + (e[:, t] + aft[t])[:, None, :] - norm[:, None, None])
-                grad_t += np.einsum("n,nij->ij", weight, truth[:, :, None] * truth[:, None, :] - pair)
-        emission += rate * 10 * (grad_e - decay * emission)
-        transition += rate * (grad_t - decay * transition)
+                grad_t += (truth[:, :, None] * truth[:, None, :] - pair).sum(axis=0) / total
+        speed_e = 0.9 * speed_e + rate * (grad_e - decay * emission)
+        speed_t = 0.9 * speed_t + rate * 0.2 * (grad_t - decay * transition)
+        emission += speed_e
+        transition += speed_t
     return LineField(emission, transition)
 
 
