@@ -1,0 +1,21 @@
+import corpus_pipeline
+
+
+def test_stages_hand_on_documents(spark, docs, tmp_path):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "minhash_dedup", "secret_scan", "best_fit_packing"]
+    secret = spark.createDataFrame([(900, "one two three four five six seven eight nine ten token=abcdefgh", "s")], "doc_id bigint, text string, source string")
+    rows = docs.select("doc_id", "text", "source").unionByName(secret)
+    kept, sizes = rows, [rows.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == rows.columns
+        kept = kept.cache()
+        sizes.append(kept.count())
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    assert texts[900].endswith("ten <secret>")
+    assert 7 in texts and not {8, 9, 10} & set(texts)
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+    assert {r["doc_id"] for r in packed.collect()} == set(texts)
