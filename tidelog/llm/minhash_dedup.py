@@ -4,13 +4,16 @@ Under each permutation both the smallest and the largest value of a set are kept
 hash evaluations. 64 bands of 7 values (32 of minima, 32 of maxima) find a pair at a similarity of 0.8 except with
 odds of 3e-7. Links are confirmed on the full shingle sets.
 
-Texts of equal sets are one class from the start. Pairs in a bucket are never all listed: in each round a class is
-held only against the most central class of its buckets, one candidate a class, and what gets linked is one component
-from then on. Only pairs of different components that still share a bucket are listed at the end.
+Texts of equal sets are one class from the start. Pairs in a bucket are never all listed: first a class is held only
+against the most central class of its buckets, one candidate a class, and what gets linked is one component from then
+on. At the end only pairs of different components that still share a bucket are listed, and of these only the ones
+which a bound on the intersection (1024 bits a set) leaves possible.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,9 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 64, 7
+WORDS_OF_BITS = 16
+#: Up to so many ids of documents (16 bytes each) are broadcast to filter texts before their shuffle; beyond, all texts are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def min_max_bands(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -65,68 +71,75 @@ def _shared_buckets(bands: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(cid, shingles) of ``members`` (cid, doc_id, text_hash), from the whole texts."""
+    """(cid, shingles, bits) of ``members`` (cid, doc_id, text_hash), from the whole texts; bits has a bit for each of 1024 classes of hashes that the set touches."""
     wanted = members.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "cid")
     read = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = read.join(wanted, (F.col("text_hash") == F.col("m_hash")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("cid", "text")
+    same = (F.col("text_hash") == F.col("m_hash")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    if members.count() <= MOST_BROADCAST:
+        read = read.join(F.broadcast(wanted.select("m_id", "m_hash")), same, "left_semi")
+    texts = read.join(wanted, same).select("cid", "text")
+
+    def bits(s: np.ndarray) -> np.ndarray:
+        touched = np.zeros(64 * WORDS_OF_BITS, bool)
+        touched[s % np.uint64(len(touched))] = True
+        return np.packbits(touched).view(np.int64)
 
     def run(rows: dict) -> dict:
-        return {"cid": rows["cid"], "shingles": [s.view(np.int64) for s in shingle_sets(rows["text"], words)]}
+        sets = shingle_sets(rows["text"], words)
+        return {"cid": rows["cid"], "shingles": [s.view(np.int64) for s in sets], "bits": [bits(s) for s in sets]}
+
+    return materialize(map_texts(texts, run, "cid bigint, shingles array<bigint>, bits array<bigint>", ("cid", "text")))
 
-    return materialize(map_texts(texts, run, "cid bigint, shingles array<bigint>", ("cid", "text")))
+
+def _possible(percent: int) -> str:
+    """Whether rows a and b (n, bits) can be similar enough: a class that only one set touches costs it a shingle at least, so the intersection has a bound."""
+    only = lambda x, y: " + ".join(f"bit_count({x}.bits[{i}] & ~{y}.bits[{i}])" for i in range(WORDS_OF_BITS))
+    return f"{100 + percent} * least(a.n - ({only('a', 'b')}), b.n - ({only('b', 'a')})) >= {percent} * (a.n + b.n)"
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose sets' intersection is ``percent`` of their union or more."""
+    """Of ``pairs`` (a, b, more), those whose sets' intersection is ``percent`` of their union or more."""
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return materialize(pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * union).select("a", "b"))
+    return materialize(pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * union).select(*pairs.columns))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` (key, cid, n, degree, component), those that aren't in the component of their bucket's hub, the class that shares the most buckets; with the hub."""
+    hubs = rows.groupBy("key").agg(F.max(F.struct("degree", "cid", "component", "n")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(materialize(hubs.filter("low < high").select("key", "hub")), "key").filter(F.col("component") != F.col("hub.component"))
 
 
-def _cross_pairs(labelled: DataFrame) -> int:
-    """How many pairs of different components share a bucket, pairs in several buckets as often."""
-    each = labelled.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    return int(each.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0)
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the components that ``links`` (ca, cb: components) make."""
+    joined = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return materialize(rows.join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined"))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, words: int, percent: int, star_rounds: int = 4) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, words: int, percent: int, hub_rounds: int = 2) -> DataFrame:
     """Links (a, b) between classes that join all that is connected: every pair of classes that shares a bucket is confirmed, refused, or already in one component."""
     buckets = _shared_buckets(bands)
     degree = buckets.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("degree"))
     members = materialize(degree.join(classes, "cid"))
     sets = _full_sets(docs, members, words)
-    size = members.select("cid", "n", "degree")
-    buckets = materialize(buckets.join(size, "cid").select("key", "cid", "n", "degree", F.col("cid").alias("component")))
-    links = tried = None
-    for last in [False] * star_rounds + [True]:
-        spread = buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", "cid", "component", "n")).alias("hub")).filter("low < high")
-        open_rows = materialize(buckets.join(spread.select("key", "hub"), "key"))
-        total, rows = _cross_pairs(open_rows), open_rows.count()
-        if not total:
-            break
-        last = last or total <= 4 * rows
-        if last:
-            one = open_rows.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            two = open_rows.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = one.join(two, "key").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")))
-        else:
-            apart = open_rows.filter(F.col("component") != F.col("hub.component"))
-            best = apart.groupBy("cid", "n").agg(F.max("hub").alias("hub"))
-            pairs = best.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-        pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        found = _confirmed(pairs, sets, percent)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        joined = components(links)
-        buckets = materialize(buckets.select("key", "cid", "n", "degree").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", "degree", F.coalesce("component", "cid").alias("component")))
-    return links if links is not None else bands.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    rows = materialize(buckets.join(members.select("cid", "n", "degree"), "cid").select("key", "cid", "n", "degree", F.col("cid").alias("component")))
+    near_size = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    found, left = [], rows
+    for _ in range(hub_rounds):
+        left = materialize(_apart(left))
+        best = left.filter(near_size("n", "hub.n")).groupBy("cid").agg(F.max(F.struct("hub", "component")).alias("best"))
+        pairs = best.select(F.col("cid").alias("a"), F.col("best.hub.cid").alias("b"), F.col("best.component").alias("ca"), F.col("best.hub.component").alias("cb"))
+        links = _confirmed(pairs, sets, percent)
+        found.append(links)
+        rows, left = _relabelled(rows, links), _relabelled(left.drop("hub"), links)
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    rest = materialize(rows.join(materialize(mixed), "key").join(sets.select("cid", "bits"), "cid"))
+    across = F.expr(f"a.key = b.key and a.cid < b.cid and a.component <> b.component and {near_size('a.n', 'b.n')} and {_possible(percent)}")
+    pairs = rest.alias("a").join(rest.alias("b"), across).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"), F.col("a.component").alias("ca"), F.col("b.component").alias("cb")).distinct()
+    found.append(_confirmed(pairs, sets, percent))
+    return reduce(DataFrame.unionByName, [x.select("a", "b") for x in found])
 
 
 def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -142,7 +155,7 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     full = rows.filter("n > 0")
     classes = materialize(full.groupBy("hi", "lo").agg(F.min("rid").alias("cid"), F.min(order).alias("first")))
-    chosen = full.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
+    chosen = materialize(full.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi"))
     bands = chosen.select(F.col("rid").alias("cid"), F.explode("bands").alias("key"))
     links = near_links(docs, chosen.select(F.col("rid").alias("cid"), "doc_id", "text_hash", "n"), bands, words, percent)
     joined = components(links).withColumnRenamed("node", "cid")
