@@ -227,6 +227,18 @@ def _quantile(q: float, name: str) -> str:
     return f"v[(ceil((len(v) - 1) * {q}) + 1)::INTEGER] AS {name}"
 
 
+def _written_back() -> str:
+    name = "Threshold Based Point Detection(nlargest, 3)"
+    return f"""{_series()}, e AS (SELECT s.*, 'ts&ep1&' || param1 AS oid, g.right_edge AS day FROM s JOIN grid g ON g.idx = s.idx WHERE s.property = 'ep1'),
+top AS (SELECT oid, idx FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY value DESC, idx) AS rn FROM e) WHERE rn <= 3),
+edges AS (SELECT idx, right_edge AS day FROM grid UNION ALL SELECT max(idx) + 1, (date_trunc('month', max(right_edge) + 1) + to_months(1) - to_days(1))::DATE FROM grid),
+steps AS (SELECT oid, idx, 1.0 AS value FROM top UNION ALL SELECT t.oid, t.idx + 1, 0.0 FROM top t WHERE NOT EXISTS (SELECT 1 FROM top n WHERE n.oid = t.oid AND n.idx = t.idx + 1))
+SELECT oid, 'tsvalues' AS name, strftime(day, '%Y-%m-%d 00:00:00') AS ts, value FROM e
+UNION ALL SELECT DISTINCT oid, 'tsvalues', '1970-01-01 00:00:00', 0.0 FROM e
+UNION ALL SELECT p.oid, '{name}', strftime(d.day::TIMESTAMP - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S'), p.value::DOUBLE FROM steps p JOIN edges d ON d.idx = p.idx
+UNION ALL SELECT DISTINCT oid, '{name}', '1970-01-01 00:00:00', 0.0 FROM top"""
+
+
 ORACLES: dict[str, str] = {
     **{f"{name}_orders": _property(name) for name in ORDER_PROPERTIES},
     **{f"{name}_events_{word}": _events(rate, name) for name in ("ep1", "ep2") for rate, word in EVENT_RATES.items() if rate != "ME"},
@@ -241,5 +253,6 @@ ORACLES: dict[str, str] = {
     "points_smallest": f"{_series()} SELECT {_OUT} FROM (SELECT *, row_number() OVER ({_KEY} ORDER BY value, idx) AS rn FROM s) WHERE rn <= 3",
     "seasonal_difference": f"{_series()} SELECT {_OUT} FROM (SELECT property, param1, param2, idx, value - lag(value, 12) OVER ({_KEY} ORDER BY idx) AS value FROM s) WHERE value IS NOT NULL",
     "second_difference": f"{_series()} SELECT {_OUT} FROM (SELECT property, param1, param2, idx, value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w AS value FROM s WINDOW w AS ({_KEY} ORDER BY idx)) WHERE value IS NOT NULL",
+    "written_back": _written_back(),
     "drill_down_events": f"WITH {_log(False)}, {_grid('ME')}, asg_e AS ({_times(None, '(SELECT eid, activity, ts AS start, end_ts AS stop FROM ev)')}) SELECT 'ep1' AS property, activity AS param1, eid FROM asg_e",
 }

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assignment import MECHANISMS, assign
+from ..operators.changepoints import change_points
+from ..operators.forecast import accuracy, forecasts, forecasts_with_causes
+from ..operators.granger import granger
 from ..operators.points import changes_beyond, differences, extremes, quantile_points
 from ..operators.preceding import preceding
 from ..operators.properties import Properties
 from ..operators.series import analysable
+from ..operators.stationarity import differenced, orders
+from ..operators.writeback import attribute_name, with_points, with_series
 from ..sources.log import atomic, events_log, orders_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +89,41 @@ def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.event_times.join(ids, p.event_times.activity == ids.param1).select("property", "param1", "eid")
 
 
+def change_point_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_points(order_series(spark, sf_dir))
+
+
+def difference_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(order_series(spark, sf_dir), "ME")
+
+
+def causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Granger causality between the series after their seasonal and first differences, up to four lags."""
+    series = order_series(spark, sf_dir).cache()
+    found = granger(differenced(series, orders(series, "ME")), 4, 0.05)
+    return found.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("caused", "causing") for x in ("property", "param1", "param2")], F.array_join(F.col("lags").cast("array<string>"), ",").alias("lags"))
+
+
+def forecast_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors on the last four months, of forecasts from the months before; with the causes as exogenous series where there are some."""
+    series = order_series(spark, sf_dir).cache()
+    last = series.agg(F.max("idx")).first()[0]
+    train = series.filter(F.col("idx") <= last - 4)
+    periods = orders(train, "ME").cache()
+    causes = granger(differenced(train, periods), 2, 0.05).cache()
+    alone = accuracy(series, forecasts(train, periods), train).withColumn("model", F.lit("alone"))
+    return alone.unionByName(accuracy(series, forecasts_with_causes(train, periods, causes), train).withColumn("model", F.lit("with causes")))
+
+
+def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of the series objects of an enriched log: monthly event counts and their three largest points."""
+    p = Properties(spark, atomic(orders_log(spark, sf_dir)), "ME", "sum")
+    series = p.ep1()
+    log = with_points(with_series(spark, p, series), extremes(analysable(series), 3, largest=True), p.grid, attribute_name("Threshold Based Point Detection", "nlargest", 3))
+    rows = log.object_attrs.filter(F.col("oid").startswith("ts&"))
+    return rows.select("oid", "name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("value"))
+
+
 QUERIES: dict[str, Query] = {
     **{f"{name}_orders": _property(name) for name in ORDER_PROPERTIES},
     **{f"ep1_events_{word}": _events(rate, "ep1") for rate, word in EVENT_RATES.items() if rate != "ME"},
@@ -100,4 +140,9 @@ QUERIES: dict[str, Query] = {
     "seasonal_difference": _points(lambda s: differences(s, 12)),
     "second_difference": _points(lambda s: differences(s, 1, 2)),
     "drill_down_events": drill_down,
+    "change_points": change_point_places,
+    "difference_orders": difference_orders,
+    "causal_pairs": causal_pairs,
+    "forecast_accuracy": forecast_accuracy,
+    "written_back": written_back,
 }
