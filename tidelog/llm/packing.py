@@ -62,7 +62,8 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_r
     """
     text = text_of()
     # A digest: two clusters that shared a name would only be kept apart in vain.
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.xxhash64(normalised(text)).alias("cluster"))
+    # Ids travel as text, since pandas would make floats of integers among nulls.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.xxhash64(normalised(text)).alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
     pieces = F.when(F.col("words") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int")).withColumn("pieces", pieces)
@@ -84,4 +85,5 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_r
         rest.loc[some, "bin_id"] = pd.array([(int(key[0]) << 32) + b for b in bins], "Int64")
         return rest[["doc_id", "piece", "start", "n_words", "bin_id"]]
 
-    return rows.groupBy("shard").applyInPandas(run, f"doc_id {kind}, piece int, start bigint, n_words bigint, bin_id bigint")
+    packed = rows.groupBy("shard").applyInPandas(run, "doc_id string, piece int, start bigint, n_words bigint, bin_id bigint")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(kind))
