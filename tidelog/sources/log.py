@@ -37,8 +37,8 @@ class EventLog:
         return replace(self, events=self.events.withColumn("end_ts", F.coalesce("end_ts", "ts")))
 
     def linked(self) -> DataFrame:
-        """Distinct (eid, oid, otype), whatever the qualifiers."""
-        return self.relations.select("eid", "oid", "otype").distinct()
+        """Distinct (eid, oid, otype), whatever the qualifiers; dealt by event, so that what follows by event needs no other shuffle."""
+        return self.relations.select("eid", "oid", "otype").repartition("eid").distinct()
 
     def lifecycles(self) -> DataFrame:
         """(oid, otype, start, stop, n_events) of each object with an event."""
@@ -76,14 +76,16 @@ def orders_log(spark: SparkSession, sf_dir: str) -> EventLog:
     ended = F.timestamp_micros(F.unix_micros(shipped) + (F.col("l_quantity") * 3_600_000_000).cast("long"))
     events = placed.withColumn("end_ts", F.col("ts")).unionByName(items.select("eid", F.lit("ship item").alias("activity"), shipped.alias("ts"), ended.alias("end_ts")))
 
-    def relation(rows: DataFrame, kind: str, key: str) -> DataFrame:
-        return rows.select("eid", _id(kind, key).alias("oid"), F.lit(kind).alias("otype"), F.lit("").alias("qualifier"))
+    def relation(rows: DataFrame, **keys: str) -> DataFrame:
+        linked = [F.struct(_id(kind, key).alias("oid"), F.lit(kind).alias("otype"), F.lit("").alias("qualifier")) for kind, key in keys.items()]
+        return rows.select("eid", F.inline(F.array(*linked)))
 
-    relations = relation(orders, "order", "o_orderkey").unionByName(relation(orders, "customer", "o_custkey"))
-    for kind, key in (("order", "l_orderkey"), ("part", "l_partkey"), ("supplier", "l_suppkey")):
-        relations = relations.unionByName(relation(items, kind, key))
-    attr = lambda rows, name, column: rows.select("eid", F.lit(name).alias("name"), F.col(column).cast("double").alias("value"))
-    event_attrs = attr(orders, "total price", "o_totalprice").unionByName(attr(items, "quantity", "l_quantity")).unionByName(attr(items, "price", "l_extendedprice"))
+    def attrs(rows: DataFrame, **columns: str) -> DataFrame:
+        valued = [F.struct(F.lit(name.replace("_", " ")).alias("name"), F.col(c).cast("double").alias("value")) for name, c in columns.items()]
+        return rows.select("eid", F.inline(F.array(*valued)))
+
+    relations = relation(orders, order="o_orderkey", customer="o_custkey").unionByName(relation(items, order="l_orderkey", part="l_partkey", supplier="l_suppkey"))
+    event_attrs = attrs(orders, total_price="o_totalprice").unionByName(attrs(items, quantity="l_quantity", price="l_extendedprice"))
 
     def initial(rows: DataFrame, kind: str, key: str, name: str, column: str) -> DataFrame:
         return rows.select(_id(kind, key).alias("oid"), F.lit(name).alias("name"), F.lit(EPOCH).cast("timestamp").alias("ts"), F.lit(False).alias("changed"), F.col(column).cast("double").alias("value"))
