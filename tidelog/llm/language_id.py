@@ -14,7 +14,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import hashed_part, map_texts
 
 WINDOW, WIDTHS, EMBED, FILTERS, BATCH = 256, (2, 3, 4), 8, 12, 64
 OVERLAP = max(WIDTHS) - 1
@@ -116,10 +116,11 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, most_texts: int = 2000, windows_each: int = 3) -> ByteNet | None:
-    """The network of at most ``most_texts`` labelled texts that aren't held out (those whose doc_ids hash lowest), ``windows_each`` windows at hashed places of each; None without labelled texts."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    """The network of at most ``most_texts`` labelled texts that aren't held out (chosen by a hash of doc_id), ``windows_each`` windows at hashed places of each; None without labelled texts."""
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     place = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text")).cast("int") + 1
     windows = F.array(*[F.substring(F.col("text"), place(i), F.lit(WINDOW)) for i in range(windows_each)])
+    known = hashed_part(known, most_texts, "doc_id").filter(F.length("text") > 0)
     rows = known.select("lang", windows.alias("windows"), F.xxhash64("doc_id").alias("order")).orderBy("order", "windows").limit(most_texts).collect()
     if not rows:
         return None

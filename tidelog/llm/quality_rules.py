@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_of
+from .common import hashed_part, map_texts, text_of
 from .shingles import mix
 
 #: Fixed values.
@@ -144,8 +144,8 @@ def train(sequences: list[np.ndarray], labels: list[int], steps: int = 80, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_texts: int = 2000, most_lines: int = 100) -> LineField | None:
-    """The field of at most ``most_texts`` labelled texts (those whose doc_ids hash lowest), of which at most ``most_lines`` lines each are learned from; None without texts of both labels."""
-    chosen = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id")).limit(most_texts)
+    """The field of at most ``most_texts`` labelled texts (chosen by a hash of doc_id), of which at most ``most_lines`` lines each are learned from; None without texts of both labels."""
+    chosen = hashed_part(labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality"), most_texts, "doc_id").orderBy(F.xxhash64("doc_id")).limit(most_texts)
     lines = F.slice(F.split(text_of(), "\n", -1), 1, most_lines)
     rows = docs.select("doc_id", F.array_join(lines, "\n").alias("head")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "head")).limit(most_texts).collect()
     if len({r["quality"] for r in rows}) < 2:
@@ -189,9 +189,11 @@ def keep_quality(docs: DataFrame, field: LineField | None, least_content: float
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            kept = [_judge(field, t, c, least_content)[2] for t, c in zip(texts, base_counts(texts), strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):  # so that few texts are in memory twice
+                batch = whole.slice(start, 256)
+                texts = [x or "" for x in batch.column("text").to_pylist()]
+                kept = [_judge(field, t, c, least_content)[2] for t, c in zip(texts, base_counts(texts), strict=True)]
+                yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
