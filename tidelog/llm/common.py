@@ -46,7 +46,7 @@ def fingerprint(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(F.lit(7), value)]
 
 
-def map_texts(docs: DataFrame, function, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), max_bytes: int = 8 << 20) -> DataFrame:
+def map_texts(docs: DataFrame, function, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``function`` (a dict of column lists to a dict of column lists) to slices of about ``max_bytes`` of text, so that a worker's memory doesn't follow the batch size. Null texts come as empty ones. One text is never split."""
     names = [f.split()[0] for f in schema.split(", ")]
 

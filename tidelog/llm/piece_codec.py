@@ -22,7 +22,8 @@ from .common import map_texts
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MOST_KNOWN = 600_000
+#: A worker forgets its words when it holds so many; they are then encoded anew, so results don't depend on it.
+MOST_KNOWN = 300_000
 
 
 @dataclass
