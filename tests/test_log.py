@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -111,6 +112,18 @@ def test_preceding_against_scanning_back(spark, timed):
     assert got == want
 
 
+def test_timed_predecessors_of_a_hot_object_are_cut_by_month(spark):
+    """One object over a year, with events across months and months without an end: as by scanning back, and no window holds all its places."""
+    at = lambda m, d: f"2024-{m:02}-{d:02} 00:00:00"
+    events = [(f"e{m}{d}", "a", at(m, d), at(min(m + long, 12), d + (not long))) for m in (1, 2, 3, 6, 7, 11) for d, long in ((3, 0), (9, 2), (9, 0), (20, 1))]
+    events = [(f"{e}{i}", a, s, x) for i, (e, a, s, x) in enumerate(events)] + [("q", "a", at(5, 1), at(5, 1)), ("r", "a", at(5, 2), at(10, 1))]
+    found = preceding(make_log(spark, events, [(e[0], "hot", "supplier") for e in events]), False)
+    before = {e: [(y, t, o) for o, _, t, y in events if y <= s and o != e and (y, t, o) < (x, s, e)] for e, _, s, x in events}
+    assert {(r["eid"], r["prev_eid"]) for r in found.collect()} == {(e, max(b)[2]) for e, b in before.items() if b}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(oid#\d+, month#\d+, place#", plan) and not re.search(r"windowspecdefinition\(oid#\d+, place#", plan)
+
+
 def test_properties_by_hand(spark):
     day = lambda d, h=0: f"2024-01-{d:02} {h:02}:00:00"
     events = [(f"p{d}", "pick", day(d, 6), day(d, 6)) for d in range(1, 7)] + [(f"s{d}", "ship", day(d, 12), day(d, 12)) for d in range(1, 7)]

@@ -31,9 +31,15 @@ def _atomic(marks: DataFrame) -> DataFrame:
 
 
 def _timed(marks: DataFrame) -> DataFrame:
-    """Ends and starts of an object's events in one order: an event sees the last end before its start; one without duration doesn't see its own end or a later one at the same time."""
+    """Ends and starts of an object's events in one order: an event sees the last end before its start; one without duration doesn't see its own end or a later one at the same time. Cut by month as in ``_atomic``."""
     still = F.col("ts") == F.col("end_ts")
     ends = marks.select("oid", "otype", "eid", F.struct(F.col("end_ts").alias("at"), F.lit(0).alias("late"), "ts", "eid", F.lit(1).alias("kind")).alias("place"), F.struct(F.col("end_ts").alias("end"), "ts", "eid").alias("mark"))
     starts = marks.select("oid", "otype", "eid", F.struct(F.col("ts").alias("at"), F.when(still, 0).otherwise(1).alias("late"), "ts", "eid", F.lit(0).alias("kind")).alias("place"), F.lit(None).cast(ends.schema["mark"].dataType).alias("mark"))
-    w = Window.partitionBy("oid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return ends.unionByName(starts).withColumn("prev", F.last("mark", ignorenulls=True).over(w)).filter("mark is null and prev is not null")
+    rows = ends.unionByName(starts).withColumn("month", F.trunc("place.at", "month"))
+    # An end's mark has the order of its place, so a month's last end is the largest mark; a month may have none.
+    months = rows.groupBy("oid", "month").agg(F.max("mark").alias("last"))
+    earlier = Window.partitionBy("oid").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select("oid", "month", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    w = Window.partitionBy("oid", "month").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn("within", F.last("mark", ignorenulls=True).over(w)).filter("mark is null").join(carried, ["oid", "month"])
+    return joined.withColumn("prev", F.coalesce("within", "before")).filter("prev is not null")
