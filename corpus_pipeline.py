@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: A trained model and greedy packing can't be put in SQL; tests hold the stages against brute force.
+#: A trained model and greedy packing can't be put in SQL; a test holds the rows of run() on a small table against brute force, the field by the best of all paths with its fitted weights.
 ORACLE_SQL = None
 
 
