@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.assignment import MECHANISMS
-from .queries import EVENT_RATES, ORDER_PROPERTIES, RESOURCE
+from .queries import EVENT_RATES, ORDER_PROPERTIES, QUERY_NAMES, RESOURCE
 
 _LOG = """
 items AS (
@@ -240,7 +240,7 @@ UNION ALL SELECT DISTINCT oid, '{name}', '1970-01-01 00:00:00', 0.0 FROM top"""
 
 
 ORACLES: dict[str, str] = {
-    **{f"{name}_orders": _property(name) for name in ORDER_PROPERTIES},
+    **{f"{QUERY_NAMES.get(name, name)}_orders": _property(name) for name in ORDER_PROPERTIES},
     **{f"{name}_events_{word}": _events(rate, name) for name in ("ep1", "ep2") for rate, word in EVENT_RATES.items() if rate != "ME"},
     **{f"assign_{m}": _assigned(m) for m in MECHANISMS},
     "preceding_atomic": _preceding(True),

@@ -31,6 +31,10 @@ ORDER_PROPERTIES = {
     "rp1": ("ME", "mean", "overlaps", True), "rp2": ("ME", "sum", "overlaps", True), "rp3": ("YE", "mean", "overlaps", True),
 }
 RESOURCE = "supplier"
+#: The object properties are registered by these names, as ``op<N>_`` names the corpus operators.
+QUERY_NAMES = {
+    "op1": "object_frequency", "op2": "object_attribute_value", "op3": "events_per_object", "op4": "events_of_type_per_object", "op5": "lifecycle_duration", "op6": "object_interactions",
+}
 EVENT_RATES = {"D": "daily", "W": "weekly", "ME": "monthly"}
 
 
@@ -125,7 +129,7 @@ def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    **{f"{name}_orders": _property(name) for name in ORDER_PROPERTIES},
+    **{f"{QUERY_NAMES.get(name, name)}_orders": _property(name) for name in ORDER_PROPERTIES},
     **{f"ep1_events_{word}": _events(rate, "ep1") for rate, word in EVENT_RATES.items() if rate != "ME"},
     **{f"ep2_events_{word}": _events(rate, "ep2") for rate, word in EVENT_RATES.items() if rate != "ME"},
     **{f"assign_{m}": _assigned(m) for m in MECHANISMS},
