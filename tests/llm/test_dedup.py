@@ -1,14 +1,18 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import discard, materialize
 from tidelog.llm.components import components
 from tidelog.llm.minhash_dedup import keep_one, minhash_dedup
-from tidelog.llm.suffix_dedup import suffix_dedup
+from tidelog.llm.suffix_dedup import runs, suffix_dedup
 
 
 def shingles(text, size):
@@ -110,10 +114,47 @@ def test_suffix_dedup(spark, docs, rows, none):
     rng = random.Random(8)
     letters = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
     long = letters(900)
-    made = [letters(300) + long[100:400] + letters(50), long, letters(10) + long[150:349] + letters(10), long[0:200], long[0:199], "ab" * 400, "ba" * 130, letters(220) * 2, "z" * 1000, letters(50) + long[600:900] + letters(200) + long[300:520]]
+    made = [letters(300) + long[100:400] + letters(50), long, letters(10) + long[150:349] + letters(10), long[0:200], long[0:199], "ab" * 400, "ba" * 130, letters(220) * 2, "z" * 1000, letters(50) + long[600:900] + letters(200) + long[300:520], "abc" * 300 + letters(100) + "abc" * 300]
     made = list(enumerate(made))
+    own = letters(400)
+    # Unlike texts without an id or under one id, and copies under one.
+    made += [(None, letters(250)), (None, letters(250)), (20, own), (20, own), (20, own + letters(20)), (21, letters(300)), (21, letters(300))]
     for table, texts in ((docs, rows), (spark.createDataFrame(made, "doc_id bigint, text string"), made)):
-        got = suffix_dedup(table.withColumn("tag", F.lit("clash")))
+        got = suffix_dedup(table.withColumn("tid", F.lit("clash")).withColumn("hi", F.lit(1)))
         want = Counter((i, *x) for (i, _), x in zip(texts, brute_suffix([t for _, t in texts]), strict=True))
         assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == want
     assert suffix_dedup(none).count() == 0
+
+
+def test_a_text_of_one_character_has_few_runs():
+    assert len(runs(b"z" * 100_000)[0]) == 2 and len(runs(b"ab" * 50_000)[0]) < 8
+
+
+def timed(function, *args):
+    began = time.time()
+    rows = function(*args).collect()
+    return time.time() - began, rows
+
+
+def test_repeated_rows_cost_what_copies_cost(spark):
+    """1000 rows of one text: under one id they take at most twice the time of 1000 own ids."""
+    rng = random.Random(2)
+    text, other = (" ".join(f"w{rng.randrange(9999)}" for _ in range(400)) for _ in range(2))
+    near = text + " end"
+    table = lambda ids: spark.createDataFrame([(ids(i), (text, near, other)[i % 3]) for i in range(1000)], "doc_id bigint, text string").repartition(4)
+    own, same = table(lambda i: i), table(lambda i: i % 3)
+    for function in (suffix_dedup, minhash_dedup):
+        slow, rows = timed(function, own)
+        assert len(rows) == 1000
+        fast, rows = timed(function, same)
+        assert len(rows) == 1000 and fast < 2 * slow
+
+
+def test_tables_are_removed(spark):
+    df = materialize(spark.range(3))
+    place = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert place.exists() and df.count() == 3
+    discard(df)
+    assert not place.exists()
+    with pytest.raises(KeyError):
+        discard(df)

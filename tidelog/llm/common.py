@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,40 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs one task, not the whole plan."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs one task, not the whole plan. All tables of an application lie in one folder, see ``clear``."""
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/tidelog-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more: all that was made of them has been written itself."""
+    for df in tables:
+        ref, path = _written.pop(id(df))
+        if ref() is not df:
+            raise ValueError("not a table of materialize()")
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables of this application from the shared folder, once the results that read them have been written."""
+    _written.clear()
+    _delete(spark, _scratch(spark))
 
 
 def text_of(column: str = "text") -> Column:
