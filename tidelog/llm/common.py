@@ -76,6 +76,17 @@ def fingerprint(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(F.lit(7), value)]
 
 
+#: Up to so many keys of rows (some 100 bytes each in a hashed relation) are broadcast to filter texts before their shuffle; beyond, all texts are shuffled.
+MOST_BROADCAST = 200_000
+
+
+def with_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str], *keys: str) -> DataFrame:
+    """``texts`` joined to ``lists``, a materialized table with one row a key. Where its keys are few enough, texts without one stay out of the shuffle."""
+    if lists.count() <= MOST_BROADCAST:
+        texts = texts.join(F.broadcast(lists.select(*keys)), on, "left_semi")
+    return texts.join(lists, on)
+
+
 def map_texts(docs: DataFrame, function, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``function`` (a dict of column lists to a dict of column lists) to slices of about ``max_bytes`` of text, so that a worker's memory doesn't follow the batch size. Null texts come as empty ones. One text is never split."""
     names = [f.split()[0] for f in schema.split(", ")]

@@ -31,13 +31,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fingerprint, map_texts, materialize, text_of
+from .common import discard, fingerprint, map_texts, materialize, text_of, with_listed
 from .shingles import mix
 
 LENGTH, GRAM, BLOCK, START = 200, 64, 8, 50
 WINDOW = LENGTH - GRAM + 1
-#: Up to so many keys of texts (16 bytes each, some 100 in a hashed relation) are broadcast to filter texts before their shuffle; beyond, all texts are shuffled.
-MOST_BROADCAST = 200_000
 #: How often a row of the table of runs stands for its run: once, more often, or not at all (a span of runs that are repeated within the text).
 ONCE, OFTEN, SPAN = 1, 2, 0
 
@@ -126,14 +124,6 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).select("doc_id", "text", hi.alias("hi"), lo.alias("lo"))
 
 
-def _with_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose texts ``lists`` (hi, lo, more) has, with all its columns."""
-    texts = _read(docs)
-    if lists.count() <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(lists.select("hi", "lo")), ["hi", "lo"], "left_semi")
-    return texts.join(lists, ["hi", "lo"])
-
-
 def _per_text(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     """The distinct ``columns`` of each text in one list, as long as the text at most."""
     keys = by.split()
@@ -203,7 +193,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     lists = materialize(_per_text(unsure, "hi lo", "anchor", "first", "last").withColumn("tid", F.monotonically_increasing_id()))
     discard(kinds)
     ids = lists.select("tid", "hi", "lo")
-    table = materialize(map_texts(_with_texts(docs, lists), find_blocks, "tid bigint, first int, last int, core bigint, whole bigint", ("tid", "text", "items")))
+    table = materialize(map_texts(with_listed(_read(docs), lists, ["hi", "lo"], "hi", "lo"), find_blocks, "tid bigint, first int, last int, core bigint, whole bigint", ("tid", "text", "items")))
     kinds = materialize(table.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "last")).alias("rep")))
     found.append(materialize(table.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"]).join(ids, "tid").select("hi", "lo", *span)))
     discard(table)
@@ -213,7 +203,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     unsure = materialize(unsure.join(ids, "tid"))
     discard(kinds)
     # Rows that repeat a text count its windows more than once, and all of these are repeated.
-    positions = materialize(map_texts(_with_texts(docs, unsure), find_parts, "tid bigint, at int, part tinyint, a bigint, b bigint", ("tid", "text", "items")))
+    positions = materialize(map_texts(with_listed(_read(docs), unsure, ["hi", "lo"], "hi", "lo"), find_parts, "tid bigint, at int, part tinyint, a bigint, b bigint", ("tid", "text", "items")))
     last = doubled(positions).join(ids, "tid")
     found.append(materialize(last.select("hi", "lo", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop"))))
     out = found[0]
@@ -260,7 +250,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         return out
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    changed = map_texts(_with_texts(docs, spans), cut, schema, ("doc_id", "text", "items"))
+    changed = map_texts(with_listed(_read(docs), spans, ["hi", "lo"], "hi", "lo"), cut, schema, ("doc_id", "text", "items"))
     # Lengths and digests are made below the join, so that a caller who drops ``kept`` shuffles no text here.
     whole = _read(docs).select("doc_id", "hi", "lo", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"), "text")
     zero = F.lit(0).cast("long")
