@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.llm import minhash_dedup as minhash
 from tidelog.llm.common import discard, materialize
 from tidelog.llm.components import components
 from tidelog.llm.minhash_dedup import keep_one, minhash_dedup
@@ -71,6 +72,8 @@ def test_minhash_dedup(spark, docs, rows, none):
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
         groups = Counter(r["component_id"] for r in got.filter("kept and n_shingles > 0").collect())
         assert set(groups.values()) <= {1} or size == 4
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.filter("doc_id is not null").collect())
+        assert max(Counter(r["component_id"] for r in got.filter("first and n_shingles > 0").collect()).values()) == 1
     assert minhash_dedup(none).count() == 0
     kept = keep_one(docs, 4)
     assert kept.columns == docs.columns
@@ -78,6 +81,18 @@ def test_minhash_dedup(spark, docs, rows, none):
     assert 9 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    """However small the blocks, and without hub rounds, each pair of a bucket is held against each other once."""
+    made = near_copies()
+    table = spark.createDataFrame(made, "doc_id bigint, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    for rounds, few in ((0, 0), (8, 0)):
+        monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(minhash, "FEW_PAIRS", few)
+        got = minhash_dedup(table, 5)
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == {(i, n, c) for (i, _), (n, c) in zip(made, brute_components(made, 5), strict=True)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)]

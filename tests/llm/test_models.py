@@ -60,7 +60,7 @@ def test_language_id(spark):
     rows = [(i, text(lang, rng.randrange(3, 400)), lang if i % 7 else None) for i in range(300) for lang in [("aa", "bb")[i % 2]]]
     rows += [(300, None, "aa"), (301, "", "aa"), (302, "123 ... 456", "bb"), (None, text("aa", 50), "aa"), (5, rows[5][1], "bb")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    net = language_id.fit(docs, most_texts=150)
+    net = language_id.fit(docs, texts_each=75)
     got = {r["doc_id"]: r for r in language_id.language_id(docs, net).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (300, 301, 302))
     import zlib
@@ -74,6 +74,57 @@ def test_language_id(spark):
     assert language_id.fit(empty) is None and language_id.language_id(empty, None).count() == 0
 
 
+def small_net(seed=3):
+    rng = np.random.default_rng(seed)
+    filters = [rng.normal(size=(k * language_id.EMBED, language_id.FILTERS)) for k in language_id.WIDTHS]
+    shifts = [rng.normal(size=language_id.FILTERS) for _ in language_id.WIDTHS]
+    return language_id.ByteNet(["a", "b", "c"], rng.normal(size=(256, language_id.EMBED)), filters, shifts, rng.normal(size=(language_id.FILTERS * len(language_id.WIDTHS), 3)), rng.normal(size=3))
+
+
+def test_predict_against_direct_convolution():
+    """Each filter at each place of each window, one product at a time."""
+    net, windows = small_net(), np.random.default_rng(4).integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    want = []
+    for window in windows:
+        features = []
+        for k, w, shift in zip(language_id.WIDTHS, net.filters, net.shifts, strict=True):
+            for f in range(language_id.FILTERS):
+                places = [sum(net.embed[window[i + j]][e] * w[j * language_id.EMBED + e, f] for j in range(k) for e in range(language_id.EMBED)) + shift[f] for i in range(language_id.WINDOW - k + 1)]
+                features.append(max(max(places), 0.0))
+        z = np.exp(np.array(features) @ net.out + net.bias - 50)
+        want.append(z / z.sum())
+    assert net.predict(windows, net.tables()) == pytest.approx(np.array(want), abs=1e-9)
+
+
+def test_gradients_of_the_network_against_differences():
+    net, rng = small_net(), np.random.default_rng(5)
+    x, y = rng.integers(0, 256, (4, language_id.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 1])
+    net.out *= 0.05
+    _, grads = language_id.gradients(net, x, y)
+    for p, g in zip([net.embed, *net.filters, *net.shifts, net.out, net.bias], grads, strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        whole = p[at]
+        p[at] = whole + 1e-6
+        up = language_id.gradients(net, x, y)[0]
+        p[at] = whole - 1e-6
+        down = language_id.gradients(net, x, y)[0]
+        p[at] = whole
+        assert g[at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-7)
+
+
+def test_language_id_learns_rare_languages_and_ignores_other_columns(spark, docs):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["kolan", "mirek", "tasun"]) for _ in range(9)), "aa", "x") for i in range(400)] + [(1000 + i, " ".join(rng.choice(["zhequi", "vorzhe"]) for _ in range(9)), "zz", "y") for i in range(12)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score string")
+    net = language_id.fit(made, texts_each=20)
+    assert net.languages == ["aa", "zz"]
+    long = spark.createDataFrame([(1, "kolan mirek " * 20_000, "zz", "s"), (1, "kolan mirek " * 20_000, None, "s")], made.schema)
+    assert {tuple(r)[1:3] for r in language_id.language_id(long, net).collect()} == {(False, "aa")}
+    tied = language_id.ByteNet(["aa", "zz"], *(np.zeros_like(x) if isinstance(x, np.ndarray) else [np.zeros_like(w) for w in x] for x in (net.embed, net.filters, net.shifts, net.out, net.bias)))
+    assert {tuple(r)[2:] for r in language_id.language_id(long, tied).collect()} == {("aa", 0.5)}
+    assert language_id.language_id(docs, net).count() == docs.count()
+
+
 def test_windows_cover_all_bytes():
     text = bytes(random.Random(2).randrange(1, 256) for _ in range(1000))
     windows, owner = language_id.cut([text, b"", b"ab"])
@@ -112,6 +163,42 @@ def test_viterbi_finds_the_best_path():
         assert field.decode(x).tolist() == best.tolist()
 
 
+def test_gradients_of_the_field_against_differences():
+    rng = np.random.default_rng(2)
+    sequences = [rng.normal(size=(n, quality_rules.FEATURES)) for n in (9, 8)]
+    ((_, x, real),) = quality_rules._batches(sequences)
+    y = rng.integers(0, 2, x.shape[:2])
+    weights = [rng.normal(size=(2, quality_rules.FEATURES)), rng.normal(size=(2, 2))]
+    _, *grads = quality_rules.gradients(quality_rules.LineField(*weights), x, real, y)
+    for p, g in zip(weights, grads, strict=True):
+        for at in np.ndindex(2, 2):
+            p[at] += 1e-6
+            up = quality_rules.gradients(quality_rules.LineField(*weights), x, real, y)[0]
+            p[at] -= 2e-6
+            down = quality_rules.gradients(quality_rules.LineField(*weights), x, real, y)[0]
+            p[at] += 1e-6
+            assert g[at] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_lines_of_mixed_texts():
+    """Content and boilerplate in one text get labels of their own, although only whole texts are labelled."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"]) + "abcdefgh"[rng.randrange(8)]
+    content = lambda: " ".join(word() for _ in range(rng.randrange(6, 12))) + "."
+    junk = lambda: " | ".join(f"x{rng.randrange(1000)}" for _ in range(rng.randrange(4, 9)))
+    kept = [[content() for _ in range(rng.randrange(3, 9))] for _ in range(80)]
+    dropped = [[content()] * (i % 2) + [junk() for _ in range(rng.randrange(3, 9))] for i in range(40)]
+    features, sizes = zip(*[quality_rules.line_features("\n".join(t)) for t in kept + dropped], strict=True)
+    field = quality_rules.train(list(features), list(sizes), [True] * 80 + [False] * 40)
+    right = total = 0
+    for _ in range(50):
+        kinds = [rng.randrange(2) for _ in range(8)]
+        text = "\n".join(content() if k else junk() for k in kinds)
+        right += sum(a == b for a, b in zip(field.decode(quality_rules.line_features(text)[0]), kinds, strict=True))
+        total += 8
+    assert right > 0.95 * total
+
+
 def test_quality_rules(spark, docs, none):
     rng = random.Random(4)
     clean = lambda: ".\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(10**6)) for _ in range(9)) for _ in range(4)) + "."
@@ -150,7 +237,45 @@ def test_pack_takes_the_tightest_compatible_bin():
         assert pack([p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], 100, 2) == want
 
 
-@pytest.mark.parametrize("shard_rows", [5, 8192])
+def test_counts_join_common_and_rare_pieces(spark, docs, monkeypatch):
+    """However few pieces are broadcast, the counts are the same; texts of tokenizers that cross white space are encoded whole."""
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import token_counts as module
+
+    rows = with_odd(spark, docs).collect()
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(len(Tokenizer.from_file(JSON).encode(r["text"] or "", add_special_tokens=False).ids) for r in rows)
+    for most in (0, 30):
+        monkeypatch.setattr(module, "MOST_COMMON", most)
+        assert sorted(r["n_tokens"] for r in token_counts(table.withColumn("piece", table.text), JSON).collect()) == want
+    bytes_json = public_tokenizers.path("byte_bpe_50k.json")
+    assert module.ends_at_space(JSON) and not module.ends_at_space(bytes_json)
+    want = sorted(len(Tokenizer.from_file(bytes_json).encode(r["text"] or "", add_special_tokens=False).ids) for r in rows)
+    assert sorted(r["n_tokens"] for r in token_counts(table, bytes_json).collect()) == want
+    empty = table.limit(0)
+    assert token_counts(empty, JSON).count() == token_counts(empty, MODEL).count() == piece_codec.encode(empty, MODEL).count() == 0
+    odd = spark.createDataFrame([(None, None, 1), (1, None, 2)], "doc_id bigint, ids binary, text int")
+    assert [tuple(r) for r in piece_codec.decode(odd, MODEL).orderBy("doc_id").collect()] == [(None, ""), (1, "")]
+
+
+def test_unsupported_models_are_refused():
+    for field_, value in ((3, b"\x28\x00"), (2, b"\xc0\x01\x01"), (2, b"\x18\x03")):
+        with pytest.raises(ValueError):
+            piece_codec.parse_model(bytes([field_ << 3 | 2, len(value)]) + value)
+
+
+def test_a_bin_takes_few_pieces_of_a_source(spark):
+    rows = [(i, f"{i} b c", "s" if i < 40 else None, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, bin_id bigint")
+    bins: dict = {}
+    for r in best_fit(docs, 30, 2).collect():
+        bins.setdefault(r["bin_id"], []).append(r["doc_id"] < 40)
+    assert max(sum(b) for b in bins.values()) == 2
+    assert best_fit(docs.drop("source"), 30, 2).select("bin_id").distinct().count() == 6
+
+
+@pytest.mark.parametrize("shard_rows", [5, 2048])
 def test_best_fit(docs, rows, none, shard_rows):
     capacity = 130
     got = best_fit(docs, capacity, 2, shard_rows).collect()

@@ -87,6 +87,11 @@ def with_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str], *key
     return texts.join(lists, on)
 
 
+def without_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str]) -> DataFrame:
+    """``texts`` without the rows that ``lists``, a materialized table of keys, has. Few keys are broadcast, so that no text is shuffled."""
+    return texts.join(F.broadcast(lists) if lists.count() <= MOST_BROADCAST else lists, on, "left_anti")
+
+
 def map_texts(docs: DataFrame, function, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``function`` (a dict of column lists to a dict of column lists) to slices of about ``max_bytes`` of text, so that a worker's memory doesn't follow the batch size. Null texts come as empty ones. One text is never split."""
     names = [f.split()[0] for f in schema.split(", ")]

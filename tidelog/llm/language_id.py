@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_part, map_texts
+from .common import map_texts
 
 WINDOW, WIDTHS, EMBED, FILTERS, BATCH = 256, (2, 3, 4), 8, 12, 64
 OVERLAP = max(WIDTHS) - 1
@@ -67,73 +67,85 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(owner)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 12, rate: float = 3e-3, seed: int = 5) -> ByteNet:
-    """Adam on the cross-entropy, through max pooling to the windows' strongest places."""
+def gradients(net: ByteNet, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(mean cross-entropy, its gradients by embed, filters, shifts, out and bias) of windows x with languages y; through max pooling they reach the windows' strongest places."""
+    n, at, emb, pooled = np.arange(len(x))[:, None], [], net.embed[x], []
+    for w, s, k in zip(net.filters, net.shifts, WIDTHS, strict=True):
+        patches = np.concatenate([emb[:, j : WINDOW - k + 1 + j] for j in range(k)], axis=2)
+        z = patches @ w + s
+        best = z.argmax(axis=1)
+        at.append((best, patches[n, best]))
+        pooled.append(np.take_along_axis(z, best[:, None], axis=1)[:, 0])
+    raw = np.concatenate(pooled, axis=1)
+    features = np.maximum(raw, 0)
+    d = softmax(features @ net.out + net.bias)
+    loss = float(-np.log(np.maximum(d[np.arange(len(y)), y], 1e-30)).mean())
+    d[np.arange(len(y)), y] -= 1
+    d /= len(y)
+    back = (d @ net.out.T) * (raw > 0)
+    d_embed, d_filters, d_shifts = np.zeros_like(net.embed), [], []
+    for j, (k, w, (best, patches)) in enumerate(zip(WIDTHS, net.filters, at, strict=True)):
+        b = back[:, j * FILTERS : (j + 1) * FILTERS]
+        d_filters.append(np.einsum("nf,nfp->pf", b, patches))
+        d_shifts.append(b.sum(axis=0))
+        to_patch = b[:, :, None] * w.T[None]
+        for place in range(k):
+            np.add.at(d_embed, x[n, best + place], to_patch[:, :, place * EMBED : (place + 1) * EMBED])
+    return loss, [d_embed, *d_filters, *d_shifts, features.T @ d, d.sum(axis=0)]
+
+
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 320, rate: float = 3e-3, seed: int = 5) -> ByteNet:
+    """Adam on the cross-entropy, so many steps of 128 windows; each language gives the same share of a step's windows."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.3, (256, EMBED)).astype(np.float32)
     filters = [rng.normal(0, 1 / np.sqrt(k * EMBED), (k * EMBED, FILTERS)).astype(np.float32) for k in WIDTHS]
     shifts = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out, bias = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
+    net = ByteNet(languages, embed, filters, shifts, out, bias)
     params = [embed, *filters, *shifts, out, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for i in range(0, len(order), 128):
-            x, y = windows[order[i : i + 128]], labels[order[i : i + 128]]
-            n, at = np.arange(len(x))[:, None], []
-            emb, pooled = embed[x], []
-            for w, s, k in zip(filters, shifts, WIDTHS, strict=True):
-                patches = np.concatenate([emb[:, j : WINDOW - k + 1 + j] for j in range(k)], axis=2)
-                z = patches @ w + s
-                best = z.argmax(axis=1)
-                at.append((best, patches[n, best]))
-                pooled.append(np.take_along_axis(z, best[:, None], axis=1)[:, 0])
-            raw = np.concatenate(pooled, axis=1)
-            features = np.maximum(raw, 0)
-            d = softmax(features @ out + bias)
-            d[np.arange(len(y)), y] -= 1
-            d /= len(y)
-            back = (d @ out.T) * (raw > 0)
-            d_embed, d_filters, d_shifts = np.zeros_like(embed), [], []
-            for j, (k, w, (best, patches)) in enumerate(zip(WIDTHS, filters, at, strict=True)):
-                b = back[:, j * FILTERS : (j + 1) * FILTERS]
-                d_filters.append(np.einsum("nf,nfp->pf", b, patches))
-                d_shifts.append(b.sum(axis=0))
-                to_patch = b[:, :, None] * w.T[None]
-                for place in range(k):
-                    np.add.at(d_embed, x[n, best + place], to_patch[:, :, place * EMBED : (place + 1) * EMBED])
-            step += 1
-            for p, g, m, v in zip(params, [d_embed, *d_filters, *d_shifts, features.T @ d, d.sum(axis=0)], first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return ByteNet(languages, embed, filters, shifts, out, bias)
+    places = [np.flatnonzero(labels == i) for i in range(len(languages))]
+    for step in range(1, steps + 1):
+        chosen = np.concatenate([rng.choice(p, -(-128 // len(languages))) for p in places if len(p)])
+        _, grads = gradients(net, windows[chosen], labels[chosen])
+        for p, g, m, v in zip(params, grads, first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return net
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, most_texts: int = 2000, windows_each: int = 3) -> ByteNet | None:
-    """The network of at most ``most_texts`` labelled texts that aren't held out (chosen by a hash of doc_id), ``windows_each`` windows at hashed places of each; None without labelled texts."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    place = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text")).cast("int") + 1
-    windows = F.array(*[F.substring(F.col("text"), place(i), F.lit(WINDOW)) for i in range(windows_each)])
-    known = hashed_part(known, most_texts, "doc_id").filter(F.length("text") > 0)
-    rows = known.select("lang", windows.alias("windows"), F.xxhash64("doc_id").alias("order")).orderBy("order", "windows").limit(most_texts).collect()
-    if not rows:
+def fit(docs: DataFrame, texts_each: int = 150, most_languages: int = 64) -> ByteNet | None:
+    """The network of at most ``texts_each`` labelled texts of each language that aren't held out, chosen by a hash of doc_id, all windows of each; None without labelled texts.
+
+    Only of more than ``most_languages`` languages the most frequent ones are learned.
+    """
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not sizes:
         return None
+    # Each language's own part of the hashes holds about twice the texts wanted, so that the sort behind it is small.
+    order = F.xxhash64("doc_id")
+    part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * texts_each + 20) / r["count"])))])
+    known = known.filter(F.pmod(order, F.lit(1 << 40)) < F.coalesce(part[F.col("lang")], F.lit(0.0)) * (1 << 40))
+    ids = known.select("lang", "doc_id", order.alias("order")).distinct()
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("n") <= texts_each)
+    rows = known.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"]).select("lang", "text", order.alias("order")).orderBy("order", F.xxhash64("text")).limit(texts_each * len(sizes)).collect()
     languages = sorted({r["lang"] for r in rows})
-    texts = [(w.encode()[:WINDOW], languages.index(r["lang"])) for r in rows for w in r["windows"]]
-    return train(cut([t for t, _ in texts])[0], np.array([y for _, y in texts]), languages)
+    windows, owner = cut([r["text"].encode() for r in rows])
+    return train(windows, np.array([languages.index(r["lang"]) for r in rows])[owner], languages)
 
 
 def language_id(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """``docs`` (doc_id, text, more) to one row per row: doc_id, held_out, lang_pred, score.
 
     Only the text decides. lang_pred is ``und`` with score 0 if the text is null or has no letter, or without a
-    network. held_out is false for a null doc_id; repeated rows get equal results. Other columns are not read.
+    network. held_out is false for a null doc_id; repeated rows get equal results. Of languages that are equally likely
+    the first in the order of their names is taken. Other columns are not read. An empty table gives an empty table.
     """
 
     def run(rows: dict) -> dict:

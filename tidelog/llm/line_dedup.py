@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fingerprint, materialize, text_of, with_listed
+from .common import discard, fingerprint, materialize, text_of, with_listed, without_listed
 
 #: What is stripped from a line's ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -70,6 +70,6 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     touched = touched.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text", F.col("words").alias("dropped_words"))
     # Counts and digests are made below the join, so that a caller who drops the text shuffles none.
     whole = _read(docs).select("doc_id", "text_hash", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.sha2("text", 256).alias("kept_sha256"), "text")
-    rest = whole.join(bitmaps.select("b_id", "b_hash"), same, "left_anti")
+    rest = without_listed(whole, bitmaps.select("b_id", "b_hash"), same)
     rest = rest.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), "kept_sha256", F.col("text").alias("kept_text"), F.lit(None).cast(bitmaps.schema["words"].dataType).alias("dropped_words"))
     return touched.unionByName(rest)

@@ -51,19 +51,20 @@ def pack(sizes: list[int], sources: list[object], clusters: list[object], capaci
     return out
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows: int = 8192) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_rows: int = 2048) -> DataFrame:
     """``docs`` (doc_id, text, source, more) to one row per piece: doc_id, piece, start, n_words, bin_id.
 
     Words are runs of other characters than ASCII white space. A text of more than ``capacity`` words is cut into full
     pieces, which fill a bin each, and a rest. ``start`` is the number of the piece's first word in the text. A text
     without words (null too) has one piece of no words and a null bin_id. Texts that are equal but for white space are
-    one cluster; a null source is no source. Repeated rows are copies of each other, so they share no bin. bin_id is
+    one cluster; a null source is no source, and a table without the column has none. Repeated rows are copies of each other, so they share no bin. bin_id is
     unique over all shards. The rows depend only on the table, not on its partitions. Other columns are not read.
     """
     text = text_of()
     # A digest: two clusters that shared a name would only be kept apart in vain.
     # Ids travel as text, since pandas would make floats of integers among nulls.
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.xxhash64(normalised(text)).alias("cluster"))
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), source.cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.xxhash64(normalised(text)).alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
     pieces = F.when(F.col("words") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int")).withColumn("pieces", pieces)

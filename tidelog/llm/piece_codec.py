@@ -68,10 +68,17 @@ def parse_model(data: bytes) -> PieceModel:
             piece = dict(_fields(value))
             model.pieces.append((piece[1].decode(), struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0], piece.get(3, NORMAL)))
         elif number == 2:
-            model.kind = dict(_fields(value)).get(3, UNIGRAM)
+            spec = dict(_fields(value))
+            model.kind = spec.get(3, UNIGRAM)
+            if spec.get(24, 0):
+                raise ValueError("models whose pieces end with the marker aren't supported")
         elif number == 3:
             spec = dict(_fields(value))
             model.charsmap, model.add_prefix, model.remove_extra_spaces = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
+            if not spec.get(5, 1):
+                raise ValueError("models that don't replace spaces by the marker aren't supported")
+    if model.kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and BPE models are supported")
     return model
 
 
@@ -127,6 +134,8 @@ class Codec:
         self.by_word = splits_at_marker(self.model)
         self.plain = not self.model.charsmap and not self.model.remove_extra_spaces
         self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        self.pieces = [p.replace(MARKER, " ") for p, _, _ in self.model.pieces]
+        self.bytes = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.word = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+") if self.by_word else re.compile("(?s).+")
 
     def normalise(self, text: str) -> str:
@@ -138,7 +147,11 @@ class Codec:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def decode(self, ids: list[int]) -> str:
-        out = self.tokenizer.decode(ids, skip_special_tokens=False)
+        """The text of a whole sequence: pieces strung together, or the tokenizers library where bytes must be joined to characters."""
+        if self.bytes.isdisjoint(ids):
+            out = "".join([self.pieces[i] for i in ids])
+        else:
+            out = self.tokenizer.decode(ids, skip_special_tokens=False)
         return out.removeprefix(" ") if self.model.add_prefix else out
 
     def learn(self, new: list[str]) -> None:
@@ -164,7 +177,9 @@ class Codec:
         out = []
         for words in cut:
             got = [self.known[w] for w in words]
-            out.append((b"".join([x[0] for x in got]), all([x[1] for x in got]), all([x[2] for x in got])))
+            ids = b"".join([x[0] for x in got])
+            back = self.decode(struct.unpack(f"<{len(ids) // 4}i", ids)) == "".join(words).replace(MARKER, " ").removeprefix(" " if self.model.add_prefix else "")
+            out.append((ids, all([x[1] for x in got]), back and all([x[2] for x in got])))
         return out
 
 
@@ -181,8 +196,8 @@ def _kind(docs: DataFrame) -> str:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` (doc_id, text, more) to one row per row: doc_id, ids (little-endian 32-bit integers), n_ids, parity, round_trip.
 
-    parity: the ids of every word equal those of the sentencepiece library; round_trip: they decode to the normalised
-    text. A null or empty text has no ids, both true. doc_id, null or repeated, is passed on; other columns are not read.
+    parity: the ids of every word equal those of the sentencepiece library; round_trip: the whole sequence decodes to
+    the normalised text, and every word by the tokenizers library too. A null or empty text has no ids, both true. doc_id, null or repeated, is passed on; other columns are not read.
     """
 
     def run(rows: dict) -> dict:
@@ -200,8 +215,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
         for b in batches:
             ids = [list(struct.unpack(f"<{len(x or b'') // 4}i", x or b"")) for x in b.column("ids").to_pylist()]
-            texts = codec(path).tokenizer.decode_batch(ids, skip_special_tokens=False)
-            texts = [t.removeprefix(" ") if codec(path).model.add_prefix else t for t in texts]
+            texts = list(map(codec(path).decode, ids))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_kind(encoded)}, text string")

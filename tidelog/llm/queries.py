@@ -59,7 +59,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(documents(spark, sf_dir), words=4).drop("text_hash")
+    return minhash_dedup(documents(spark, sf_dir), words=4).drop("text_hash", "first")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

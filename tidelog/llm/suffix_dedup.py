@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fingerprint, map_texts, materialize, text_of, with_listed
+from .common import discard, fingerprint, map_texts, materialize, text_of, with_listed, without_listed
 from .shingles import mix
 
 LENGTH, GRAM, BLOCK, START = 200, 64, 8, 50
@@ -254,5 +254,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     # Lengths and digests are made below the join, so that a caller who drops ``kept`` shuffles no text here.
     whole = _read(docs).select("doc_id", "hi", "lo", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"), "text")
     zero = F.lit(0).cast("long")
-    rest = whole.join(spans.select("hi", "lo"), ["hi", "lo"], "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.encode("text", "UTF-8").alias("kept"))
+    rest = without_listed(whole, spans.select("hi", "lo"), ["hi", "lo"]).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.encode("text", "UTF-8").alias("kept"))
     return changed.unionByName(rest)
