@@ -1,14 +1,18 @@
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.distributions import chi2_tail, f_tail, normal_cdf
+from tidelog.functions.grid import grid, period_end
+from tidelog.operators.analysis import analyse
 from tidelog.operators.changepoints import change_points, segment_costs, segmentation
-from tidelog.operators.forecast import accuracy, fit_and_predict, forecasts, forecasts_with_causes
+from tidelog.operators.forecast import CRITERIA, accuracy, accuracy_table, appended, exogenous_counts, fit_and_predict, forecasts, forecasts_with_causes
 from tidelog.operators.granger import granger, p_values
-from tidelog.operators.points import changes_beyond, differences, extremes, quantile_points
+from tidelog.operators.points import as_series, causal_inputs, changes_beyond, differences, extremes, quantile_points
+from tidelog.operators.points import places as places_of
 from tidelog.operators.stationarity import adf_p_value, differenced, first_differences, kpss_p_value, orders, seasonal_period
 
 SCHEMA = "property string, param1 string, param2 string, idx int, value double"
@@ -64,6 +68,100 @@ def test_segmentation_is_optimal(model):
         assert total == pytest.approx(best_cost(values, model, 1.5, 3)) and min(np.diff(cuts)) >= 3
 
 
+def brute_segments(values, model, penalty, size, jump):
+    """The cost of the best segmentation whose segments start at multiples of jump."""
+    cost, n = segment_costs(values, model), len(values)
+    best = {0: 0.0}
+    for stop in [*range(jump, n, jump), n]:
+        ways = [best[s] + float(cost(np.array([s]), stop)[0]) + penalty for s in best if stop - s >= size]
+        if ways:
+            best[stop] = min(ways)
+    return best[n]
+
+
+@pytest.mark.parametrize("jump", [1, 2, 3, 5])
+def test_segments_start_at_multiples_of_jump(jump):
+    rng = np.random.default_rng(3)
+    for size in (2, 3, 4):
+        values = np.concatenate([rng.normal(m, 1, 11) for m in (0, 6, -4)])
+        cuts = [0, *segmentation(values, "l2", size, 2.0, jump), len(values)]
+        cost = segment_costs(values, "l2")
+        assert all(c % jump == 0 for c in cuts[1:-1])
+        assert sum(float(cost(np.array([a]), b)[0]) + 2.0 for a, b in zip(cuts, cuts[1:], strict=False)) == pytest.approx(brute_segments(values, "l2", 2.0, size, jump))
+    with pytest.raises(ValueError):
+        segmentation(values, jump=0)
+
+
+def test_change_points_and_orders_of_fixed_series(spark):
+    """Small series whose change points and differences are known."""
+    s = frame(spark, step=[0.0] * 10 + [5.0] * 10, flat=[1.0, 1.1] * 10, line=[float(i) + (i * 7 % 5) / 10 for i in range(20)])
+    assert places(change_points(s.filter("param1 <> 'line'"), "l2")) == [("step", 10)]
+    rng = np.random.default_rng(1)
+    found = {r["param1"]: r["differences"] for r in orders(frame(spark, walk=rng.normal(size=60).cumsum(), noise=rng.normal(size=60)), "YE").collect()}
+    assert found == {"noise": 0, "walk": 1}
+
+
+def test_points_as_series(spark):
+    g = grid(date(2024, 1, 1), date(2024, 7, 31), "ME")
+    points = spark.createDataFrame([("ep1", "a", None, 1), ("ep1", "a", None, 3), ("ep1", "b", "x", 0)] + [("ep1", "all", None, i) for i in range(7)], "property string, param1 string, param2 string, idx int")
+    marked = as_series(points, g)
+    assert {(r["param1"], r["idx"], r["value"]) for r in marked.filter("param1 = 'a'").collect()} == {("a", i, float(i in (1, 3))) for i in range(7)}
+    assert {r["t"] for r in marked.collect()} == set(g.rights)
+    assert sorted(map(tuple, places_of(marked).collect()), key=str) == sorted(map(tuple, points.collect()), key=str)
+    assert {r["param1"] for r in causal_inputs(marked).collect()} == {"a"}
+
+
+def test_right_edges_behind_the_grid(spark):
+    for rate, first, last in (("D", date(2024, 1, 30), date(2024, 2, 10)), ("W", date(2024, 1, 30), date(2024, 4, 10)), ("ME", date(2023, 11, 5), date(2024, 4, 10)), ("QE", date(2023, 2, 5), date(2024, 4, 10)), ("YE", date(2018, 2, 5), date(2024, 4, 10))):
+        g = grid(first, last, rate)
+        days = list(g.rights)
+        while len(days) < len(g.rights) + 30:
+            days.append(period_end(days[-1] + timedelta(1), rate))
+        got = spark.range(len(days)).select(g.right(F.col("id")).alias("d")).collect()
+        assert [r["d"] for r in got] == days
+
+
+def test_analyse_by_name(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=60)
+    s = frame(spark, x=x, y=np.concatenate([[0], 0.9 * x[:-1]]) + rng.normal(0, 0.1, 60))
+    g = grid(date(2020, 1, 1), date(2024, 12, 31), "ME")
+    assert len(g.rights) == 60
+    assert places(analyse(s, "Threshold Based Point Detection", g, mode="nlargest", k=1)) == places(extremes(s, 1, True))
+    assert places(analyse(s, "Threshold Based Point Detection", g, mode="quantile", operator=">=", one=0.9)) == places(quantile_points(s, ">=", 0.9))
+    assert places(analyse(s, "Change Point Detection", g, model="l2", penalty=50.0)) == places(change_points(s, "l2", penalty=50.0))
+    causes = analyse(s, "Granger Causality", g, lags=2)
+    assert {(r["caused"]["param1"], r["causing"]["param1"]) for r in causes.collect()} == {("y", "x")}
+    ahead = analyse(s, "Forecasting", g, causes=causes, horizon=2)
+    assert {(r["param1"], r["idx"], r["t"]) for r in ahead.collect()} == {(c, 60 + i, date(2025, 1 + i, 31 if i == 0 else 28)) for c in "xy" for i in range(2)}
+    assert {(r["param1"], r["n_causes"]) for r in exogenous_counts(s, causes).collect()} == {("x", 0), ("y", 1)}
+    assert appended(s, ahead).count() == 124
+    short = grid(date(2024, 1, 1), date(2024, 6, 30), "ME")
+    for technique, params in (("Guessing", {}), ("Threshold Based Point Detection", {"mode": "nlargest"}), ("Threshold Based Point Detection", {"mode": "quantile"}), ("Threshold Based Point Detection", {"mode": "other"})):
+        with pytest.raises(ValueError):
+            analyse(s, technique, g, **params)
+    for technique in ("Forecasting", "Granger Causality"):
+        with pytest.raises(ValueError):
+            analyse(s, technique, short)
+
+
+def test_orders_of_forecasts_are_bounded():
+    y = np.random.default_rng(4).normal(size=80).cumsum()
+    for criterion in CRITERIA:
+        assert len(fit_and_predict(y, 3, 0, (2, 1, 0, 0), criterion=criterion, least=(1, 0, 0, 0))) == 3
+    with pytest.raises(ValueError):
+        fit_and_predict(y, 3, criterion="best")
+    with pytest.raises(ValueError):
+        fit_and_predict(y, 3, 0, (1, 1, 0, 0), least=(2, 0, 0, 0))
+
+
+def test_accuracy_table(spark):
+    errors = spark.createDataFrame([("a", "x", 1.0, 10.0), ("a", "x", 3.0, 20.0), ("a", "x", 8.0, 60.0), ("b", "x", 2.0, None)], "log string, experiment string, mase double, mape double")
+    got = {r["log"]: r for r in accuracy_table(errors, "log", "experiment").collect()}
+    assert (got["a"]["n_series"], got["a"]["mase_mean"], got["a"]["mase_median"], got["a"]["mape_mean"], got["a"]["mape_median"]) == (3, 4.0, 3.0, 30.0, 20.0)
+    assert got["b"]["mape_mean"] is None
+
+
 def test_change_points(spark):
     assert places(change_points(frame(spark, a=[1] * 8 + [9] * 8 + [1] * 8, b=[1, 2]))) == [("a", 8), ("a", 16)]
 
@@ -73,12 +171,13 @@ def test_stationarity(spark):
     noise, walk = rng.normal(size=200), rng.normal(size=200).cumsum()
     assert adf_p_value(noise) < 0.01 and kpss_p_value(noise) > 0.05 and first_differences(noise) == 0
     assert adf_p_value(walk) > 0.05 and first_differences(walk) in (1, 2)
-    wave = np.tile([0.0, 5, 9, 2], 30) * np.linspace(1, 3, 120) + rng.normal(0, 0.1, 120).cumsum()
-    assert seasonal_period(wave, "QE") >= 0
+    assert seasonal_period(noise, "QE") == 0  # noise has no season
+    steps = np.concatenate([rng.normal(size=(1, 4)), rng.normal(size=(29, 4))]).cumsum(axis=0).ravel()  # each quarter walks on its own
+    assert seasonal_period(steps, "QE") % 4 == 0 and seasonal_period(steps, "QE") > 0
     s = frame(spark, noise=noise, walk=walk)
     found = orders(s, "YE")
     by = {r["param1"]: r for r in found.collect()}
-    assert by["walk"]["period"] >= 0
+    assert by["noise"]["differences"] == 0 and by["walk"]["differences"] in (1, 2)
     sizes = {r["param1"]: r["count"] for r in differenced(s, found).groupBy("param1").count().collect()}
     assert sizes["walk"] == 200 - by["walk"]["period"] - by["walk"]["differences"]
 
@@ -92,7 +191,12 @@ def test_granger(spark):
     got = {(r["caused"]["param1"], r["causing"]["param1"]): r["lags"] for r in granger(s, [2, 3]).collect()}
     assert got == {("y", "x"): [2, 3]}
     cuts = spark.createDataFrame([("ep1", "x", None, 10), ("ep1", "y", None, 12), ("ep1", "y", None, 5)], "property string, param1 string, param2 string, idx int")
-    assert [r["lags"] for r in granger(s, points=cuts).collect()] == [[2]]
+    assert [(r["lags"], [tuple(x) for x in r["from_points"]]) for r in granger(s, points=cuts).collect()] == [([2], [(2, 11, 13)])]
+    many = frame(spark, **{f"z{i}": rng.normal(size=40) for i in range(7)}, x=x, y=y)
+    whole = {(r["caused"]["param1"], r["causing"]["param1"]): r["lags"] for r in granger(many, [1, 2], 0.05).collect()}
+    assert whole == {(r["caused"]["param1"], r["causing"]["param1"]): r["lags"] for r in granger(many, [1, 2], 0.05, block=2).collect()} and ("y", "x") in whole
+    with pytest.raises(ValueError):
+        granger(many, 1, most_pairs=10)
     assert granger(frame(spark, a=[1] * 30, b=range(30))).count() == 0
 
 

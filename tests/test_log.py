@@ -1,5 +1,6 @@
 import json
 import re
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -10,8 +11,9 @@ from tidelog.operators.assignment import assign
 from tidelog.operators.preceding import preceding
 from tidelog.operators.properties import Properties
 from tidelog.operators.series import align, analysable
-from tidelog.operators.writeback import attribute_name, reload_causes, reload_points, reload_series, results_json, with_causes, with_forecasts, with_points, with_series
-from tidelog.sources.log import EventLog, numeric, read_csv_set, read_ocel_json, write_ocel_lines
+from tidelog.operators.writeback import attribute_name, refuse_repetition, reload_causes, reload_forecasts, reload_marks, reload_points, reload_series, with_causes, with_forecasts, with_points, with_series
+from tidelog.sources.log import EventLog, held, numeric, read_csv_set, read_ocel_json, write_ocel_lines
+from tidelog.sources.results import causes_json, forecasts_json, points_json, read_results, read_series_csv, write_series_csv
 
 
 def make_log(spark, events, relations, attrs=(), history=()):
@@ -168,21 +170,63 @@ def test_json_round_trip(spark, tmp_path):
     assert {tuple(r) for r in log.event_attrs.collect()} == {("e1", "w", 5.0), ("e2", "w", 1e-7)}  # an attribute with text isn't numeric
     assert [r["oid"] for r in log.objects.collect()] == ["x1"]  # x2 has no event
     assert sorted((r["ts"].year, r["changed"], r["value"]) for r in log.object_attrs.collect()) == [(1970, False, 1.0), (2024, True, 2.0)]
-    write_ocel_lines(log, str(tmp_path / "out"))
-    again = spark.read.json(str(tmp_path / "out/events"))
-    assert sorted(r["id"] for r in again.collect()) == ["e1", "e2"]
+    assert same_log(read_ocel_json(spark, str(write(log, tmp_path / "out")), lines=True), log)
+
+
+def write(log, path):
+    write_ocel_lines(log, str(path))
+    return path
+
+
+TABLES = ("events", "relations", "objects", "event_attrs", "object_attrs", "o2o")
+
+
+def same_log(one, two):
+    """All rows of all tables, columns by name."""
+    rows = lambda log, t: sorted(map(repr, getattr(log, t).select(*sorted(getattr(log, t).columns)).collect()))
+    return all(rows(one, t) == rows(two, t) for t in TABLES)
+
+
+def test_a_written_log_is_read_as_it_was(spark, tmp_path):
+    events = [("e1", "a", "2024-01-01 10:00:00.000001", "2024-01-03 00:00:00.5"), ("e2", "b & c", "2024-01-02 00:00:00", "2024-01-02 00:00:00"), ("é3", "a", "2024-02-02 00:00:00", "2024-02-02 00:00:00")]
+    history = [("x1", "size", "1970-01-01 00:00:00", False, 1e-7), ("x1", "size", "2024-01-01 00:00:00.25", True, 0.1), ("y1", "load", "1970-01-01 00:00:00", False, 3.0)]
+    log = make_log(spark, events, [("e1", "x1", "x"), ("e1", "y1", "y"), ("e2", "x1", "x"), ("é3", "y1", "y")], [("e1", "w", 5.25), ("e2", "w", 1e300)], history)
+    log = replace(log, o2o=spark.createDataFrame([("x1", "y1", 'says "hi"')], log.o2o.schema))
+    path = write(log, tmp_path / "out")
+    assert same_log(read_ocel_json(spark, str(path), lines=True), log)
+    doc = [json.loads(r["value"]) for r in spark.read.text(str(path)).collect()]
+    assert {"name": "a", "attributes": [{"name": "w", "type": "float"}, {"name": "end time", "type": "time"}]} in [t for d in doc for t in d.get("eventTypes", [])]
+    assert {"name": "x", "attributes": [{"name": "size", "type": "float"}]} in [t for d in doc for t in d.get("objectTypes", [])]
+    assert same_log(read_ocel_json(spark, str(write(read_ocel_json(spark, str(path), lines=True), tmp_path / "again")), lines=True), log)
+    empty = make_log(spark, events[:1], [("e1", "x1", "x")])
+    assert same_log(read_ocel_json(spark, str(write(empty, tmp_path / "small")), lines=True), empty)
+
+
+@pytest.mark.parametrize("wrong", ["time", "repeated", "relation", "value"])
+def test_a_wrong_log_is_not_written(spark, tmp_path, wrong):
+    log = make_log(spark, [("e1", "a", "2024-01-01", "2024-01-01")], [("e1", "x1", "x")], [("e1", "w", 1.0)])
+    log = {
+        "time": lambda: replace(log, events=log.events.withColumn("ts", F.lit(None).cast("timestamp"))), "repeated": lambda: replace(log, events=log.events.unionByName(log.events)),
+        "relation": lambda: replace(log, relations=log.relations.withColumn("oid", F.lit("nobody"))), "value": lambda: replace(log, event_attrs=log.event_attrs.withColumn("value", F.lit(None).cast("double"))),
+    }[wrong]()
+    with pytest.raises(ValueError):
+        write_ocel_lines(log, str(tmp_path / "out"))
 
 
 def test_csv_set(spark, tmp_path):
     tables = {
-        "event": "ocel_id;ocel_type\ne1;place order", "object": "ocel_id;ocel_type\no1;orders", "event_object": "ocel_event_id;ocel_object_id;ocel_qualifier\ne1;o1;q\ne1;o1;q",
+        "event": "ocel_id;ocel_type\ne1;place order", "object": "ocel_id;ocel_type\no1;orders\no2;orders", "event_object": "ocel_event_id;ocel_object_id;ocel_qualifier\ne1;o1;q\ne1;o1;q",
         "object_object": "ocel_source_id;ocel_target_id;ocel_qualifier\no1;o1;contains", "event_map_type": "ocel_type;ocel_type_map\nplace order;PlaceOrder", "object_map_type": "ocel_type;ocel_type_map\norders;Orders",
-        "event_PlaceOrder": "ocel_id;ocel_time\ne1;2024-01-01 10:00:00",
+        "event_PlaceOrder": "ocel_id;ocel_time;weight;note\ne1;2024-01-01 10:00:00;2.5;text",
+        "object_Orders": "ocel_id;ocel_time;ocel_changed_field;price;size\no1;2023-01-01 00:00:00;;4;7\no1;2024-01-05 00:00:00;price;5;7\no2;2023-01-01 00:00:00;;9;9",
     }
     for name, text in tables.items():
         (tmp_path / f"{name}.csv").write_text(text)
     log = read_csv_set(spark, str(tmp_path))
     assert log.relations.count() == 1 and log.events.first()["ts"] == datetime(2024, 1, 1, 10) and log.o2o.count() == 1
+    assert [r["oid"] for r in log.objects.collect()] == ["o1"]  # o2 has no event
+    assert [tuple(r) for r in log.event_attrs.collect()] == [("e1", "weight", 2.5)]
+    assert sorted((r["name"], r["ts"].year, r["changed"], r["value"]) for r in log.object_attrs.collect()) == [("price", 1970, False, 4.0), ("price", 2024, True, 5.0), ("size", 1970, False, 7.0)]
 
 
 def test_numeric_attributes(spark):
@@ -213,5 +257,91 @@ def test_write_back_and_reload(spark):
     side = "struct<property:string,param1:string,param2:string>"
     causes = spark.createDataFrame([(("ep1", "pick", None), ("op6", "order", "van"), [1, 3])], f"caused {side}, causing {side}, lags array<int>")
     assert [tuple(r) for r in reload_causes(with_causes(written, causes)).collect()] == [(("ep1", "pick", None), ("op6", "order", "van"), [1, 3])]
-    made = [json.loads(r["value"]) for r in results_json(points.unionByName(points.limit(1).withColumn("param2", F.lit("x")))).collect()]
-    assert sorted(map(str, made)) == sorted(map(str, [{"tsid": ["ep1", "pick"], "ar": [2, 3, last + 1]}, {"tsid": ["ep1", ["pick", "x"]], "ar": [2]}]))
+    p.grid.needs_forecast_length() if len(p.grid.rights) > 12 else None
+    carried = with_forecasts(with_causes(marked, causes), ahead.withColumn("idx", F.lit(last + 700)), p.grid, "Forecasting()")
+    (far,) = reload_forecasts(carried, p.grid).collect()
+    assert (far["idx"], far["t"], far["value"]) == (last + 700, p.grid.rights[-1] + timedelta(700), 2.5)
+    assert [r["idx"] for r in reload_marks(marked, "Change Point Detection", p.grid).filter("value = 1").orderBy("idx").collect()] == [1, 2, last]
+    assert reload_marks(marked, "Change Point Detection", p.grid).count() == last + 1
+    named = with_points(written, points, p.grid, "Threshold Based Point Detection(nlargest, 3)")
+    assert {r["property"] for r in reload_marks(named, "Threshold Based Point Detection", p.grid).collect()} == {"Threshold Based Points (nlargest, 3) for ep1"}
+    for technique, params, done in (("Change Point Detection", (), marked), ("Granger Causality", (), carried), ("Forecasting", (), carried), ("Threshold Based Point Detection", ("nlargest", 3), named), ("Guessing", (), log)):
+        with pytest.raises(ValueError):
+            refuse_repetition(done, technique, *params)
+    refuse_repetition(named, "Threshold Based Point Detection", "nlargest", 4)
+    refuse_repetition(written, "Forecasting")
+    assert written.is_enriched() and not log.is_enriched()
+    assert written.activities() == ["dummy", "pick"] and log.object_types() == ["order", "van"]
+    assert {r["n"] for r in log.interactions().collect()} == {1} and set(log.extended().first()["objects"]) == {"order", "van"} and log.summary().filter("otype = 'van'").first()["hours"] == 144
+
+
+def test_results_as_files(spark, tmp_path):
+    series = spark.createDataFrame([(p, a, b, i, date(2024, 1, 1 + i), i / 3) for p, a, b in (("ep1", "pick", None), ("ep4", 'place "it"', "a/b, c")) for i in range(3)], "property string, param1 string, param2 string, idx int, t date, value double")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    write_series_csv(series, str(tmp_path / "ts"))
+    assert rows(read_series_csv(spark, str(tmp_path / "ts"))) == rows(series)
+    points = series.filter("idx > 0").select("property", "param1", "param2", "idx")
+    side = "struct<property:string,param1:string,param2:string>"
+    causes = spark.createDataFrame([(("ep1", "pick", None), ("ep4", 'place "it"', "a/b, c"), [1, 3]), (("ep1", "pick", None), ("ep1", "[odd]", None), [2])], f"caused {side}, causing {side}, lags array<int>")
+    for kind, made, back in (("points", points_json(points), points), ("forecasts", forecasts_json(series), series.drop("idx")), ("causes", causes_json(causes), causes)):
+        made.write.text(str(tmp_path / kind))
+        assert rows(read_results(spark, str(tmp_path / kind), kind)) == rows(back)
+        (tmp_path / f"{kind}.json").write_text("[" + ",\n".join(r["value"] for r in made.collect()) + "]")  # as one array
+        assert rows(read_results(spark, str(tmp_path / f"{kind}.json"), kind)) == rows(back)
+    made = [json.loads(r["value"]) for r in points_json(points).collect()]
+    assert {"tsid": ["ep1", "pick"], "ar": [2, 3]} in made and {"tsid": ["ep4", ['place "it"', "a/b, c"]], "ar": [2, 3]} in made
+    assert {"tsid": ["ep1", "pick"], "ar": {"2024-01-01T00:00:00.000Z": 0.0, "2024-01-02T00:00:00.000Z": 1 / 3, "2024-01-03T00:00:00.000Z": 2 / 3}} in [json.loads(r["value"]) for r in forecasts_json(series).collect()]
+
+
+def test_selection(spark):
+    day = lambda d, h=0: f"2024-01-{d:02} {h:02}:00:00"
+    events = [(f"{a}{d}", a, day(d, h), day(d, h)) for d in range(1, 20) for a, h in (("pick", 6), ("ship", 12))]
+    relations = [x for d in range(1, 20) for x in ((f"pick{d}", f"o{d}", "order"), (f"pick{d}", f"i{d}", "item"), (f"ship{d}", f"o{d}", "order"))]
+    log = make_log(spark, events, relations)
+    part = Properties(spark, log, DAILY, "mean", start=date(2024, 1, 4), end=date(2024, 1, 12), event_types=("pick",), object_types=("order",))
+    assert (part.grid.left, part.grid.rights[-1]) == (date(2024, 1, 4), date(2024, 1, 12))
+    ids = lambda df: {(r["param1"], r["param2"]) for r in df.collect()}
+    assert ids(part.ep1()) == {("pick", None)} and ids(part.ep4()) == {("pick", "order")} and ids(part.op1()) == {("order", None)} and ids(part.op4()) == {("order", "pick")}
+    assert ids(part.op6()) == set() and ids(part.pp6()) == {("pick", "order")}
+    assert {r["value"] for r in replace(part, event_types=None).pp1().filter("param1 = 'ship'").collect()} == {6.0}  # the pick before counts, selected or not
+    with pytest.raises(ValueError):
+        replace(part, end=date(2024, 1, 6)).ep1()
+    with pytest.raises(ValueError):
+        part.grid.needs_forecast_length()
+
+
+def test_latest_values_by_every_mechanism(spark):
+    """The value of an attribute at a time, against looking at its whole history."""
+    import random
+
+    rng = random.Random(5)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    events = [(f"e{i}", "a", str(at(rng.randrange(0, 960, 6))), "") for i in range(60)]
+    events = [(e, a, s, s) for e, a, s, _ in events]
+    relations = [(e, f"o{rng.randrange(6)}", "order") for e, *_ in events]
+    history = [(f"o{o}", "price", "1970-01-01 00:00:00", False, float(o)) for o in range(6)] + [(f"o{o}", "price", str(at(rng.randrange(0, 960, 12))), True, float(rng.randrange(99))) for o in range(6) for _ in range(15)]
+    log = make_log(spark, events, relations, (), history)
+    for mechanism in ("starting", "ending", "contains", "overlaps"):
+        p = Properties(spark, log, WEEKLY, "sum", mechanism)
+        wide = p.object_times.join(log.object_attrs, "oid").filter("ts <= t").groupBy("oid", "t").agg(F.max(F.struct("ts", "changed", "value")).alias("x")).collect()
+        want: dict = {}
+        for r in wide:
+            label_ = period_end(r["t"].date(), WEEKLY)
+            want[label_] = want.get(label_, 0) + r["x"]["value"]
+        got = {r["t"]: r["value"] for r in p.op2().collect()}
+        assert all(want.get(t, 0) == v for t, v in got.items()) and (got or mechanism != "overlaps")
+
+
+def test_small_tables_are_held(spark):
+    df = spark.range(10).filter("id > 3")
+    assert held(df).count() == 6 and "LocalTableScan" in held(df)._jdf.queryExecution().executedPlan().toString()
+    assert held(df, 3) is df
+
+
+def test_types_are_broadcast(spark):
+    """Events aren't dealt by their activity or by the type of an object."""
+    log = make_log(spark, [(f"e{i}", "a", f"2024-01-{i + 1:02}", f"2024-01-{i + 1:02}") for i in range(9)], [(f"e{i}", f"{t}{i}", t) for i in range(9) for t in "xy"])
+    p = Properties(spark, log, DAILY)
+    for series in (p.ep4(), p.op4(), p.pp6(), p.pp7()):
+        plan = series._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\((activity|otype)#", plan)

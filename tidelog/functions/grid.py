@@ -39,6 +39,18 @@ class Grid:
     def rights(self) -> tuple[date, ...]:
         return self.edges[1:]
 
+    def needs_forecast_length(self) -> None:
+        """Forecasts and Granger tests need more intervals than the other analyses."""
+        if len(self.rights) < LEAST_FOR_FORECAST:
+            raise ValueError(f"{len(self.rights)} intervals; {LEAST_FOR_FORECAST} are the least for forecasts and causality")
+
+    def right(self, idx: Column) -> Column:
+        """The right edge of an interval by its number, behind the grid too, as a day."""
+        first = F.lit(self.rights[0].isoformat()).cast("date")
+        months = {MONTHLY: 1, QUARTERLY: 3, YEARLY: 12}.get(self.rate)
+        idx = idx.cast("int")
+        return F.last_day(F.add_months(F.trunc(first, "month"), idx * months)) if months else F.date_add(first, idx * (7 if self.rate == WEEKLY else 1))
+
 
 def grid(first: date, last: date, rate: str) -> Grid:
     """The grid from the day ``first`` to the day ``last``.

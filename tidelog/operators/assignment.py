@@ -15,6 +15,19 @@ def _within(ts: Column, g: Grid) -> Column:
     return (ts > edge(g.left)) & (ts <= edge(g.rights[-1]))
 
 
+def touched(rows: DataFrame, g: Grid) -> DataFrame:
+    """``rows`` (start, stop, more) that touch the grid, with the numbers of the first and the last interval touched: low, high."""
+    low, high = F.greatest(interval(F.col("start"), g), F.lit(0)), F.least(interval(F.col("stop"), g), F.lit(len(g.rights) - 1))
+    return rows.withColumn("low", low).withColumn("high", high).filter("low <= high")
+
+
+def each_interval(rows: DataFrame, g: Grid, low: str = "low", high: str = "high") -> DataFrame:
+    """A row for each interval from low to high, with its right edge as ``t``."""
+    rights = F.array(*[F.lit(d.isoformat()) for d in g.rights])
+    at = rows.withColumn("at", F.explode(F.sequence(low, high)))
+    return at.withColumn("t", F.element_at(rights, F.col("at") + 1).cast("timestamp")).drop(low, high, "at")
+
+
 def assign(rows: DataFrame, g: Grid, mechanism: str | None) -> DataFrame:
     """``rows`` (start, stop, more) with ``t``, the time that a row counts at.
 
@@ -26,13 +39,9 @@ def assign(rows: DataFrame, g: Grid, mechanism: str | None) -> DataFrame:
         return rows.filter(_within(F.col("start"), g)).withColumn("t", F.col("start"))
     if mechanism == "ending":
         return rows.filter(_within(F.col("stop"), g)).withColumn("t", F.col("stop"))
-    first, last = interval(F.col("start"), g), interval(F.col("stop"), g)
     if mechanism == "contains":
-        return rows.filter((first == last) & _within(F.col("stop"), g)).withColumn("t", F.col("stop"))
+        one = interval(F.col("start"), g) == interval(F.col("stop"), g)
+        return rows.filter(one & _within(F.col("stop"), g)).withColumn("t", F.col("stop"))
     if mechanism == "overlaps":
-        rights = F.array(*[F.lit(d.isoformat()) for d in g.rights])
-        low, high = F.greatest(first, F.lit(0)), F.least(last, F.lit(len(g.rights) - 1))
-        touched = rows.withColumn("low", low).withColumn("high", high).filter("low <= high")
-        touched = touched.withColumn("at", F.explode(F.sequence("low", "high")))
-        return touched.withColumn("t", F.element_at(rights, F.col("at") + 1).cast("timestamp")).drop("low", "high", "at")
+        return each_interval(touched(rows, g), g)
     raise ValueError(f"mechanism must be one of {MECHANISMS}")

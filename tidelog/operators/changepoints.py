@@ -36,8 +36,10 @@ def segment_costs(values: np.ndarray, model: str):
     raise ValueError(f"model must be one of {MODELS}")
 
 
-def segmentation(values: np.ndarray, model: str = "rbf", min_size: int = 3, penalty: float = 1.5) -> list[int]:
-    """The first places of all segments but the first, of the segmentation with the least cost plus ``penalty`` a segment; starts that can't win any more are pruned."""
+def segmentation(values: np.ndarray, model: str = "rbf", min_size: int = 3, penalty: float = 1.5, jump: int = 1) -> list[int]:
+    """The first places of all segments but the first, of the segmentation with the least cost plus ``penalty`` a segment; segments start at multiples of ``jump``, and starts that can't win any more are pruned."""
+    if jump < 1 or min_size < 1:
+        raise ValueError("jump and min_size are 1 at least")
     n = len(values)
     if n < 2 * min_size:
         return []
@@ -45,13 +47,16 @@ def segmentation(values: np.ndarray, model: str = "rbf", min_size: int = 3, pena
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = 0.0
     starts = np.array([0])
-    for stop in range(min_size, n + 1):
-        if stop - min_size >= min_size:
-            starts = np.append(starts, stop - min_size)
+    waiting = []  # starts that lie too close to the last stop
+    for stop in [*(k for k in range(0, n, jump) if k >= min_size), n]:
+        ready = [k for k in waiting if k <= stop - min_size]
+        waiting = [k for k in waiting if k > stop - min_size]
+        starts = np.append(starts, np.array(ready, int))
         ahead = best[starts] + cost(starts, stop)
         pick = int(np.argmin(ahead))
         best[stop], back[stop] = ahead[pick] + penalty, starts[pick]
         starts = starts[ahead <= best[stop]]
+        waiting.append(stop)
     out, at = [], n
     while at > 0:
         at = int(back[at])
@@ -60,12 +65,12 @@ def segmentation(values: np.ndarray, model: str = "rbf", min_size: int = 3, pena
     return out[::-1]
 
 
-def change_points(series: DataFrame, model: str = "rbf", min_size: int = 3, penalty: float = 1.5) -> DataFrame:
+def change_points(series: DataFrame, model: str = "rbf", min_size: int = 3, penalty: float = 1.5, jump: int = 1) -> DataFrame:
     """(property, param1, param2, idx): each series on its own; a series is as long as the grid."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
-        return pdf.iloc[segmentation(pdf["value"].to_numpy(), model, min_size, penalty)][[*TSID, "idx"]]
+        return pdf.iloc[segmentation(pdf["value"].to_numpy(), model, min_size, penalty, jump)][[*TSID, "idx"]]
 
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import Grid
 from .series import TSID
 from .stationarity import first_differences, least_squares
 
@@ -20,8 +21,21 @@ def _lag_columns(y: np.ndarray, e: np.ndarray, places: list[tuple[str, int]], at
     return np.column_stack([(y if kind == "y" else e)[at - k] for kind, k in places]) if places else np.empty((len(at), 0))
 
 
-def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tuple[int, int, int, int] = (3, 2, 1, 1), exogenous: np.ndarray | None = None, future: np.ndarray | None = None) -> np.ndarray:
-    """The next ``horizon`` values. Orders (p, q, P, Q) up to ``most`` are chosen by AICc; coefficients come from two steps of least squares, a long autoregression for the innovations and then all lags together. Exogenous columns enter as they are, with their future values."""
+CRITERIA = ("aicc", "aic", "bic")
+MOST, LEAST = (3, 2, 1, 1), (0, 0, 0, 0)
+
+
+def _score(criterion: str, n: int, ssr: float, size: int) -> float:
+    fit = n * log(max(ssr, 1e-12) / n)
+    return fit + size * (log(n) if criterion == "bic" else 2 * n / (n - size - 1) if criterion == "aicc" else 2)
+
+
+def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tuple[int, int, int, int] = MOST, exogenous: np.ndarray | None = None, future: np.ndarray | None = None, least: tuple[int, int, int, int] = LEAST, criterion: str = "aicc") -> np.ndarray:
+    """The next ``horizon`` values. Orders (p, q, P, Q) from ``least`` to ``most`` are chosen by an information criterion; coefficients come from two steps of least squares, a long autoregression for the innovations and then all lags together. Exogenous columns enter as they are, with their future values."""
+    if criterion not in CRITERIA:
+        raise ValueError(f"criterion must be one of {CRITERIA}")
+    if any(a > b for a, b in zip(least, most, strict=True)):
+        raise ValueError("a least order lies above the most")
     y = np.asarray(values, float)
     base = y
     if period:
@@ -39,7 +53,7 @@ def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tup
     if n < 6 or np.ptp(z) == 0:
         steps = np.full(horizon, z.mean() if n else 0.0)
     else:
-        steps = _predict_stationary(z, horizon, period, most, x, future)
+        steps = _predict_stationary(z, horizon, period, (least, most), criterion, x, future)
     for level in reversed(history[:-1]):
         steps = level[-1] + steps.cumsum()
     if period:
@@ -50,7 +64,8 @@ def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tup
     return steps
 
 
-def _predict_stationary(z, horizon, period, most, x, future) -> np.ndarray:
+def _predict_stationary(z, horizon, period, orders, criterion, x, future) -> np.ndarray:
+    least, most = orders
     n = len(z)
     long = max(1, min(n // 4, 10))
     at = np.arange(long, n)
@@ -59,9 +74,8 @@ def _predict_stationary(z, horizon, period, most, x, future) -> np.ndarray:
     e[long:] = z[long:] - first @ least_squares(first, z[long:])[0]
     widest = max([most[0], most[1] + long] + ([period * max(most[2], most[3])] if period else []))
     best = None
-    for p, q, sp, sq in product(*(range(m + 1) for m in most)):
-        if not period and (sp or sq):
-            continue
+    ranges = [range(a, b + 1) for a, b in zip(least, most, strict=True)]
+    for p, q, sp, sq in product(*ranges[:2], *(ranges[2:] if period else ((0,), (0,)))):
         places = [("y", k) for k in range(1, p + 1)] + [("e", k) for k in range(1, q + 1)] + [("y", period * k) for k in range(1, sp + 1)] + [("e", period * k) for k in range(1, sq + 1)]
         start = min(widest, n // 2)
         if places and max(k for _, k in places) > start:
@@ -72,7 +86,7 @@ def _predict_stationary(z, horizon, period, most, x, future) -> np.ndarray:
         if len(at) <= size + 1:
             continue
         beta, ssr, _ = least_squares(design, z[at])
-        score = len(at) * log(max(ssr, 1e-12) / len(at)) + 2 * size * len(at) / (len(at) - size - 1)
+        score = _score(criterion, len(at), ssr, size)
         if best is None or score < best[0] - 1e-9:
             best = score, places, beta
     if best is None:
@@ -86,12 +100,12 @@ def _predict_stationary(z, horizon, period, most, x, future) -> np.ndarray:
     return z[n:]
 
 
-def forecasts(series: DataFrame, periods: DataFrame, horizon: int = 4) -> DataFrame:
-    """Forecasts of each series on its own, behind its last place; ``periods`` (property, param1, param2, period) are those of ``orders``."""
+def forecasts(series: DataFrame, periods: DataFrame, horizon: int = 4, most: tuple[int, int, int, int] = MOST, least: tuple[int, int, int, int] = LEAST, criterion: str = "aicc") -> DataFrame:
+    """Forecasts of each series on its own, behind its last place; ``periods`` (property, param1, param2, period) are those of ``orders``. ``dated`` gives their days, ``appended`` the longer series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
-        values = fit_and_predict(pdf["value"].to_numpy(), horizon, int(pdf["period"].iloc[0]))
+        values = fit_and_predict(pdf["value"].to_numpy(), horizon, int(pdf["period"].iloc[0]), most, None, None, least, criterion)
         head = pdf.iloc[[0] * horizon][list(TSID)].reset_index(drop=True)
         return head.assign(idx=[int(pdf["idx"].iloc[-1]) + 1 + i for i in range(horizon)], value=values)
 
@@ -103,12 +117,21 @@ def _with_period(series: DataFrame, periods: DataFrame) -> DataFrame:
     return series.alias("s").join(periods.alias("o"), same, "left").select(*[F.col(f"s.{c}").alias(c) for c in (*TSID, "idx", "value")], F.coalesce("o.period", F.lit(0)).alias("period"))
 
 
-def forecasts_with_causes(series: DataFrame, periods: DataFrame, causes: DataFrame, horizon: int = 4) -> DataFrame:
+def dated(predicted: DataFrame, g: Grid) -> DataFrame:
+    """With ``t``, the right edge of the interval of each row, behind the grid."""
+    return predicted.withColumn("t", g.right(F.col("idx")))
+
+
+def appended(series: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(property, param1, param2, idx, value) of the series with their forecasts behind them."""
+    return series.select(*TSID, "idx", "value").unionByName(predicted.select(*TSID, "idx", "value"))
+
+
+def forecasts_with_causes(series: DataFrame, periods: DataFrame, causes: DataFrame, horizon: int = 4, most: tuple[int, int, int, int] = MOST, least: tuple[int, int, int, int] = LEAST, criterion: str = "aicc") -> DataFrame:
     """Two passes: the univariate forecasts of the causing series are the future values of the exogenous columns of the caused ones. ``causes`` is a result of ``granger``; a series without causes keeps its univariate forecast."""
-    alone = forecasts(series, periods, horizon)
+    alone = forecasts(series, periods, horizon, most, least, criterion)
     id_ = F.struct(*TSID)
-    longer = series.select(*TSID, "idx", "value").unionByName(alone)
-    values = longer.groupBy(id_.alias("cause_id")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("by_place"))
+    values = appended(series, alone).groupBy(id_.alias("cause_id")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("by_place"))
     columns = causes.select("caused", "causing").join(values, F.col("causing").eqNullSafe(F.col("cause_id"))).groupBy("caused").agg(F.array_sort(F.collect_list(F.struct("causing", F.map_entries("by_place").alias("values")))).alias("columns"))
     own = _with_period(series, periods).groupBy(id_.alias("id")).agg(F.first("period").alias("period"), F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("values"))
 
@@ -120,7 +143,7 @@ def forecasts_with_causes(series: DataFrame, periods: DataFrame, causes: DataFra
             maps = [{r["key"]: r["value"] for r in x["values"]} for x in c]
             ahead = range(at[-1] + 1, at[-1] + 1 + horizon)
             table = lambda places, maps=maps: np.array([[m.get(i, 0.0) for m in maps] for i in places])
-            out.append(fit_and_predict(np.array([r["value"] for r in v]), horizon, int(s), exogenous=table(at), future=table(ahead)))
+            out.append(fit_and_predict(np.array([r["value"] for r in v]), horizon, int(s), most, table(at), table(ahead), least, criterion))
         return pd.Series([list(map(float, x)) for x in out])
 
     joined = own.join(columns, F.col("id").eqNullSafe(F.col("caused")))
@@ -141,3 +164,16 @@ def accuracy(series: DataFrame, predicted: DataFrame, train: DataFrame) -> DataF
     errors = both.groupBy(*TSID).agg(F.avg(error).alias("mae"), F.avg(error / F.greatest(F.abs("value"), F.lit(1e-300))).alias("mape"), F.min("value").alias("low")).filter("low >= 0.001")
     joined = errors.alias("e").join(scale.alias("t"), same("e", "t"))
     return joined.select(*[F.col(f"e.{c}").alias(c) for c in TSID], F.round(F.try_divide("mae", "scale"), 2).alias("mase"), F.round(F.col("mape") * 100, 2).alias("mape"))
+
+
+def accuracy_table(errors: DataFrame, *by: str) -> DataFrame:
+    """Mean and median of mase and mape of ``errors`` (by, mase, mape), such as by log and experiment."""
+    stats = [f(c).alias(f"{c}_{name}") for c in ("mase", "mape") for name, f in (("mean", F.avg), ("median", F.median))]
+    return errors.groupBy(*by).agg(F.count("*").alias("n_series"), *stats)
+
+
+def exogenous_counts(series: DataFrame, causes: DataFrame) -> DataFrame:
+    """(property, param1, param2, n_causes) of each series: how many others it takes as exogenous, 0 without a cause."""
+    counts = causes.select("caused", "causing").distinct().groupBy("caused").agg(F.count("*").alias("n_causes"))
+    ids = series.select(*TSID).distinct().withColumn("id", F.struct(*TSID))
+    return ids.join(counts, F.col("id").eqNullSafe(F.col("caused")), "left").select(*TSID, F.coalesce("n_causes", F.lit(0)).alias("n_causes"))

@@ -49,31 +49,45 @@ def _causal_lags(one: dict, other: dict, wanted, level: float) -> list[int]:
     return out
 
 
-def granger(series: DataFrame, lags: int | list[int] | None = None, level: float = 0.01, points: DataFrame | None = None) -> DataFrame:
-    """(caused, causing: struct of property, param1, param2; lags): ordered pairs of series for which all tests reject at ``level``.
+def granger(series: DataFrame, lags: int | list[int] | None = None, level: float = 0.01, points: DataFrame | None = None, block: int = 64, most_pairs: int = 1_000_000) -> DataFrame:
+    """(caused, causing: struct of property, param1, param2; lags; from_points): ordered pairs of series for which all tests reject at ``level``.
 
     ``lags``: None for all up to a third of the length, a number for all up to it, or a list. With ``points`` (change
-    points: property, param1, param2, idx) the lags are the distances from a causing to a later caused point. Every
-    ordered pair of series is tested by definition; there is one row of a pair, with its values as maps by place.
+    points: property, param1, param2, idx) the lags are the distances from a causing to a later caused point, and
+    from_points has the pairs of points (lag, causing, caused), counted from 1, behind each lag.
+
+    Every ordered pair is tested by definition, so the number of series decides; more than ``most_pairs`` pairs are
+    refused. Series are dealt to blocks, and each pair of blocks is one task's work: a series is sent once for each
+    block, not once for each pair.
     """
     id_ = F.struct(*TSID)
-    whole = series.groupBy(id_.alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("values"))
+    whole = series.groupBy(id_.alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    whole = whole.select("id", F.col("v.idx").alias("at"), F.col("v.value").alias("values"))
     if points is not None:
-        cuts = points.groupBy(id_.alias("p_id")).agg(F.collect_list("idx").alias("cuts"))
-        whole = whole.join(cuts, F.col("id").eqNullSafe(F.col("p_id")), "left").select("id", "values", F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts"))
+        cuts = points.groupBy(id_.alias("p_id")).agg(F.sort_array(F.collect_set(F.col("idx").cast("int"))).alias("cuts"))
+        whole = whole.join(cuts, F.col("id").eqNullSafe(F.col("p_id")), "left").drop("p_id").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
     else:
         whole = whole.withColumn("cuts", F.array().cast("array<int>"))
-    names = lambda p: [F.col(c).alias(f"{p}_{c}") for c in whole.columns]
-    pairs = whole.select(*names("one")).join(whole.select(*names("two")), ~F.col("one_id").eqNullSafe(F.col("two_id")))
-    distances = F.expr("array_sort(flatten(transform(one_cuts, a -> transform(two_cuts, b -> a - b))))")
-    pairs = pairs.select(F.col("one_id").alias("caused"), F.col("two_id").alias("causing"), "one_values", "two_values", distances.alias("distances"))
+    n = whole.count()
+    if n * (n - 1) > most_pairs:
+        raise ValueError(f"{n} series make {n * (n - 1)} pairs, more than {most_pairs}")
+    blocks = max(1, -(-n // block))
+    dealt = whole.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     by_points = points is not None
 
-    def run(batches):
-        for b in batches:
-            found = [_causal_lags(dict(x), dict(y), list(d) if by_points else lags, level) for x, y, d in zip(b["one_values"], b["two_values"], b["distances"], strict=True)]
-            out = b[["caused", "causing"]].assign(lags=pd.Series(found, b.index, object))
-            yield out[[len(x) > 0 for x in found]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(dict(i), int(b), dict(zip(map(int, a), v, strict=True)), [int(c) for c in cuts]) for i, b, a, v, cuts in zip(pdf["id"], pdf["block"], pdf["at"], pdf["values"], pdf["cuts"], strict=True)]
+        across, out = pdf["p"].iloc[0] != pdf["q"].iloc[0], []
+        for i, (caused, one_block, y, ends) in enumerate(rows):
+            for j, (causing, two_block, x, starts) in enumerate(rows):
+                if i == j or (across and one_block == two_block):
+                    continue
+                pairs = sorted((a - b, b + 1, a + 1) for a in ends for b in starts if a > b) if by_points else []
+                found = _causal_lags(y, x, sorted({d for d, _, _ in pairs}) if by_points else lags, level)
+                if found:
+                    out.append((caused, causing, found, [{"lag": d, "causing": b, "caused": a} for d, b, a in pairs if d in found]))
+        return pd.DataFrame(out, columns=["caused", "causing", "lags", "from_points"])
 
     side = "struct<property:string,param1:string,param2:string>"
-    return pairs.mapInPandas(run, f"caused {side}, causing {side}, lags array<int>")
+    return dealt.groupBy("p", "q").applyInPandas(run, f"caused {side}, causing {side}, lags array<int>, from_points array<struct<lag:int,causing:int,caused:int>>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import Grid
 from .series import TSID
 
 COMPARISONS = ("between", ">=", "<=")
@@ -55,3 +56,25 @@ def differences(series: DataFrame, lag: int, times: int = 1) -> DataFrame:
     for _ in range(times):
         series = series.withColumn("value", F.col("value") - F.lag("value", lag).over(w)).filter("value is not null")
     return series
+
+
+def as_series(points: DataFrame, g: Grid, *more: str) -> DataFrame:
+    """Points (property, param1, param2, idx, more) as series on the whole grid: 1 at a point, else 0. ``more`` names further columns that tell series apart."""
+    ids = [*TSID, *more]
+    wanted = points.select(*ids).distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(len(g.rights) - 1))))
+    hits = points.select(*ids, "idx").distinct().withColumn("hit", F.lit(1.0))
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ids] + [F.col("w.idx") == F.col("h.idx")]
+    joined = wanted.alias("w").join(hits.alias("h"), same, "left")
+    return joined.select(*[F.col(f"w.{c}").alias(c) for c in ids], F.col("w.idx").alias("idx"), g.right(F.col("w.idx")).alias("t"), F.coalesce("h.hit", F.lit(0.0)).alias("value"))
+
+
+def places(marked: DataFrame) -> DataFrame:
+    """The points of a 0/1 series."""
+    return marked.filter("value = 1").select(*TSID, "idx")
+
+
+def causal_inputs(marked: DataFrame) -> DataFrame:
+    """The 0/1 series that can be inputs of a causality test: with two points or more, and not a point everywhere."""
+    w = Window.partitionBy(*TSID)
+    counted = marked.withColumn("hits", F.sum("value").over(w)).withColumn("low", F.min("value").over(w))
+    return counted.filter("hits > 1 and low = 0").drop("hits", "low")

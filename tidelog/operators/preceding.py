@@ -14,11 +14,21 @@ def preceding(log: EventLog, is_atomic: bool = True) -> DataFrame:
     Atomic events are ordered by (ts, eid). Otherwise a predecessor ends when the event starts at the latest, and of
     several the one with the largest (end, start, eid) counts.
     """
-    marks = log.linked().join(log.events.select("eid", "ts", "end_ts"), "eid")
-    found = _atomic(marks) if is_atomic else _timed(marks)
+    found = _found(log, is_atomic).repartition("eid")  # so that what follows by event needs no other shuffle
     return found.groupBy("eid", "prev.eid", "prev.end").agg(F.collect_set("otype").alias("types")).toDF("eid", "prev_eid", "prev_end", "types")
 
 
+def preceding_ends(log: EventLog, is_atomic: bool = True) -> DataFrame:
+    """(eid, latest, earliest): the ends of the events that precede an event; events without one have no row."""
+    return _found(log, is_atomic).groupBy("eid").agg(F.max("prev.end").alias("latest"), F.min("prev.end").alias("earliest"))
+
+
+def _found(log: EventLog, is_atomic: bool) -> DataFrame:
+    """(eid, otype, prev) of each event and object of it that has an earlier event."""
+    marks = log.linked().join(log.events.select("eid", "ts", "end_ts"), "eid")
+    return (_atomic(marks) if is_atomic else _timed(marks)).select("eid", "otype", "prev")
+
+
 def _atomic(marks: DataFrame) -> DataFrame:
     """``lag`` along each object. The window is cut by month, so that an object with very many events is no single task; the last event of an object's earlier months is carried over by a window over its months."""
     mark = F.struct("ts", "eid", F.col("ts").alias("end"))

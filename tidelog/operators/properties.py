@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, grid
+from ..functions.grid import Grid, grid, interval
 from ..sources.log import EventLog
-from .assignment import assign
-from .preceding import preceding
+from .assignment import assign, each_interval, touched
+from .preceding import preceding, preceding_ends
 from .series import align, resample
 
 NAMES = {
@@ -28,9 +29,18 @@ def hours(a: Column, b: Column) -> Column:
     return (F.unix_micros(a) - F.unix_micros(b)) / 3.6e9
 
 
+def _chosen(rows: DataFrame, column: str, values: tuple[str, ...] | None) -> DataFrame:
+    return rows if values is None else rows.filter(F.col(column).isin(list(values)))
+
+
 @dataclass
 class Properties:
-    """Properties of ``log`` on a grid of ``rate`` over all of its events, aggregated by ``mode``; ``mechanism`` says when objects, and events with a duration, count. Each method gives the series on the whole grid."""
+    """Properties of ``log`` on a grid of ``rate``, aggregated by ``mode``; ``mechanism`` says when objects, and events with a duration, count. Each method gives the series on the whole grid.
+
+    The grid spans the days from ``start`` to ``end``; without them, all events. ``event_types`` and ``object_types``
+    select series by their parameters; op6 and rp2 look at events of all types. A selection restricts the rows that are
+    read, not what a value is made of: preceding events and lifecycles are those of the whole log.
+    """
 
     spark: SparkSession
     log: EventLog
@@ -39,49 +49,61 @@ class Properties:
     mechanism: str = "overlaps"
     is_atomic: bool = True
     resource_type: str | None = None
+    start: date | None = None
+    end: date | None = None
+    event_types: tuple[str, ...] | None = None
+    object_types: tuple[str, ...] | None = None
 
     @cached_property
     def grid(self) -> Grid:
-        first, last = self.log.events.agg(F.to_date(F.min("ts")), F.to_date(F.max("end_ts"))).first()
-        return grid(first, last, self.rate)
+        first, last = (self.start, self.end) if self.start and self.end else self.log.bounds()
+        return grid(self.start or first, self.end or last, self.rate)
 
     @cached_property
-    def event_times(self) -> DataFrame:
+    def all_event_times(self) -> DataFrame:
         rows = self.log.events.select("eid", "activity", F.col("ts").alias("start"), F.col("end_ts").alias("stop"))
-        return assign(rows, self.grid, None if self.is_atomic else self.mechanism).select("eid", "activity", "t")
+        return assign(rows, self.grid, None if self.is_atomic else self.mechanism).select("eid", "activity", "start", "stop", "t")
+
+    @cached_property
+    def event_times(self) -> DataFrame:
+        return _chosen(self.all_event_times, "activity", self.event_types)
+
+    @cached_property
+    def lifecycles(self) -> DataFrame:
+        return _chosen(self.log.lifecycles(), "otype", self.object_types)
 
     @cached_property
     def object_times(self) -> DataFrame:
-        return assign(self.log.lifecycles(), self.grid, self.mechanism)
+        return assign(self.lifecycles, self.grid, self.mechanism)
+
+    @property
+    def combinations(self) -> DataFrame:
+        return _chosen(_chosen(self.log.combinations, "activity", self.event_types), "otype", self.object_types)
 
     def _series(self, rows: DataFrame, property: str, mode: str | None = None, value: Column | None = None) -> DataFrame:
         return align(resample(rows, property, self.rate, mode or self.mode, value), self.grid, mode or self.mode)
 
-    def _of_events(self, property: str, values: DataFrame, param2: Column | None = None, param1: str = "activity") -> DataFrame:
-        """Series of ``values`` (eid, v, more) at the times of the events."""
-        rows = values.join(self.event_times, "eid")
-        return self._series(rows.select(F.col(param1).alias("param1"), (F.lit(None) if param2 is None else param2).alias("param2"), "t", "v"), property)
+    def _of_events(self, property: str, rows: DataFrame, value: Column | None = None, param2: Column | None = None, param1: str = "activity") -> DataFrame:
+        """Series of ``rows`` (param1, t, more) of events at their times."""
+        value = F.col("v") if value is None else value
+        return self._series(rows.select(F.col(param1).alias("param1"), (F.lit(None) if param2 is None else param2).alias("param2"), "t", value.alias("v")), property)
 
     def ep1(self) -> DataFrame:
         rows = self.event_times.select(F.col("activity").alias("param1"), F.lit(None).alias("param2"), "t", F.lit(1).alias("v"))
         return self._series(rows, "ep1", "sum")
 
     def ep2(self) -> DataFrame:
-        return self._of_events("ep2", self.log.event_attrs.select("eid", "name", F.col("value").alias("v")), F.col("name"))
+        return self._of_events("ep2", self.event_times.join(self.log.event_attrs.select("eid", "name", F.col("value").alias("v")), "eid"), param2=F.col("name"))
 
     def ep3(self) -> DataFrame:
-        return self._of_events("ep3", self.log.linked().groupBy("eid").agg(F.count("*").alias("v")))
+        return self._of_events("ep3", self.event_times.join(self.log.linked().groupBy("eid").agg(F.count("*").alias("v")), "eid"))
 
     def ep4(self) -> DataFrame:
-        return self._of_events("ep4", self._type_counts(), F.col("otype"))
-
-    def _type_counts(self) -> DataFrame:
-        """(eid, otype, v) for all events with objects and the types that go with their activity, 0 included."""
-        linked = self.log.linked()
-        counts = linked.groupBy("eid", "otype").agg(F.count("*").alias("v"))
-        events = self.log.events.select("eid", "activity").join(linked.select("eid").distinct(), "eid", "left_semi")
-        wanted = events.join(self.log.combinations(), "activity").select("eid", "otype")
-        return wanted.join(counts, ["eid", "otype"], "left").select("eid", "otype", F.coalesce("v", F.lit(0)).alias("v"))
+        """Events with objects count for all types that go with their activity, as 0 for types they lack. An event's counts travel as one map, the types are broadcast."""
+        counts = self.log.linked().groupBy("eid", "otype").agg(F.count("*").alias("n"))
+        by_type = counts.groupBy("eid").agg(F.map_from_entries(F.collect_list(F.struct("otype", "n"))).alias("by_type"))
+        rows = self.event_times.join(by_type, "eid").join(self.combinations, "activity")
+        return self._of_events("ep4", rows, F.coalesce(F.col("by_type")[F.col("otype")], F.lit(0)), F.col("otype"))
 
     def _of_objects(self, property: str, rows: DataFrame, value: Column, param2: Column | None = None, mode: str | None = None) -> DataFrame:
         return self._series(rows.select(F.col("otype").alias("param1"), (F.lit(None) if param2 is None else param2).alias("param2"), "t", value.alias("v")), property, mode)
@@ -90,7 +112,20 @@ class Properties:
         return self._of_objects("op1", self.object_times.select("oid", "otype", "t").distinct(), F.lit(1), mode="sum")
 
     def op2(self) -> DataFrame:
-        """The latest value at the time; at equal times a change beats an initial value, and the larger value wins."""
+        """The latest value at the time; at equal times a change beats an initial value, and the larger value wins.
+
+        Under ``overlaps`` the times are edges of the grid, so of an object's values only the last of each interval
+        counts, and it holds until the interval of the next one: one ordered pass over the intervals of an attribute.
+        Otherwise an object has one time, and its values are held against that.
+        """
+        if self.mechanism == "overlaps":
+            places = self.log.object_attrs.withColumn("since", F.greatest(interval(F.col("ts"), self.grid), F.lit(-1))).filter(F.col("since") < len(self.grid.rights))
+            last = places.groupBy("oid", "name", "since").agg(F.max(F.struct("ts", "changed", "value")).alias("latest"))
+            following = F.lead("since").over(Window.partitionBy("oid", "name").orderBy("since"))
+            spans = last.withColumn("until", F.coalesce(following, F.lit(len(self.grid.rights))) - 1)
+            rows = touched(self.lifecycles, self.grid).join(spans, "oid")
+            rows = rows.withColumn("low", F.greatest("low", "since")).withColumn("high", F.least("high", "until")).filter("low <= high")
+            return self._of_objects("op2", each_interval(rows, self.grid), F.col("latest.value"), F.col("name"))
         rows = self.object_times.select("oid", "otype", "t").join(self.log.object_attrs, "oid").filter("ts <= t")
         latest = rows.groupBy("oid", "otype", "t", "name").agg(F.max(F.struct("ts", "changed", "value")).alias("latest"))
         return self._of_objects("op2", latest, F.col("latest.value"), F.col("name"))
@@ -99,59 +134,49 @@ class Properties:
         return self._of_objects("op3", self.object_times, F.col("n_events"))
 
     def op4(self) -> DataFrame:
-        counts = self.log.linked().join(self.log.events.select("eid", "activity"), "eid").groupBy("oid", "activity").agg(F.count("*").alias("v"))
-        wanted = self.object_times.select("oid", "otype", "t").join(self.log.combinations(), "otype")
-        rows = wanted.join(counts, ["oid", "activity"], "left")
-        return self._of_objects("op4", rows, F.coalesce("v", F.lit(0)), F.col("activity"))
+        """An object's counts by activity travel as one map, the activities of its type are broadcast."""
+        counts = self.log.linked().join(self.log.events.select("eid", "activity"), "eid").groupBy("oid", "activity").agg(F.count("*").alias("n"))
+        by_activity = counts.groupBy("oid").agg(F.map_from_entries(F.collect_list(F.struct("activity", "n"))).alias("by_activity"))
+        rows = self.object_times.select("oid", "otype", "t").join(by_activity, "oid").join(self.combinations, "otype")
+        return self._of_objects("op4", rows, F.coalesce(F.col("by_activity")[F.col("activity")], F.lit(0)), F.col("activity"))
 
     def op5(self) -> DataFrame:
         return self._of_objects("op5", self.object_times, hours(F.col("stop"), F.col("start")))
 
     def op6(self) -> DataFrame:
-        """An event's pairs of types come from its counts by type, so that its objects aren't paired: n * m for two types, n * (n - 1) / 2 for one."""
-        counts = self.log.linked().groupBy("eid", "otype").agg(F.count("*").alias("n"))
-        types = counts.groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("otype", "n"))).alias("types"))
-        pairs = F.expr("flatten(transform(types, (a, i) -> transform(slice(types, i + 1, size(types)), b -> struct(a.otype as one, b.otype as two, if(a.otype = b.otype, a.n * (a.n - 1) div 2, a.n * b.n) as v))))")
-        rows = types.select("eid", F.inline(pairs)).filter("v > 0")
-        return self._of_events("op6", rows, F.col("two"), "one")
-
-    @cached_property
-    def _previous(self) -> DataFrame:
-        return preceding(self.log, self.is_atomic)
+        pairs = _chosen(_chosen(self.log.interactions(), "one", self.object_types), "two", self.object_types)
+        return self._of_events("op6", self.all_event_times.join(pairs, "eid"), F.col("n"), F.col("two"), "one")
 
     def _timing(self, property: str, value: Column) -> DataFrame:
-        """Of ``latest`` and ``earliest`` end of the preceding events, null without any."""
-        ends = self._previous.groupBy("eid").agg(F.max("prev_end").alias("latest"), F.min("prev_end").alias("earliest"))
-        rows = self.log.events.select("eid", "ts", "end_ts").join(ends, "eid", "left")
-        return self._of_events(property, rows.select("eid", value.alias("v")))
+        """Of start and stop of an event, and of ``latest`` and ``earliest`` end of the preceding events, null without any."""
+        return self._of_events(property, self.event_times.join(preceding_ends(self.log, self.is_atomic), "eid", "left"), value)
 
     def pp1(self) -> DataFrame:
-        return self._timing("pp1", F.coalesce(hours(F.col("ts"), F.col("latest")), F.lit(0.0)))
+        return self._timing("pp1", F.coalesce(hours(F.col("start"), F.col("latest")), F.lit(0.0)))
 
     def pp2(self) -> DataFrame:
         return self._timing("pp2", F.coalesce(hours(F.col("latest"), F.col("earliest")), F.lit(0.0)))
 
     def pp3(self) -> DataFrame:
         self._needs_durations("pp3")
-        return self._of_events("pp3", self.log.events.select("eid", hours(F.col("end_ts"), F.col("ts")).alias("v")))
+        return self._of_events("pp3", self.event_times, hours(F.col("stop"), F.col("start")))
 
     def pp4(self) -> DataFrame:
         self._needs_durations("pp4")
-        return self._timing("pp4", hours(F.col("end_ts"), F.coalesce("latest", "ts")))
+        return self._timing("pp4", hours(F.col("stop"), F.coalesce("latest", "start")))
 
     def pp5(self) -> DataFrame:
-        return self._timing("pp5", hours(F.col("end_ts"), F.coalesce("earliest", "ts")))
+        return self._timing("pp5", hours(F.col("stop"), F.coalesce("earliest", "start")))
 
     def _needs_durations(self, property: str) -> None:
         if self.is_atomic:
             raise ValueError(f"{property} needs events with a duration")
 
     def _by_type(self, property: str, one: Column, other: Column, value: Column) -> DataFrame:
-        """For each event and type of its activity: ``one`` and ``other`` aggregate the preceding ends, and value is made of them."""
-        events = self.log.events.select("eid", "activity").join(self.log.combinations(), "activity")
-        rows = events.join(self._previous, "eid", "left").withColumn("has", F.array_contains("types", F.col("otype")))
-        rows = rows.groupBy("eid", "otype").agg(one.alias("one"), other.alias("other")).withColumn("v", value)
-        return self._of_events(property, rows.select("eid", "otype", "v"), F.col("otype"))
+        """For each event and type of its activity: ``one`` and ``other`` aggregate the preceding ends, and value is made of them. Types are broadcast, so events are dealt by their id only."""
+        rows = self.event_times.join(preceding(self.log, self.is_atomic), "eid", "left").join(self.combinations, "activity").withColumn("has", F.array_contains("types", F.col("otype")))
+        rows = rows.groupBy("eid", "activity", "t", "otype").agg(one.alias("one"), other.alias("other"))
+        return self._of_events(property, rows, value, F.col("otype"))
 
     def pp6(self) -> DataFrame:
         linked = F.when(F.col("has"), F.col("prev_end"))
@@ -167,7 +192,7 @@ class Properties:
         return self._renamed(self.ep4(), "rp1", "param2")
 
     def rp2(self) -> DataFrame:
-        rows = self.log.linked().filter(F.col("otype") == self.resource_type).join(self.event_times, "eid")
+        rows = self.log.linked().filter(F.col("otype") == self.resource_type).join(self.all_event_times, "eid")
         return self._series(rows.select(F.col("otype").alias("param1"), F.lit(None).alias("param2"), "t", "oid"), "rp2", "sum", F.count_distinct("oid"))
 
     def rp3(self) -> DataFrame:

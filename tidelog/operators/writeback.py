@@ -8,12 +8,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, period_end
-from ..sources.log import EPOCH, EventLog
+from ..functions.grid import Grid, interval
+from ..sources.log import EPOCH, SERIES_TYPE, VALUES, EventLog, held
+from .points import as_series
 from .properties import NAMES, Properties
 
-SERIES_TYPE, VALUES, DUMMY = "time series", "tsvalues", "dummy"
+DUMMY = "dummy"
 CAUSED = "Granger caused by (with lags: "
+CHANGE_POINTS, THRESHOLD_POINTS, GRANGER, FORECASTING = TECHNIQUES = ("Change Point Detection", "Threshold Based Point Detection", "Granger Causality", "Forecasting")
 
 
 def series_id() -> Column:
@@ -35,24 +37,25 @@ def _initial(ids: DataFrame, name: str) -> DataFrame:
 
 def related(p: Properties, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(series oid, eid) of series of events and (series oid, oid) of series of objects: what is behind each of them."""
-    ids = series.select("property", "param1", "param2", series_id().alias("series")).distinct()
+    ids = held(series.select("property", "param1", "param2", series_id().alias("series")).distinct())
     of_objects = F.col("property").startswith("op") | F.col("property").isin("rp2", "rp3")
     events = p.event_times.select("eid", F.col("activity").alias("param1")).distinct()
-    by_event = ids.filter(~of_objects).join(events, "param1").select("series", "eid")
+    by_event = events.join(F.broadcast(ids.filter(~of_objects)), "param1").select("series", "eid")
     overlapping = replace(p, mechanism="overlaps").object_times
     objects = p.object_times.select("oid", "otype", F.lit(False).alias("wide")).unionByName(overlapping.select("oid", "otype", F.lit(True).alias("wide"))).distinct()
     types = F.when(F.col("property") == "op6", F.array_distinct(F.array("param1", "param2"))).otherwise(F.array("param1"))
     wanted = ids.filter(of_objects).select("series", F.explode(types).alias("otype"), F.col("property").isin("op6", "rp2").alias("wide"))
-    return by_event, wanted.join(objects, ["otype", "wide"]).select("series", "oid").distinct()
+    return by_event, objects.join(F.broadcast(wanted), ["otype", "wide"]).select("series", "oid").distinct()
 
 
 def with_series(spark: SparkSession, p: Properties, series: DataFrame) -> EventLog:
     """The log with an object for each series: its values as the history of an attribute, relations from the events behind it or to the objects behind it. Series of objects hang on two dummy events at the ends of the grid, as objects without events would be lost on reading."""
     log, g = p.log, p.grid
-    ids = series.select("property", "param1", "param2", series_id().alias("oid")).distinct()
+    ids = held(series.select("property", "param1", "param2", series_id().alias("oid")).distinct())
     by_event, by_object = related(p, series)
     name = F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), F.lit(v))])
     qualifier = ids.select("oid", F.concat_ws("&", F.lit("ts"), F.lit(p.rate), F.lit(p.mode), name[F.col("property")], F.concat_ws("|", "param1", "param2")).alias("qualifier"))
+    qualifier = F.broadcast(qualifier)
     relation = lambda rows: rows.join(qualifier, "oid").select("eid", "oid", F.lit(SERIES_TYPE).alias("otype"), "qualifier")
     ends = [("start_dummy_event", datetime(g.left.year, g.left.month, g.left.day) + timedelta(seconds=1)), ("end_dummy_event", datetime(g.rights[-1].year, g.rights[-1].month, g.rights[-1].day) - timedelta(seconds=1))]
     dummies = spark.range(2).select(F.when(F.col("id") == 0, ends[0][0]).otherwise(ends[1][0]).alias("eid"), F.lit(DUMMY).alias("activity"), F.when(F.col("id") == 0, F.lit(ends[0][1])).otherwise(F.lit(ends[1][1])).alias("ts"))
@@ -73,21 +76,16 @@ def with_series(spark: SparkSession, p: Properties, series: DataFrame) -> EventL
 
 def with_points(log: EventLog, points: DataFrame, g: Grid, name: str) -> EventLog:
     """Points (property, param1, param2, idx) as an attribute that is 0 at first, 1 from a second before the end of a point's interval, and 0 again from a second before the end of the next one that isn't a point."""
-    behind = period_end(g.rights[-1] + timedelta(1), g.rate)
-    rights = F.array(*[F.lit(d.isoformat()) for d in (*g.rights, behind)])
     ids = points.select(series_id().alias("oid"), "idx").distinct()
     after = ids.select("oid", (F.col("idx") + 1).alias("idx")).join(ids, ["oid", "idx"], "left_anti")
-    at = F.element_at(rights, F.col("idx") + 1).cast("timestamp") - F.expr("interval 1 second")
+    at = g.right(F.col("idx")).cast("timestamp") - F.expr("interval 1 second")
     rows = ids.withColumn("v", F.lit(1)).unionByName(after.withColumn("v", F.lit(0)))
     return replace(log, object_attrs=log.object_attrs.unionByName(rows.select(*_attr(F.col("oid"), name, at, F.col("v")))).unionByName(_initial(ids.select("oid").distinct(), name)))
 
 
 def with_forecasts(log: EventLog, forecasts: DataFrame, g: Grid, name: str) -> EventLog:
     """Forecasts (property, param1, param2, idx, value) as an attribute at the ends of their intervals, 0 at first."""
-    days = list(g.rights)
-    for _ in range(500):
-        days.append(period_end(days[-1] + timedelta(1), g.rate))
-    at = F.element_at(F.array(*[F.lit(d.isoformat()) for d in days]), F.col("idx") + 1)
+    at = g.right(F.col("idx"))
     ids = forecasts.select(series_id().alias("oid")).distinct()
     return replace(log, object_attrs=log.object_attrs.unionByName(forecasts.select(*_attr(series_id(), name, at, F.col("value")))).unionByName(_initial(ids, name)))
 
@@ -117,6 +115,36 @@ def reload_points(log: EventLog, technique: str) -> DataFrame:
     return _parsed(log.object_attrs.filter(F.col("name").startswith(technique) & (F.col("value") == 1))).select("property", "param1", "param2", "name", "ts")
 
 
+def reload_marks(log: EventLog, technique: str, g: Grid) -> DataFrame:
+    """The points of a technique as 0/1 series (property, param1, param2, idx, t, value) on the grid. Threshold points are series of their own, with their parameters in the property; change points go with the series that they are of."""
+    points = reload_points(log, technique).withColumn("idx", interval(F.col("ts") + F.expr("interval 1 second"), g))
+    marked = as_series(points.filter(F.col("idx").between(0, len(g.rights) - 1)), g, "name")
+    if technique == THRESHOLD_POINTS:
+        params = F.substring("name", len(technique) + 1, 1 << 20)
+        marked = marked.withColumn("property", F.concat(F.lit("Threshold Based Points "), params, F.lit(" for "), F.col("property")))
+    return marked.drop("name")
+
+
+def reload_forecasts(log: EventLog, g: Grid) -> DataFrame:
+    """(property, param1, param2, idx, t, value) of the forecasts that a log carries."""
+    rows = _parsed(log.object_attrs.filter(F.col("name").startswith(FORECASTING) & F.col("changed")))
+    return rows.select("property", "param1", "param2", interval(F.col("ts"), g).alias("idx"), F.to_date("ts").alias("t"), "value")
+
+
+def refuse_repetition(log: EventLog, technique: str, *params: object) -> None:
+    """An analysis that a log carries already isn't run on it again; threshold points may be, with other parameters."""
+    if technique not in TECHNIQUES:
+        raise ValueError(f"technique must be one of {TECHNIQUES}")
+    if technique == GRANGER:
+        again = log.o2o.filter(F.col("qualifier").startswith(CAUSED))
+    elif technique == THRESHOLD_POINTS:
+        again = log.object_attrs.filter(F.col("name") == attribute_name(technique, *params))
+    else:
+        again = log.object_attrs.filter(F.col("name").startswith(technique))
+    if not again.isEmpty():
+        raise ValueError(f"the log has results of {technique} already")
+
+
 def reload_causes(log: EventLog) -> DataFrame:
     """(caused, causing, lags) of the causal relations that a log carries."""
     rows = log.o2o.filter(F.col("qualifier").startswith(CAUSED))
@@ -125,12 +153,3 @@ def reload_causes(log: EventLog) -> DataFrame:
     both = _parsed(one, "oid_2").select(struct("caused").alias("caused"), F.struct("property", "param1", "param2").alias("causing"), "qualifier")
     lags = F.split(F.regexp_extract("qualifier", r"lags: (.*)\)", 1), ", ").cast("array<int>")
     return both.select("caused", "causing", lags.alias("lags"))
-
-
-def results_json(points: DataFrame) -> DataFrame:
-    """One JSON text a series: its id and the places of its points, counted from 1."""
-    text = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
-    params = F.when(F.col("param2").isNull(), text("param1")).otherwise(F.to_json(F.array("param1", "param2")))
-    id_ = F.concat(F.lit("["), text("property"), F.lit(","), params, F.lit("]"))
-    grouped = points.withColumn("tsid", id_).groupBy("tsid").agg(F.sort_array(F.collect_list(F.col("idx") + 1)).alias("ar"))
-    return grouped.select(F.concat(F.lit('{"tsid":'), "tsid", F.lit(',"ar":'), F.to_json("ar"), F.lit("}")).alias("value"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from ..operators.assignment import MECHANISMS
-from .queries import EVENT_RATES, ORDER_PROPERTIES, QUERY_NAMES, RESOURCE
+from ..operators.writeback import CHANGE_POINTS
+from .queries import EVENT_RATES, NAIVE, NLARGEST, ORDER_PROPERTIES, QUERY_NAMES, RESOURCE, SELECTIONS
 
 _LOG = """
 items AS (
@@ -31,13 +34,14 @@ def _log(timed: bool) -> str:
     return _LOG.replace(" {timed}", "") if timed else _LOG.replace("l_shipdate + to_hours(l_quantity::BIGINT) {timed}", "l_shipdate")
 
 
-def _grid(rate: str) -> str:
-    """Edges of months, quarters or years over all events: grid (idx, left_edge, right_edge)."""
+def _grid(rate: str, start: date | None = None, end: date | None = None) -> str:
+    """Edges of months, quarters or years over all events or days: grid (idx, left_edge, right_edge)."""
+    lo, hi = f"DATE '{start}'" if start else "min(ts)::DATE", f"DATE '{end}'" if end else "max(end_ts)::DATE"
     unit, months = _STEP[rate]
     end = f"(date_trunc('{unit}', {{}}) + to_months({months}) - to_days(1))::DATE"
     late = "WHEN month(lo) % 3 = 0 AND day(lo) >= 2 THEN " + end.format("lo") if rate == "QE" else ""
     return f"""
-bounds AS (SELECT min(ts)::DATE AS lo, max(end_ts)::DATE AS hi FROM ev),
+bounds AS (SELECT DISTINCT lo, hi FROM (SELECT {lo} AS lo, {hi} AS hi FROM ev)),
 span AS (
   SELECT CASE {late} WHEN {end.format('lo')} = lo THEN lo ELSE (date_trunc('{unit}', lo) - to_days(1))::DATE END AS left0, {end.format('hi')} AS right_n FROM bounds
 ), grid AS (
@@ -163,15 +167,28 @@ def _aligned(property: str, mode: str, day: str) -> str:
 """
 
 
-def _property(name: str) -> str:
-    rate, mode, mechanism, still = ORDER_PROPERTIES[name]
+def _series_of(name: str, rate: str, mode: str, mechanism: str, still: bool, start: date | None = None, end: date | None = None, event_types: tuple[str, ...] | None = None, object_types: tuple[str, ...] | None = None) -> str:
     more, rows = _ROWS[name]
-    return f"""WITH {_log(not still)}, {_grid(rate)}, asg_e AS (
+    listed = lambda column, values: "true" if values is None else f"{column} IN ({', '.join(repr(v) for v in values)})"
+    kept = {
+        **{p: listed("p1", event_types) for p in ("ep1", "ep2", "ep3", "pp1", "pp2", "pp3", "pp4", "pp5")}, **{p: f"{listed('p1', event_types)} AND {listed('p2', object_types)}" for p in ("ep4", "pp6", "pp7")},
+        **{p: listed("p1", object_types) for p in ("op1", "op2", "op3", "op5")}, "op4": f"{listed('p1', object_types)} AND {listed('p2', event_types)}", "op6": f"{listed('p1', object_types)} AND {listed('p2', object_types)}",
+    }.get(name, "true")
+    return f"""WITH {_log(not still)}, {_grid(rate, start, end)}, asg_e AS (
   {_times(None if still else mechanism, "(SELECT eid, activity, ts AS start, end_ts AS stop FROM ev)")}
-), asg_o AS ({_times(mechanism, "life")}){more}, rows_of AS ({rows}){_aligned(name, mode, _day(rate))}
+), asg_o AS ({_times(mechanism, "life")}){more}, rows_of AS (SELECT * FROM ({rows}) WHERE {kept}){_aligned(name, mode, _day(rate))}
 SELECT '{name}' AS property, p1 AS param1, p2::VARCHAR AS param2, idx, strftime(day, '%Y-%m-%d') AS t, round(value, 6) AS value FROM complete WHERE n = (SELECT count(*) FROM grid)"""
 
 
+def _property(name: str) -> str:
+    return _series_of(name, *ORDER_PROPERTIES[name])
+
+
+def _selected(name: str) -> str:
+    properties, rate, mode, chosen = SELECTIONS[name]
+    return " UNION ALL ".join(f"SELECT * FROM ({_series_of(p, rate, 'sum' if p == 'ep1' else mode, 'overlaps', True, **chosen)})" for p in properties)
+
+
 def _events(rate: str, name: str) -> str:
     sunday = "({0} + to_days(((7 - isodow({0})) % 7)::INTEGER))::DATE"
     if rate == "D":
@@ -191,8 +208,7 @@ SELECT '{name}' AS property, p1 AS param1, p2::VARCHAR AS param2, idx, strftime(
 
 
 def _assigned(mechanism: str) -> str:
-    rows = _times(mechanism, "(SELECT * FROM life WHERE otype = 'order')")
-    return f"WITH {_log(True)}, {_grid('QE')} SELECT strftime(t, '%Y-%m-%d') AS t, count(*) AS n_objects, sum(n_events)::BIGINT AS n_events FROM ({rows}) GROUP BY 1"
+    return f"WITH {_log(True)}, {_grid('QE')} SELECT otype, strftime(t, '%Y-%m-%d') AS t, count(*) AS n_objects, sum(n_events)::BIGINT AS n_events FROM ({_times(mechanism, 'life')}) GROUP BY 1, 2"
 
 
 def _preceding(still: bool) -> str:
@@ -227,16 +243,50 @@ def _quantile(q: float, name: str) -> str:
     return f"v[(ceil((len(v) - 1) * {q}) + 1)::INTEGER] AS {name}"
 
 
+def _enriched() -> str:
+    """CTEs of the enriched log: e has the series, top and peak their points, cause the causal links."""
+    return f"""WITH {_log(False)}, {_grid("ME")}, asg_e AS (
+  {_times(None, "(SELECT eid, activity, ts AS start, end_ts AS stop FROM ev)")}
+), asg_o AS ({_times("overlaps", "life")}), counted AS (
+  SELECT 'ep1' AS property, activity AS param1, {_day("ME")} AS day, count(*)::DOUBLE AS value FROM asg_e GROUP BY 1, 2, 3
+  UNION ALL SELECT 'op1', otype, {_day("ME")}, count(DISTINCT oid)::DOUBLE FROM asg_o GROUP BY 1, 2, 3
+), e AS (
+  SELECT i.property, i.param1, 'ts&' || i.property || '&' || i.param1 AS oid, g.idx, g.right_edge AS day, coalesce(c.value, 0.0) AS value
+  FROM (SELECT DISTINCT property, param1 FROM counted) i CROSS JOIN grid g LEFT JOIN counted c ON c.property = i.property AND c.param1 = i.param1 AND c.day = g.right_edge
+), top AS (
+  SELECT property, param1, oid, idx, rn FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY value DESC, idx) AS rn, min(value) OVER (PARTITION BY oid) AS low, max(value) OVER (PARTITION BY oid) AS high FROM e) WHERE rn <= 3 AND low <> high
+), peak AS (SELECT * FROM top WHERE rn = 1), cause AS (
+  SELECT a.property, a.param1, a.oid, b.oid AS causing, b.property AS property_2, b.param1 AS param1_2, a.idx - b.idx AS lag FROM peak a JOIN peak b ON a.idx > b.idx
+), n AS (SELECT max(idx) + 1 AS n FROM grid), ahead AS (
+  SELECT property, param1, oid, idx + 12 AS idx, (date_trunc('month', day) + to_months(13) - to_days(1))::DATE AS day, value FROM e, n WHERE idx BETWEEN n - 12 AND n - 9
+)"""
+
+
+_EDGES = "edges AS (SELECT idx, right_edge AS day FROM grid UNION ALL SELECT max(idx) + 1, (date_trunc('month', max(right_edge) + 1) + to_months(1) - to_days(1))::DATE FROM grid)"
+
+
 def _written_back() -> str:
-    name = "Threshold Based Point Detection(nlargest, 3)"
-    return f"""{_series()}, e AS (SELECT s.*, 'ts&ep1&' || param1 AS oid, g.right_edge AS day FROM s JOIN grid g ON g.idx = s.idx WHERE s.property = 'ep1'),
-top AS (SELECT oid, idx FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY value DESC, idx) AS rn FROM e) WHERE rn <= 3),
-edges AS (SELECT idx, right_edge AS day FROM grid UNION ALL SELECT max(idx) + 1, (date_trunc('month', max(right_edge) + 1) + to_months(1) - to_days(1))::DATE FROM grid),
-steps AS (SELECT oid, idx, 1.0 AS value FROM top UNION ALL SELECT t.oid, t.idx + 1, 0.0 FROM top t WHERE NOT EXISTS (SELECT 1 FROM top n WHERE n.oid = t.oid AND n.idx = t.idx + 1))
+    def marks(table: str, name: str) -> str:
+        steps = f"SELECT oid, idx, 1.0 AS value FROM {table} UNION ALL SELECT t.oid, t.idx + 1, 0.0 FROM {table} t WHERE NOT EXISTS (SELECT 1 FROM {table} o WHERE o.oid = t.oid AND o.idx = t.idx + 1)"
+        return f"""UNION ALL SELECT p.oid, '{name}', strftime(d.day::TIMESTAMP - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S'), p.value::DOUBLE FROM ({steps}) p JOIN edges d ON d.idx = p.idx
+UNION ALL SELECT DISTINCT oid, '{name}', '1970-01-01 00:00:00', 0.0 FROM {table}"""
+
+    return f"""{_enriched()}, {_EDGES}
 SELECT oid, 'tsvalues' AS name, strftime(day, '%Y-%m-%d 00:00:00') AS ts, value FROM e
 UNION ALL SELECT DISTINCT oid, 'tsvalues', '1970-01-01 00:00:00', 0.0 FROM e
-UNION ALL SELECT p.oid, '{name}', strftime(d.day::TIMESTAMP - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S'), p.value::DOUBLE FROM steps p JOIN edges d ON d.idx = p.idx
-UNION ALL SELECT DISTINCT oid, '{name}', '1970-01-01 00:00:00', 0.0 FROM top"""
+{marks("top", NLARGEST)} {marks("peak", CHANGE_POINTS)}
+UNION ALL SELECT oid, '{NAIVE}', strftime(day, '%Y-%m-%d 00:00:00'), value FROM ahead UNION ALL SELECT DISTINCT oid, '{NAIVE}', '1970-01-01 00:00:00', 0.0 FROM ahead"""
+
+
+_QUALIFIER = "'ts&ME&sum&' || CASE property WHEN 'ep1' THEN 'Event Frequency' ELSE 'Object Frequency' END || '&' || param1"
+
+
+def _reloaded() -> str:
+    out = f"{_enriched()} SELECT 'series' AS part, property, param1, NULL::VARCHAR AS param2, idx, strftime(day, '%Y-%m-%d') AS t, value FROM e UNION ALL SELECT 'forecast', property, param1, NULL, idx, strftime(day, '%Y-%m-%d'), value FROM ahead"
+    out += " UNION ALL SELECT 'cause', property, param1, NULL, NULL, property_2 || '&' || param1_2, lag::DOUBLE FROM cause"
+    for part, table, title in (("change point", "peak", "property"), ("threshold point", "top", "'Threshold Based Points (nlargest, 3) for ' || property")):
+        out += f" UNION ALL SELECT '{part}', {title}, param1, NULL, g.idx, strftime(g.right_edge, '%Y-%m-%d'), CASE WHEN EXISTS (SELECT 1 FROM {table} x WHERE x.oid = i.oid AND x.idx = g.idx) THEN 1.0 ELSE 0.0 END FROM (SELECT DISTINCT property, param1, oid FROM {table}) i CROSS JOIN grid g"
+    return out
 
 
 ORACLES: dict[str, str] = {
@@ -254,5 +304,12 @@ ORACLES: dict[str, str] = {
     "seasonal_difference": f"{_series()} SELECT {_OUT} FROM (SELECT property, param1, param2, idx, value - lag(value, 12) OVER ({_KEY} ORDER BY idx) AS value FROM s) WHERE value IS NOT NULL",
     "second_difference": f"{_series()} SELECT {_OUT} FROM (SELECT property, param1, param2, idx, value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w AS value FROM s WINDOW w AS ({_KEY} ORDER BY idx)) WHERE value IS NOT NULL",
     "written_back": _written_back(),
-    "drill_down_events": f"WITH {_log(False)}, {_grid('ME')}, asg_e AS ({_times(None, '(SELECT eid, activity, ts AS start, end_ts AS stop FROM ev)')}) SELECT 'ep1' AS property, activity AS param1, eid FROM asg_e",
+    "written_back_relations": f"{_enriched()} SELECT 'ts&ep1&' || activity AS oid, 'ts&ME&sum&Event Frequency&' || activity AS qualifier, false AS dummy, count(DISTINCT eid) AS n_events FROM asg_e GROUP BY activity UNION ALL SELECT DISTINCT oid, {_QUALIFIER}, true, 2 FROM e WHERE property = 'op1'",
+    "written_back_links": f"{_enriched()} SELECT 'ts&op1&' || otype AS oid, 'ts&ME&sum&Object Frequency&' || otype AS qualifier, 'objects' AS other, count(DISTINCT oid) AS n_links FROM asg_o GROUP BY otype UNION ALL SELECT oid, 'Granger caused by (with lags: ' || lag || ')', causing, 1 FROM cause",
+    "written_back_dummies": f"WITH {_log(False)}, {_grid('ME')} SELECT 'start_dummy_event' AS eid, strftime(min(left_edge)::TIMESTAMP + INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS ts FROM grid UNION ALL SELECT 'end_dummy_event', strftime(max(right_edge)::TIMESTAMP - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') FROM grid",
+    "reloaded": _reloaded(),
+    "points_as_series": f"{_series()}, m AS (SELECT property, param1, param2, idx FROM (SELECT *, row_number() OVER ({_KEY} ORDER BY value DESC, idx) AS rn FROM s) WHERE rn <= 3), i AS (SELECT property, param1, param2 FROM m GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 2 AND (SELECT count(*) - 1 FROM grid)) SELECT i.property, i.param1, i.param2, g.idx, strftime(g.right_edge, '%Y-%m-%d') AS t, CASE WHEN m.idx IS NULL THEN 0.0 ELSE 1.0 END AS value FROM i CROSS JOIN grid g LEFT JOIN m ON m.property = i.property AND m.param1 = i.param1 AND m.param2 IS NOT DISTINCT FROM i.param2 AND m.idx = g.idx",
+    **{f"selected_{name}_orders": _selected(name) for name in SELECTIONS},
+    "drill_down_events": f"{_enriched()} SELECT 'ts&ep1&' || activity AS series, eid FROM asg_e",
+    "drill_down_objects": f"{_enriched()}, six AS (SELECT DISTINCT param1, param2 FROM ({_series_of('op6', 'ME', 'sum', 'overlaps', True)})) SELECT DISTINCT 'ts&op1&' || otype AS series, oid FROM asg_o UNION ALL SELECT DISTINCT 'ts&op6&' || param1 || '|' || param2, oid FROM six JOIN asg_o ON otype IN (param1, param2)",
 }

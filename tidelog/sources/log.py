@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "1970-01-01 00:00:00"
+#: The event attribute that holds the end of an event.
+END_TIME = "end time"
+
+SERIES_TYPE, VALUES = "time series", "tsvalues"
 
 _VALUE = "struct<name:string,value:string>"
 _OCEL_EVENT = f"struct<id:string,type:string,time:timestamp,attributes:array<{_VALUE}>,relationships:array<struct<objectId:string,qualifier:string>>>"
@@ -45,10 +50,47 @@ class EventLog:
         joined = self.linked().join(self.events.select("eid", "ts", "end_ts"), "eid")
         return joined.groupBy("oid", "otype").agg(F.min("ts").alias("start"), F.max("end_ts").alias("stop"), F.count("*").alias("n_events"))
 
+    @cached_property
     def combinations(self) -> DataFrame:
         """(activity, otype) of objects that share an event of the activity with another object."""
         sizes = self.linked().groupBy("eid").agg(F.collect_set("otype").alias("types"), F.count("*").alias("n")).filter("n > 1")
-        return sizes.join(self.events.select("eid", "activity"), "eid").select("activity", F.explode("types").alias("otype")).distinct()
+        return held(sizes.join(self.events.select("eid", "activity"), "eid").select("activity", F.explode("types").alias("otype")).distinct())
+
+    def summary(self) -> DataFrame:
+        """(oid, otype, start, stop, n_events, hours) of each object with an event."""
+        return self.lifecycles().withColumn("hours", (F.unix_micros("stop") - F.unix_micros("start")) / 3.6e9)
+
+    def extended(self) -> DataFrame:
+        """The events with a map of their objects by type."""
+        by_type = self.linked().groupBy("eid", "otype").agg(F.sort_array(F.collect_list("oid")).alias("oids"))
+        return self.events.join(by_type.groupBy("eid").agg(F.map_from_entries(F.collect_list(F.struct("otype", "oids"))).alias("objects")), "eid", "left")
+
+    def interactions(self) -> DataFrame:
+        """(eid, one, two, n): how many pairs of objects of two types meet in an event, from its counts by type, so that no pairs are listed: n * m for two types, n * (n - 1) / 2 for one."""
+        counts = self.linked().groupBy("eid", "otype").agg(F.count("*").alias("n"))
+        types = counts.groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("otype", "n"))).alias("types"))
+        pairs = F.expr("flatten(transform(types, (a, i) -> transform(slice(types, i + 1, size(types)), b -> struct(a.otype as one, b.otype as two, if(a.otype = b.otype, a.n * (a.n - 1) div 2, a.n * b.n) as n))))")
+        return types.select("eid", F.inline(pairs)).filter("n > 0")
+
+    def activities(self) -> list[str]:
+        return sorted(r[0] for r in self.events.select("activity").distinct().collect())
+
+    def object_types(self) -> list[str]:
+        return sorted(r[0] for r in self.objects.select("otype").distinct().collect())
+
+    def bounds(self) -> tuple:
+        """The days of the first start and the last end of an event."""
+        return tuple(self.events.agg(F.to_date(F.min("ts")), F.to_date(F.max("end_ts"))).first())
+
+    def is_enriched(self) -> bool:
+        """Whether series have been written back into the log, so that this is a further iteration."""
+        return not self.object_attrs.filter(F.col("name") == VALUES).isEmpty()
+
+
+def held(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of types, series or intervals, whose size doesn't follow the data, as a local one that joins broadcast, if it has at most ``most`` rows; a larger one stays what it is."""
+    rows = df.limit(most + 1).toArrow()
+    return df if rows.num_rows > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def numeric(attrs: DataFrame) -> DataFrame:
@@ -114,63 +156,117 @@ def events_log(spark: SparkSession, sf_dir: str) -> EventLog:
     return EventLog(events, relations, relations.select("oid", "otype").distinct(), attrs, none, spark.createDataFrame([], "oid string, oid_2 string, qualifier string"))
 
 
-def read_ocel_json(spark: SparkSession, path: str) -> EventLog:
-    """An OCEL 2.0 JSON log. Values may be strings or numbers; objects without events are dropped; the earliest value of an attribute counts as initial, as of the epoch."""
-    doc = spark.read.schema(OCEL_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_ocel_json(spark: SparkSession, path: str, lines: bool = False, end_attribute: str = END_TIME) -> EventLog:
+    """An OCEL 2.0 JSON log: one document, or with ``lines`` what ``write_ocel_lines`` writes, in which each line is a document with a part of the log, so that any number of tasks read it.
+
+    Values may be strings or numbers. Objects without events are dropped; the earliest value of an attribute counts as
+    initial, as of the epoch. The event attribute ``end_attribute`` is the time at which an event ends; one without it
+    ends when it starts.
+    """
+    doc = spark.read.schema(OCEL_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     events, objects = doc.select(F.inline("events")), doc.select(F.inline("objects"))
     relations = events.select(F.col("id").alias("eid"), F.inline("relationships")).select("eid", F.col("objectId").alias("oid"), "qualifier")
     typed = objects.select(F.col("id").alias("oid"), F.col("type").alias("otype"))
     relations = relations.join(typed, "oid").select("eid", "oid", "otype", "qualifier")
-    used = relations.select("oid").distinct()
-    history = objects.select(F.col("id").alias("oid"), F.inline("attributes")).select("oid", "name", F.col("time").alias("ts"), "value").join(used, "oid", "left_semi")
-    first = history.groupBy("oid", "name").agg(F.min("ts").alias("first"))
-    history = history.join(first, ["oid", "name"]).withColumn("changed", F.col("ts") > F.col("first"))
-    history = history.withColumn("ts", F.when(F.col("changed"), F.col("ts")).otherwise(F.lit(EPOCH).cast("timestamp"))).select("oid", "name", "ts", "changed", "value")
-    return EventLog(
-        events.select(F.col("id").alias("eid"), F.col("type").alias("activity"), F.col("time").alias("ts"), F.col("time").alias("end_ts")),
+    history = objects.select(F.col("id").alias("oid"), F.inline("attributes")).select("oid", "name", F.col("time").alias("ts"), "value")
+    end = F.expr(f"try_to_timestamp(try_element_at(filter(attributes, a -> a.name = '{end_attribute}'), 1).value)") if end_attribute else F.lit(None)
+    return _checked(
+        events.select(F.col("id").alias("eid"), F.col("type").alias("activity"), F.col("time").alias("ts"), F.coalesce(end, "time").alias("end_ts")),
         relations,
-        typed.join(used, "oid", "left_semi"),
-        numeric(events.select(F.col("id").alias("eid"), F.inline("attributes"))).select("eid", "name", "value"),
-        numeric(history).select("oid", "name", "ts", "changed", "value"),
+        typed,
+        events.select(F.col("id").alias("eid"), F.inline("attributes")).filter(F.col("name") != end_attribute),
+        history,
         objects.select(F.col("id").alias("oid"), F.inline("relationships")).select("oid", F.col("objectId").alias("oid_2"), "qualifier"),
     )
 
 
+def _checked(events: DataFrame, relations: DataFrame, typed: DataFrame, event_attrs: DataFrame, history: DataFrame, o2o: DataFrame) -> EventLog:
+    """The log of tables as they are read: objects without events go, values become numbers, the earliest value of an attribute (name, ts, value) becomes the initial one."""
+    used = relations.select("oid").distinct()
+    history = history.join(used, "oid", "left_semi")
+    first = history.groupBy("oid", "name").agg(F.min("ts").alias("first"))
+    history = history.join(first, ["oid", "name"]).withColumn("changed", F.coalesce(F.col("ts") > F.col("first"), F.lit(False)))
+    history = history.withColumn("ts", F.when(F.col("changed"), F.col("ts")).otherwise(F.lit(EPOCH).cast("timestamp"))).select("oid", "name", "ts", "changed", "value")
+    attrs = numeric(event_attrs.select("eid", "name", "value")).select("eid", "name", "value")
+    return EventLog(events, relations, typed.join(used, "oid", "left_semi"), attrs, numeric(history).select("oid", "name", "ts", "changed", "value"), o2o)
+
+
 def ocel_rows(log: EventLog) -> tuple[DataFrame, DataFrame]:
-    """(events, objects) of the log as rows of the OCEL 2.0 structure, one a row, to be written as JSON lines."""
-    attrs = log.event_attrs.groupBy("eid").agg(F.collect_list(F.struct("name", F.col("value").cast("string").alias("value"))).alias("attributes"))
-    links = log.relations.groupBy("eid").agg(F.collect_list(F.struct(F.col("oid").alias("objectId"), "qualifier")).alias("relationships"))
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    events = log.events.join(attrs, "eid", "left").join(links, "eid", "left")
-    events = events.select(F.col("eid").alias("id"), F.col("activity").alias("type"), F.col("ts").alias("time"), none("attributes", f"array<{_VALUE}>"), none("relationships", "array<struct<objectId:string,qualifier:string>>"))
-    history = log.object_attrs.groupBy("oid").agg(F.collect_list(F.struct("name", F.col("value").cast("string").alias("value"), F.col("ts").alias("time"))).alias("attributes"))
+    """(events, objects) of the log as rows of the OCEL 2.0 structure. The end of an event that takes time is an attribute."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    value = lambda *more: F.struct("name", F.col("value").cast("string").alias("value"), *more)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    links = "array<struct<objectId:string,qualifier:string>>"
+    attrs = log.event_attrs.groupBy("eid").agg(F.collect_list(value()).alias("attributes"))
+    related = log.relations.groupBy("eid").agg(F.collect_list(F.struct(F.col("oid").alias("objectId"), "qualifier")).alias("relationships"))
+    end = F.when(F.col("end_ts") > F.col("ts"), F.array(F.struct(F.lit(END_TIME).alias("name"), text("end_ts").alias("value"))))
+    events = log.events.join(attrs, "eid", "left").join(related, "eid", "left")
+    own = F.concat(none("attributes", f"array<{_VALUE}>"), none(end, f"array<{_VALUE}>"))
+    events = events.select(F.col("eid").alias("id"), F.col("activity").alias("type"), F.col("ts").alias("time"), own.alias("attributes"), none("relationships", links).alias("relationships"))
+    history = log.object_attrs.groupBy("oid").agg(F.collect_list(value(F.col("ts").alias("time"))).alias("attributes"))
     o2o = log.o2o.groupBy("oid").agg(F.collect_list(F.struct(F.col("oid_2").alias("objectId"), "qualifier")).alias("relationships"))
     objects = log.objects.join(history, "oid", "left").join(o2o, "oid", "left")
-    objects = objects.select(F.col("oid").alias("id"), F.col("otype").alias("type"), none("attributes", "array<struct<name:string,value:string,time:timestamp>>"), none("relationships", "array<struct<objectId:string,qualifier:string>>"))
+    objects = objects.select(F.col("oid").alias("id"), F.col("otype").alias("type"), none("attributes", "array<struct<name:string,value:string,time:timestamp>>").alias("attributes"), none("relationships", links).alias("relationships"))
     return events, objects
 
 
+def declared_types(log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """(event types, object types) of the log with the names and types of their attributes."""
+
+    def declared(rows: DataFrame, attrs: DataFrame) -> DataFrame:
+        names = rows.join(attrs, "id").select("type", "name").distinct().groupBy("type").agg(F.sort_array(F.collect_list(F.struct("name", F.lit("float").alias("type")))).alias("attributes"))
+        all_types = rows.select("type").distinct().join(names, "type", "left")
+        return all_types.select(F.col("type").alias("name"), F.coalesce("attributes", F.array().cast("array<struct<name:string,type:string>>")).alias("attributes"))
+
+    of_events = declared(log.events.select(F.col("eid").alias("id"), F.col("activity").alias("type")), log.event_attrs.select(F.col("eid").alias("id"), "name"))
+    ending = log.events.filter("end_ts > ts").select(F.col("activity").alias("name")).distinct().withColumn("own", F.array(F.struct(F.lit(END_TIME).alias("name"), F.lit("time").alias("type"))))
+    of_events = of_events.join(ending, "name", "left").select("name", F.when(F.col("own").isNull(), F.col("attributes")).otherwise(F.concat("attributes", "own")).alias("attributes"))
+    return of_events, declared(log.objects.select(F.col("oid").alias("id"), F.col("otype").alias("type")), log.object_attrs.select(F.col("oid").alias("id"), "name"))
+
+
 def write_ocel_lines(log: EventLog, path: str) -> None:
-    """The log as two folders of JSON lines, events and objects; each event and object is a record of OCEL 2.0."""
+    """The log as JSON lines, each an OCEL 2.0 document with one event, object or declared type; ``read_ocel_json`` reads them with ``lines``. What the schema requires is checked first: ids, types and times, one row an id, values that are numbers, and relations that lead to objects."""
     events, objects = ocel_rows(log)
     for rows, name in ((events, "events"), (objects, "objects")):
-        required = rows.filter("id is null or type is null" + (" or time is null" if name == "events" else ""))
-        if not required.isEmpty():
+        if not rows.filter("id is null or type is null" + (" or time is null" if name == "events" else "")).isEmpty():
             raise ValueError(f"{name}: id, type and time are required")
-        rows.write.json(f"{path}/{name}")
+        if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+            raise ValueError(f"{name}: an id has several rows")
+    if not log.relations.join(log.objects, "oid", "left_anti").isEmpty() or not log.relations.join(log.events, "eid", "left_anti").isEmpty():
+        raise ValueError("relations must lead from events to objects of the log")
+    if not log.object_attrs.filter("name is null or ts is null or value is null").unionByName(log.event_attrs.filter("name is null or value is null"), allowMissingColumns=True).isEmpty():
+        raise ValueError("attributes need a name, a value and a time")
+    event_types, object_types = declared_types(log)
+    parts = {"eventTypes": event_types, "objectTypes": object_types, "events": events, "objects": objects}
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    lines = [rows.select(F.to_json(F.struct(F.array(F.struct("*")).alias(name)), exact).alias("value")) for name, rows in parts.items()]
+    reduce(DataFrame.unionByName, lines).write.text(path)
 
 
 def read_csv_set(spark: SparkSession, path: str) -> EventLog:
-    """A log in ``;``-separated tables: event, object, event_object, object_object, event_map_type, object_map_type, and one table of times for each mapped type."""
+    """A log in ``;``-separated tables: event, object, event_object, object_object, event_map_type, object_map_type, and for each mapped type a table event_<type> (ocel_id, ocel_time, attributes) or object_<type> (ocel_id, ocel_time, ocel_changed_field, attributes). A row with ocel_changed_field changes that attribute, others hold initial values."""
     read = lambda name: spark.read.option("sep", ";").option("header", True).csv(f"{path}/{name}.csv")
-    types = {k: [r["ocel_type_map"] for r in read(f"{k}_map_type").select("ocel_type_map").distinct().collect()] for k in ("event", "object")}
-    times = None
-    for t in sorted(types["event"]):
-        rows = read(f"event_{t}").select("ocel_id", F.col("ocel_time").cast("timestamp").alias("ts"))
-        times = rows if times is None else times.unionByName(rows)
+    mapped = {k: sorted({r["ocel_type_map"] for r in read(f"{k}_map_type").select("ocel_type_map").distinct().collect()}) for k in ("event", "object")}
+    fixed = ("ocel_id", "ocel_time", "ocel_changed_field")
+
+    def long(kind: str) -> DataFrame:
+        """(ocel_id, ts, changed_field, name, value) of all tables of a kind; a row without attributes has one with a null name."""
+        tables = []
+        for t in mapped[kind]:
+            rows = read(f"{kind}_{t}")
+            values = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in rows.columns if c not in fixed]
+            field = F.col("ocel_changed_field") if "ocel_changed_field" in rows.columns else F.lit(None).cast("string")
+            nothing = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+            tables.append(rows.select("ocel_id", F.col("ocel_time").cast("timestamp").alias("ts"), field.alias("changed_field"), F.inline(F.array(nothing, *values))))
+        return reduce(DataFrame.unionByName, tables)
+
+    of_events, of_objects = long("event"), long("object")
+    times = of_events.filter("name is null").select("ocel_id", "ts")
     events = read("event").join(times, "ocel_id").select(F.col("ocel_id").alias("eid"), F.col("ocel_type").alias("activity"), "ts", F.col("ts").alias("end_ts"))
     typed = read("object").select(F.col("ocel_id").alias("oid"), F.col("ocel_type").alias("otype"))
     links = read("event_object").dropDuplicates().select(F.col("ocel_event_id").alias("eid"), F.col("ocel_object_id").alias("oid"), F.col("ocel_qualifier").alias("qualifier"))
     relations = links.join(typed, "oid").select("eid", "oid", "otype", "qualifier")
     o2o = read("object_object").select(F.col("ocel_source_id").alias("oid"), F.col("ocel_target_id").alias("oid_2"), F.col("ocel_qualifier").alias("qualifier"))
-    return EventLog(events, relations, typed, spark.createDataFrame([], "eid string, name string, value double"), spark.createDataFrame([], "oid string, name string, ts timestamp, changed boolean, value double"), o2o)
+    attrs = of_events.filter("name is not null and value is not null").select(F.col("ocel_id").alias("eid"), "name", "value")
+    history = of_objects.filter("name is not null and value is not null and (changed_field is null or changed_field = name)").select(F.col("ocel_id").alias("oid"), "name", "ts", "value")
+    return _checked(events, relations, typed, attrs, history, o2o)
