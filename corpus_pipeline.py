@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, exact dedup, near-dedup, redaction of secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever they are, unchanged but for redacted texts. A stage needs doc_id and
+text; it has a defined result for nulls in any column, repeated rows and empty tables, as its docstring says.
 """
 
 from __future__ import annotations
@@ -18,28 +19,28 @@ from tidelog.llm.secret_scan import redact
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A null or empty text has no words and goes; without labels of both kinds only the base rules judge."""
     return keep_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts the row with the smallest doc_id stays, a null doc_id last; of repeated rows one."""
     return keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one stays."""
+    """Of each group of near copies the row with the smallest doc_id stays. Shingles have five words here, as near copies in general; the four words of the op9 query are that query's contract. Texts without words are nobody's copies and stay."""
     return keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a marker; n_chars follows the text."""
+    """Secrets in texts are replaced by a marker; n_chars, if there is such a column, follows the text. Null texts stay null; no row goes."""
     redacted = redact(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and the bins that they are packed in."""
+    """Pieces of documents and the bins that they are packed in; a text without words has one piece in no bin, a document without source conflicts with none."""
     return best_fit(docs)
 
 
