@@ -1,8 +1,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidelog.llm import quality_rules
+from tidelog.llm.common import materialize
 
 from .test_dedup import brute_components
 from .test_models import brute_counts
@@ -101,3 +104,18 @@ def test_stages_hand_on_documents(spark, docs, tmp_path):
     assert 7 in texts and not {8, 9, 10} & set(texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == set(texts)
+
+
+def test_empty_table_and_clashing_columns(spark, docs, none, tmp_path):
+    """An empty table goes through all stages; columns whose names the stages use themselves, or a missing source, do no harm."""
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    for i, table in enumerate((none, docs, docs.drop("source").withColumn("component", F.lit("c")).withColumn("first", F.lit(0)))):
+        place = f"{tmp_path}/{i}"
+        table.write.parquet(f"{place}/documents.parquet")
+        labels.write.parquet(f"{place}/labels.parquet")
+        kept = spark.read.parquet(f"{place}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = materialize(stage(spark, kept, place))
+            assert sorted(kept.columns) == sorted(table.columns)
+        packed = corpus_pipeline.run(spark, place).collect()
+        assert (len(packed) > 0) == (i > 0) and {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
