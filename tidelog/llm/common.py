@@ -80,11 +80,11 @@ def fingerprint(value: Column) -> list[Column]:
 MOST_BROADCAST = 200_000
 
 
-def with_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str], *keys: str) -> DataFrame:
-    """``texts`` joined to ``lists``, a materialized table with one row a key. Where its keys are few enough, texts without one stay out of the shuffle."""
+def with_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str], *keys: str, once: bool = False) -> DataFrame:
+    """``texts`` joined to ``lists``, a materialized table with one row a key. Where its keys are few enough, texts without one stay out of the shuffle. ``once``: of rows with one key (then ``on`` is a list) one is taken, before the shuffle already."""
     if lists.count() <= MOST_BROADCAST:
         texts = texts.join(F.broadcast(lists.select(*keys)), on, "left_semi")
-    return texts.join(lists, on)
+    return (texts.dropDuplicates(on) if once else texts).join(lists, on)
 
 
 def without_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str]) -> DataFrame:

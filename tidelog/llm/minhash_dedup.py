@@ -81,7 +81,7 @@ def _shared_buckets(bands: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """(cid, shingles, bits) of ``members`` (cid, text_hash, text_lo), one row a class, from the whole texts; bits has a bit for each of 1024 classes of hashes that the set touches."""
     on = ["text_hash", "text_lo"]
-    texts = with_listed(_read(docs), members.select(*on, "cid"), on, *on).dropDuplicates(on).select("cid", "text")
+    texts = with_listed(_read(docs).drop("doc_id"), members.select(*on, "cid"), on, *on, once=True).select("cid", "text")
 
     def bits(s: np.ndarray) -> np.ndarray:
         touched = np.zeros(64 * WORDS_OF_BITS, bool)
