@@ -259,6 +259,14 @@ def test_counts_join_common_and_rare_pieces(spark, docs, monkeypatch):
     assert [tuple(r) for r in piece_codec.decode(odd, MODEL).orderBy("doc_id").collect()] == [(None, ""), (1, "")]
 
 
+def test_bytes_that_are_no_characters_decode_as_in_the_library():
+    codec = piece_codec.codec(MODEL)
+    of_byte = {bytes([int(p[3:5], 16)]): i for i, (p, _, kind) in enumerate(codec.model.pieces) if kind == piece_codec.BYTE}
+    for data in (b"\xff", b"a\xc3", b"\xe6\x97\xa5", b"\xc3\xa9\xc3"):
+        ids = np.array([of_byte[bytes([x])] for x in data], "<i4")
+        assert codec.decode(ids) == codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False).removeprefix(" ")
+
+
 def test_unsupported_models_are_refused():
     for field_, value in ((3, b"\x28\x00"), (2, b"\xc0\x01\x01"), (2, b"\x18\x03")):
         with pytest.raises(ValueError):

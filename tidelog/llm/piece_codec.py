@@ -14,6 +14,7 @@ import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -122,7 +123,7 @@ def splits_at_marker(model: PieceModel) -> bool:
 
 
 class Codec:
-    """Encodes and decodes with one model file; ``known`` has (ids, parity, round trip) by word."""
+    """Encodes and decodes with one model file; ``known`` has (ids, parity) by word."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -133,9 +134,8 @@ class Codec:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = splits_at_marker(self.model)
         self.plain = not self.model.charsmap and not self.model.remove_extra_spaces
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
-        self.pieces = [p.replace(MARKER, " ") for p, _, _ in self.model.pieces]
-        self.bytes = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
+        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.raw = np.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode() for p, _, kind in self.model.pieces] + [None], object)[:-1]
         self.word = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+") if self.by_word else re.compile("(?s).+")
 
     def normalise(self, text: str) -> str:
@@ -146,12 +146,16 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a whole sequence: pieces strung together, or the tokenizers library where bytes must be joined to characters."""
-        if self.bytes.isdisjoint(ids):
-            out = "".join([self.pieces[i] for i in ids])
-        else:
-            out = self.tokenizer.decode(ids, skip_special_tokens=False)
+    def strung(self, ids: np.ndarray) -> bytes:
+        """The bytes of a whole sequence, its prefix included."""
+        return b"".join(self.raw[ids].tolist())
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of a whole sequence; where its bytes aren't characters, the tokenizers library says what stands for them."""
+        try:
+            out = self.strung(ids).decode()
+        except UnicodeDecodeError:
+            out = self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         return out.removeprefix(" ") if self.model.add_prefix else out
 
     def learn(self, new: list[str]) -> None:
@@ -162,24 +166,24 @@ class Codec:
             theirs = self.processor.encode([w[prefix:].replace(MARKER, " ") for w in part], num_threads=2)
             # The library adds its prefix to a text only if it has characters, so a lone marker is looked up.
             theirs = [x if w != MARKER or not prefix else [self.processor.piece_to_id(w)] for w, x in zip(part, theirs, strict=True)]
-            back = self.words.decode_batch(ids, skip_special_tokens=False)
-            for w, own, other, b in zip(part, ids, theirs, back, strict=True):
-                self.known[w] = (struct.pack(f"<{len(own)}i", *own), own == other, b == w.replace(MARKER, " "))
+            for w, own, other in zip(part, ids, theirs, strict=True):
+                self.known[w] = (struct.pack(f"<{len(own)}i", *own), own == other)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids as little-endian 32-bit integers, parity with sentencepiece, round trip) of each text."""
-        cut = [self.word.findall(self.normalise(t)) for t in texts]
+        normal = list(map(self.normalise, texts))
+        cut = list(map(self.word.findall, normal))
         new = list({w for words in cut for w in words if w not in self.known})
         if len(self.known) + len(new) > MOST_KNOWN:
             self.known.clear()
             new = list({w for words in cut for w in words})
         self.learn(new)
         out = []
-        for words in cut:
+        for text, words in zip(normal, cut, strict=True):
             got = [self.known[w] for w in words]
             ids = b"".join([x[0] for x in got])
-            back = self.decode(struct.unpack(f"<{len(ids) // 4}i", ids)) == "".join(words).replace(MARKER, " ").removeprefix(" " if self.model.add_prefix else "")
-            out.append((ids, all([x[1] for x in got]), back and all([x[2] for x in got])))
+            back = self.strung(np.frombuffer(ids, "<i4")) == text.replace(MARKER, " ").encode()
+            out.append((ids, all([x[1] for x in got]), back))
         return out
 
 
@@ -196,8 +200,8 @@ def _kind(docs: DataFrame) -> str:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` (doc_id, text, more) to one row per row: doc_id, ids (little-endian 32-bit integers), n_ids, parity, round_trip.
 
-    parity: the ids of every word equal those of the sentencepiece library; round_trip: the whole sequence decodes to
-    the normalised text, and every word by the tokenizers library too. A null or empty text has no ids, both true. doc_id, null or repeated, is passed on; other columns are not read.
+    parity: the ids of every word equal those of the sentencepiece library; round_trip: the whole sequence of ids
+    decodes to the normalised text. A null or empty text has no ids, both true. doc_id, null or repeated, is passed on; other columns are not read.
     """
 
     def run(rows: dict) -> dict:
@@ -214,7 +218,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            ids = [list(struct.unpack(f"<{len(x or b'') // 4}i", x or b"")) for x in b.column("ids").to_pylist()]
+            ids = [np.frombuffer(x or b"", "<i4") for x in b.column("ids").to_pylist()]
             texts = list(map(codec(path).decode, ids))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
