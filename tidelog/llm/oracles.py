@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .secret_scan import INNER, LEAST_VALUE, MARK, OTHER, PART, PATTERNS, STRONG
+from .secret_scan import MIXED
 
 OP3 = r"""
 WITH t AS (
@@ -60,47 +60,91 @@ FROM documents d JOIN least_id m ON m.doc_id = d.doc_id LEFT JOIN sizes s ON s.d
 """
 
 
+#: The patterns of the base kinds are those of the query's contract; only the shape of a bare mixed token is the operator's own. Before them the two letters beyond ASCII that fold to ASCII ones are taken out of the text.
+_IS = r"""["']?\x20*[:=]\x20*["']?"""
+_KINDS = {
+    "assign": rf"(?i:(password|passwd|secret|token|api_?key){_IS})([A-Za-z0-9+/_.=-]+)",
+    "access": r"(AKIA)([A-Z0-9]+)",
+    "hex": r"()([0-9a-f]+)",
+    "weak_id": rf"(?i:(user_?name|user|login|client_?id|account_?id|account){_IS})([A-Za-z0-9_.@-]{{3,}})",
+    "weak_secret": rf"((?i:pwd|passphrase|credential|private_?key|secret_?(?:access_?)?key|access_?key|auth){_IS}[A-Za-z0-9+/_.=-]{{6}}|{MIXED})([A-Za-z0-9+/_.=-]*)",
+    "endpoint": rf"([a-z][a-z0-9+]{{1,20}}://|(?i:host|server|endpoint){_IS})([A-Za-z0-9][A-Za-z0-9.:/_-]{{2,}})",
+}
+
+
 def _op7(scope: int = 400) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    listed = lambda kinds: ", ".join(quoted(k) for k in kinds)
-    pieces = [
-        f"""SELECT doc_id, {quoted(kind)} AS kind, {rank} AS rank, {LEAST_VALUE.get(kind, 0)} AS least,
-                   unnest(string_split(marked, chr({ord(MARK)}))) AS p, unnest(range(len(string_split(marked, chr({ord(MARK)}))))) AS i
-            FROM (SELECT doc_id, regexp_replace(text, {quoted(pattern)}, chr({ord(MARK)}) || '\\1' || chr({ord(INNER)}) || '\\2' || chr({ord(MARK)}), 'g') AS marked FROM t)"""
-        for rank, (kind, pattern) in enumerate(PATTERNS.items())
-    ]
-    has = lambda *parts: f"coalesce(max(CASE WHEN kind IN ({listed(k for k in PATTERNS if PART[k] in parts)}) THEN 1 END) OVER near, 0) = 1"
+    lists = " UNION ALL ".join(
+        f"SELECT doc_id, text, {quoted(kind)} AS kind, {rank} AS rank, regexp_extract_all(text, {quoted(pattern)}, 0) AS m, regexp_extract_all(text, {quoted(pattern)}, 2) AS v FROM t"
+        for rank, (kind, pattern) in enumerate(_KINDS.items())
+    )
     return f"""
-WITH t AS (
-  SELECT doc_id, translate(coalesce(text, ''), chr({ord(MARK)}) || chr({ord(INNER)}), chr({ord(OTHER)}) || chr({ord(OTHER)})) AS text FROM documents
-), pieces AS ({" UNION ALL ".join(pieces)}), cut AS (
-  SELECT doc_id, kind, rank, least, i, strpos(p, chr({ord(INNER)})) AS inner_at, length(p) AS whole FROM pieces
-), placed AS (
-  SELECT *, whole - (CASE WHEN inner_at > 0 THEN 1 ELSE 0 END) AS n FROM cut
-), summed AS (
-  SELECT *, sum(n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM placed
+WITH RECURSIVE t AS (
+  SELECT doc_id, translate(coalesce(text, ''), chr(383) || chr(8490), chr(57346) || chr(57346)) AS text FROM documents
+), hits AS (
+  SELECT * FROM ({lists}) WHERE len(m) > 0
+), steps AS (
+  -- A match is the first place of its own text behind the match before it: at an earlier place its pattern would have matched too.
+  SELECT doc_id, kind, rank, 1 AS k, strpos(text, m[1]) - 1 AS start, strpos(text, m[1]) - 1 + length(m[1]) AS stop, length(m[1]) AS whole, length(v[1]) AS value FROM hits
+  UNION ALL
+  SELECT s.doc_id, s.kind, s.rank, s.k + 1, s.stop + strpos(substr(h.text, s.stop + 1), h.m[s.k + 1]) - 1,
+         s.stop + strpos(substr(h.text, s.stop + 1), h.m[s.k + 1]) - 1 + length(h.m[s.k + 1]), length(h.m[s.k + 1]), length(h.v[s.k + 1])
+  FROM steps s JOIN hits h ON h.doc_id = s.doc_id AND h.kind = s.kind WHERE s.k < len(h.m)
 ), parts AS (
-  SELECT doc_id, kind, rank, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM summed WHERE inner_at > 0 AND whole - inner_at >= least
-), linked AS (
-  SELECT *, CASE WHEN kind = 'weak_secret' THEN {has("identifier", "endpoint")} ELSE {has("secret")} END AS linked,
-         coalesce(max(CASE WHEN kind IN ({listed(STRONG)}) THEN stop END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) > start AS inside
-  FROM parts WINDOW near AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {scope} PRECEDING AND {scope} FOLLOWING)
+  SELECT doc_id, kind, rank, start, stop FROM steps
+  WHERE CASE kind WHEN 'assign' THEN value >= 6 WHEN 'access' THEN whole >= 20 WHEN 'hex' THEN whole >= 24 ELSE true END
+), pairs AS (
+  SELECT p.doc_id, p.kind, p.rank, p.start, p.stop,
+         bool_or(abs(q.start - p.start) <= {scope} AND q.kind IN ('assign', 'hex', 'weak_secret')) AS by_secret,
+         bool_or(abs(q.start - p.start) <= {scope} AND q.kind IN ('access', 'weak_id', 'endpoint')) AS by_other,
+         bool_or(q.kind IN ('assign', 'access', 'hex') AND q.start <= p.start AND p.start < q.stop) AS inside
+  FROM parts p JOIN parts q ON q.doc_id = p.doc_id GROUP BY p.doc_id, p.kind, p.rank, p.start, p.stop
 ), found AS (
-  SELECT *, kind || ':' || start || ':' || stop AS span FROM linked WHERE kind IN ({listed(STRONG)}) OR (linked AND NOT inside)
-), lists AS (
+  SELECT *, rank < 3 AS base, kind || ':' || start || ':' || stop AS span FROM pairs
+  WHERE rank < 3 OR (NOT inside AND CASE WHEN kind = 'weak_secret' THEN by_other ELSE by_secret END)
+), listed AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({listed(STRONG)})) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE base) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
   FROM found GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
+
+OP8 = """
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), sized AS (
+  SELECT doc_id, b, octet_length(b) AS n FROM t
+), places AS (
+  SELECT doc_id, b, unnest(range(n - 199)) AS i FROM sized WHERE n >= 200
+), named AS (
+  SELECT doc_id, i, md5(b[i + 1 : i + 200]) AS name FROM places
+), repeated AS (
+  SELECT doc_id, i FROM named SEMI JOIN (SELECT name FROM named GROUP BY name HAVING count(*) > 1) USING (name)
+), fresh AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS f FROM repeated
+), numbered AS (
+  SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM fresh
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM runs
+  UNION ALL
+  SELECT s.doc_id, coalesce(max(r.z), 0), s.n FROM sized s LEFT JOIN runs r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+)
+SELECT s.doc_id, s.n AS n_bytes, (s.n - sum(hi - lo))::BIGINT AS n_removed, count(*) - 1 AS n_spans,
+       sha256(unhex(string_agg(CASE WHEN lo < hi THEN hex(s.b[lo + 1 : hi]) ELSE '' END, '' ORDER BY lo))) AS kept_sha256
+FROM sized s JOIN pieces p ON p.doc_id = s.doc_id GROUP BY s.doc_id, s.n
 """
 
 
 ORACLES = {
     "op3_exact_dedup": OP3,
     "op7_secret_scan": _op7(),
+    "op8_suffix_dedup": OP8,
     "op9_minhash_dedup": OP9,
     "op10_line_dedup": OP10,
 }

@@ -48,6 +48,8 @@ def _mixed(most: int = 32, others: int = 21) -> str:
     return "|".join(f"{run}{{{n}}}(?:{'|'.join(ways)}){run}{{{others - n}}}" for n in range(0, others + 1, 7))
 
 
+#: The shape of a bare mixed token.
+MIXED = _mixed()
 _IS = r"""["']?\x20*[:=]\x20*["']?"""
 #: Fixed values. Each pattern has two groups: what leads to the value, and the value (of weak_secret: what decides, and the rest of the run); by their kinds in the order of ties.
 PATTERNS = {
@@ -55,7 +57,7 @@ PATTERNS = {
     "access": r"(AKIA)([A-Z0-9]{16,})",
     "hex": r"()([0-9a-f]{24,})",
     "weak_id": f"({_any_case('(?:user_?name|user|login|client_?id|account_?id|account)')}{_IS})([A-Za-z0-9_.@-]{{3,}})",
-    "weak_secret": f"({_any_case('(?:pwd|passphrase|credential|private_?key|secret_?(?:access_?)?key|access_?key|auth)')}{_IS}[A-Za-z0-9+/_.=-]{{6}}|{_mixed()})([A-Za-z0-9+/_.=-]*)",
+    "weak_secret": f"({_any_case('(?:pwd|passphrase|credential|private_?key|secret_?(?:access_?)?key|access_?key|auth)')}{_IS}[A-Za-z0-9+/_.=-]{{6}}|{MIXED})([A-Za-z0-9+/_.=-]*)",
     "endpoint": f"((?:[a-z][a-z0-9+]{{1,20}}://|{_any_case('(?:host|server|endpoint)')}{_IS}))([A-Za-z0-9][A-Za-z0-9.:/_-]{{2,}})",
 }
 PART = {"assign": "secret", "access": "identifier", "hex": "secret", "weak_id": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
