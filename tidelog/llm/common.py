@@ -92,6 +92,21 @@ def without_listed(texts: DataFrame, lists: DataFrame, on: Column | list[str]) -
     return texts.join(F.broadcast(lists) if lists.count() <= MOST_BROADCAST else lists, on, "left_anti")
 
 
+#: A key is hot when it has more than one of so many rows; so there are at most so many hot keys.
+HOT = 1000
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table``, a materialized table with one row for each key and ``size``, the number of ``rows`` that have it. Rows of hot keys, of which there are at most HOT, meet a broadcast of them where they are; only the others are shuffled. ``size`` is that of the table."""
+    total = table.agg(F.sum("size")).first()[0] or 0
+    least = max(total // HOT, 1)
+    table = table.withColumnRenamed("size", "key_size")
+    hot, rows = F.broadcast(table.filter(F.col("key_size") > least)), rows.drop("size")
+    near = rows.join(hot, key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("key_size") <= least), key)
+    return near.unionByName(far).withColumnRenamed("key_size", "size")
+
+
 def map_texts(docs: DataFrame, function, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``function`` (a dict of column lists to a dict of column lists) to slices of about ``max_bytes`` of text, so that a worker's memory doesn't follow the batch size. Null texts come as empty ones. One text is never split."""
     names = [f.split()[0] for f in schema.split(", ")]

@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
 from .packing import best_fit
 from .secret_scan import secret_scan
+from .simhash_dedup import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
@@ -66,6 +67,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -77,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
