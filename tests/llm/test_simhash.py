@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import cases
 from tidelog.llm.common import join_split
 from tidelog.llm.queries import op13_simhash_dedup
-from tidelog.llm.simhash_dedup import _pieces, bk_forest, bk_search, fingerprint_links, fingerprint_of, shard_masks, simhash_dedup
+from tidelog.llm.shingles import pieces
+from tidelog.llm.simhash_dedup import bk_forest, bk_search, fingerprint_links, fingerprint_of, shard_masks, simhash_dedup
 
 
 def brute_fingerprint(text, words=4):
@@ -53,10 +54,10 @@ def test_query_equals_brute_force(spark):
     assert sorted(map(tuple, op13_simhash_dedup(spark, sf_dir).collect()), key=key) == sorted(brute(rows), key=key)
 
 
-def test_fingerprint_of_long_text_is_that_of_its_pieces():
+def test_fingerprint_of_long_text_is_that_of_itspieces():
     rng = random.Random(1)
     text = " ".join(f"W{rng.randrange(500)}" for _ in range(3000)) + "\n\x1c é"
-    assert b"".join(_pieces(text.encode(), 100)) == text.encode() and len(list(_pieces(text.encode(), 100))) > 50
+    assert b"".join(pieces(text.encode(), 100)) == text.encode() and len(list(pieces(text.encode(), 100))) > 50
     assert fingerprint_of(text, 4) % 2**64 == brute_fingerprint(text)
     long = "ab cd " * 400_000 + "x" * 2_000_000
     assert fingerprint_of(long, 4) % 2**64 == brute_fingerprint(long)

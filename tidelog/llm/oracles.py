@@ -141,10 +141,44 @@ FROM sized s JOIN pieces p ON p.doc_id = s.doc_id GROUP BY s.doc_id, s.n
 """
 
 
+#: Occurrences of all phrases up to five words; those of longer candidates rule out all of their parts, not only the next shorter ones.
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100
+), inner_parts AS (
+  SELECT DISTINCT lang, array_to_string(ws[i : j], ' ') AS phrase, a AS longer FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM c WHERE k > 2)) WHERE j - i + 1 < k
+), kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = c.lang AND p.phrase = c.phrase AND 100 * p.longer >= 100 * c.a)
+), cuts AS (
+  SELECT x.lang, x.phrase, x.a, l.f AS l, r.f AS r, t.n, i, (1000::HUGEINT * x.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM kept) x JOIN totals t ON t.lang = x.lang
+  JOIN f l ON l.lang = x.lang AND l.k = x.i AND l.phrase = array_to_string(x.ws[1 : x.i], ' ')
+  JOIN f r ON r.lang = x.lang AND r.k = x.k - x.i AND r.phrase = array_to_string(x.ws[x.i + 1 : x.k], ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS place FROM cuts
+), ordered AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM lowest WHERE place = 1
+)
+SELECT * FROM ordered WHERE rank <= 2000
+"""
+
+
 ORACLES = {
     "op3_exact_dedup": OP3,
     "op7_secret_scan": _op7(),
     "op8_suffix_dedup": OP8,
     "op9_minhash_dedup": OP9,
     "op10_line_dedup": OP10,
+    "op12_collocations": OP12,
 }

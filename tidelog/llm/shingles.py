@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import xxhash
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, size: int = 1 << 20):
+    """The text in pieces of about ``size`` bytes, cut before a white space."""
+    start = 0
+    while start < len(text):
+        cut = _SPACE.search(text, start + size) if start + size < len(text) else None
+        stop = cut.start() if cut else len(text)
+        yield text[start:stop]
+        start = stop
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Each 64-bit integer to another, one to one, all bits spread (the finaliser of splitmix64)."""

@@ -14,7 +14,6 @@ queries of its shard. A task returns the links of a spanning forest of what it f
 
 from __future__ import annotations
 
-import re
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,20 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import MOST_BROADCAST, discard, join_split, map_texts, materialize
 from .components import components
+from .shingles import pieces
 
 #: Mean fingerprints of a shard, at most; fingerprints of a block of a large shard.
 PER_SHARD, BLOCK = 64, 4096
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _pieces(text: bytes, size: int = 1 << 20):
-    """The text in pieces of about ``size`` bytes, cut before a white space."""
-    start = 0
-    while start < len(text):
-        cut = _SPACE.search(text, start + size) if start + size < len(text) else None
-        stop = cut.start() if cut else len(text)
-        yield text[start:stop]
-        start = stop
 
 
 def fingerprint_of(text: str, words: int) -> int:
@@ -50,7 +39,7 @@ def fingerprint_of(text: str, words: int) -> int:
         counts.__iadd__(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64))
         n += size
 
-    for piece in _pieces(text.encode().lower()):
+    for piece in pieces(text.encode().lower()):
         row = tail + piece.split()
         if len(row) >= words:
             add(zip(*(row[i:] for i in range(words)), strict=False), len(row) - words + 1)
