@@ -174,11 +174,71 @@ SELECT * FROM ordered WHERE rank <= 2000
 """
 
 
+def _op11() -> str:
+    """crc32 by its table; then for each row the least (cost, audit, lines) of each state, from those of the row before."""
+    after = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    names = {2: "user", 3: "assistant"}
+    ways: dict[int, list[str]] = {s: [] for s in range(4)}
+    for state in range(4):
+        at, lines = state, []
+        for inserts in range(3):
+            base = lambda to, allowed, cost, letter, more, at=state, n=inserts, said=tuple(lines): ways[to].append(
+                f"CASE WHEN {allowed} THEN {{'c': v[{at + 1}].c + {5 * n} + {cost}, 'a': v[{at + 1}].a || '{'I' * n + letter}', 'o': v[{at + 1}].o || [{', '.join([*said, *more])}]::VARCHAR[]}} END"
+            )
+            base(at, "true", 2, "D", [])
+            for initial, to in after[at].items():
+                base(to, f"must < 2 AND left(role, 1) = '{initial}'", "5 * must", "K", ["role || ':' || text"])
+            to = next(t for i, t in after[at].items() if i != "s")
+            base(to, "must < 2", "1 + 5 * must", "R", [f"'{names[to]}:' || text"])
+            lines.append(f"'{names[to]}:'")
+            at = to
+    step = ", ".join(f"list_min([{', '.join(ways[s])}])" for s in range(4))
+    ends = ", ".join(f"{{'c': v[{s + 1}].c + {5 * len(t)}, 'a': v[{s + 1}].a || '{'I' * len(t)}', 'o': v[{s + 1}].o || {t}::VARCHAR[]}}" for s, t in ((0, []), (1, ["user:", "assistant:"]), (2, ["assistant:"]), (3, [])))
+    first = ", ".join(f"{{'c': {0 if s == 0 else 1_000_000_000}::BIGINT, 'a': '', 'o': []::VARCHAR[]}}" for s in range(4))
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (
+  SELECT raw.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) % 20 AS kind FROM raw, crc
+), kept AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM kept
+), faults AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS open_end,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS neighbours
+  FROM numbered
+), judged AS (
+  SELECT *, CASE WHEN blank OR again THEN 2 WHEN open_end THEN 1 ELSE 0 END AS must FROM faults
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS i, [{first}] AS v FROM ids
+  UNION ALL
+  SELECT conv_id, i, [{step}] FROM (SELECT w.conv_id, j.i, w.v, j.role, j.text, j.must FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1)
+), best AS (
+  SELECT conv_id, list_min([{ends}]) AS w FROM ways QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), counted AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE must = 1) AS truncated,
+         count(*) FILTER (WHERE neighbours IS NOT NULL AND neighbours NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       w.c::BIGINT AS cost, w.a AS audit, sha256(array_to_string(w.o, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 ORACLES = {
     "op3_exact_dedup": OP3,
     "op7_secret_scan": _op7(),
     "op8_suffix_dedup": OP8,
     "op9_minhash_dedup": OP9,
     "op10_line_dedup": OP10,
+    "op11_conversation_repair": _op11(),
     "op12_collocations": OP12,
 }

@@ -1,4 +1,4 @@
-"""The queries ``opN_<name>`` over the whole ``documents`` table, with production parameters."""
+"""The queries ``opN_<name>`` over the whole ``documents`` table (or ``conversations``), with production parameters."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, piece_codec, quality_rules
 from .collocations import collocations
+from .conversation_repair import conversation_repair, damaged
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
@@ -68,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), F.col("gone"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
     "op13_simhash_dedup": op13_simhash_dedup,
 }
