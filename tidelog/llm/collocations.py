@@ -27,11 +27,11 @@ from .shingles import pieces
 #: The longest phrase, in words.
 LONGEST = 5
 #: Bytes of text of a slice; numbers on a side of a tile; numbers below this one are counted in dense tiles.
-SLICE, TILE, DENSE = 8 << 20, 512, 2048
+SLICE, TILE, DENSE = 2 << 20, 512, 1024
 #: Bits of the bitmap of frequent pairs (4 MB).
 BITS = 1 << 25
 #: A sparse coordinate list is sent on when it has so many entries.
-MOST_ENTRIES = 2_000_000
+MOST_ENTRIES = 500_000
 
 _BORDER = b"\n"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BORDER * 9 + b" ")
@@ -251,14 +251,15 @@ def _numbered(stream: DataFrame, numbers: DataFrame, column: str, own_pairs) ->
     """``stream`` (sid, own, a column of numbers) with what ``numbers`` (sid, place, id) says of each place of the slice's own list; others are -1."""
     import pyarrow as pa
 
-    lists = numbers.groupBy("sid").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+    lists = numbers.groupBy("sid").agg(F.collect_list(F.struct("place", "id")).alias("known")).select("sid", F.col("known.place").alias("places"), F.col("known.id").alias("news"))
 
     def run(batches):
-        for sid, own, data, known in _rows(batches, "sid", "own", column, "known"):
-            known = known or []
-            place, new = np.fromiter((k["place"] for k in known), np.int64, len(known)), np.fromiter((k["id"] for k in known), np.int64, len(known))
-            ids = own_pairs(data, own, place, new)
-            yield pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([own], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["sid", "own", "ids"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sid, own, data, places, news = (batch.column(c)[i] for c in ("sid", "own", column, "places", "news"))
+                place, new = (x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (places, news))
+                ids = own_pairs(data.as_py(), own.as_py(), place, new)
+                yield pa.RecordBatch.from_arrays([pa.array([sid.as_py()], pa.int64()), pa.array([own.as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["sid", "own", "ids"])
 
     return materialize(stream.select("sid", "own", column).join(lists, "sid", "left").mapInArrow(run, "sid bigint, own bigint, ids binary"))
 
