@@ -13,6 +13,7 @@ from tidelog.llm import minhash_dedup as minhash
 from tidelog.llm.common import discard, materialize
 from tidelog.llm.components import components
 from tidelog.llm.minhash_dedup import keep_one, minhash_dedup
+from tidelog.llm import suffix_dedup as suffix_module
 from tidelog.llm.suffix_dedup import runs, suffix_dedup
 
 
@@ -142,6 +143,30 @@ def test_suffix_dedup(spark, docs, rows, none):
     assert suffix_dedup(none).count() == 0
 
 
+def test_a_long_text_goes_in_pieces(spark):
+    """Repeated passages on the borders of pieces, and a text that is repeated over three of them."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    one, two, piece = letters(700), letters(400), suffix_module.PIECE
+    long = letters(piece - 350) + one + letters(piece - 351 - 200) + two + letters(300) + one + letters(20_000)
+    texts = [long, two + letters(500), "q" * (2 * piece + 500), letters(100) + one[100:350]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = Counter()
+    names = [[hashlib.blake2b(t[i : i + 200].encode(), digest_size=8).digest() for i in range(len(t) - 199)] for t in texts]
+    for n in names:
+        counts.update(n)
+    want = set()
+    for i, (t, n) in enumerate(zip(texts, names, strict=True)):
+        gone = np.zeros(len(t) + 1, int)
+        for at in [at for at, x in enumerate(n) if counts[x] > 1]:
+            gone[at] += 1
+            gone[at + 200] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()
+        want.add((i, len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert {tuple(r) for r in suffix_dedup(docs).drop("kept").collect()} == want
+
+
 def test_a_text_of_one_character_has_few_runs():
     assert len(runs(b"z" * 100_000)[0]) == 2 and len(runs(b"ab" * 50_000)[0]) < 8
 

@@ -46,6 +46,32 @@ def test_piece_codec(spark, docs):
     assert decoded == sorted((r["doc_id"] or -1, processor.decode(processor.encode(r["text"] or ""))) for r in rows.collect())
 
 
+def test_texts_without_spaces_are_cut_where_no_piece_lies_across():
+    """Ids are those of the library, and what a worker remembers stays small, however many long words it meets."""
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = piece_codec.Codec(MODEL)
+    rng = random.Random(3)
+    scripts = [(0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x430, 0x44F), (0x61, 0x7A), (0x1F600, 0x1F640)]
+    texts = ["".join(chr(rng.randrange(*scripts[rng.randrange(len(scripts)) if i % 3 else i % len(scripts)])) for _ in range(rng.randrange(1, 3000))) for i in range(60)]
+    texts += ["a" * 5000, "ab" * 3000, " " * 700 + "x" * 700, "的" * 4000 + " " + "是的" * 100, "", "x", "▁" * 300]
+    for text, (ids, parity, trip) in zip(texts, codec.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == processor.encode(text) and parity and trip
+    for word in codec.pieces(codec.normalise("的是不" * 2000)):
+        assert len(word) <= piece_codec.LONG
+    assert max(map(len, codec.known)) <= 6001  # "abab...", whose characters all stand together in pieces
+
+
+def test_words_are_forgotten_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(piece_codec, "MOST_KNOWN", 100_000)
+    codec, rng = piece_codec.Codec(MODEL), random.Random(4)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5000)) for _ in range(30)] + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))]
+    first = codec.encode_batch(texts)
+    assert codec.held <= 3 * 100_000 and all(parity and trip for _, parity, trip in first)
+    assert codec.encode_batch(texts[::-1]) == first[::-1]
+
+
 def test_unigram_model_is_rebuilt():
     pieces = [("<unk>", 0.0, piece_codec.UNKNOWN), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("a", -3.0, 1), ("▁", -2.5, 1)]
     tokenizer, _ = piece_codec.build(piece_codec.PieceModel(pieces, piece_codec.UNIGRAM, b"", True, False))
@@ -74,6 +100,21 @@ def test_language_id(spark):
     assert language_id.fit(empty) is None and language_id.language_id(empty, None).count() == 0
 
 
+def test_all_languages_are_learned_within_bounds(spark):
+    """More languages than texts are allowed: each has one; and a language's texts stay within its share of the bytes."""
+    rows = [(100 * k + i, chr(97 + k % 26) + chr(97 + k // 26) + " " + "xy " * (20 if i else 2000), f"l{k:03d}", 1) for k in range(80) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, count bigint")
+    assert len(language_id.fit(docs, texts_each=2, most_texts=40).languages) == 80
+    taken = []
+    keep, language_id.train = language_id.train, lambda windows, labels, languages: taken.append(np.bincount(labels)) or languages
+    try:
+        assert len(language_id.fit(docs, texts_each=5, most_texts=80 * 3, most_bytes=80 * 150)) == 80
+    finally:
+        language_id.train = keep
+    # Texts of 63 bytes have one window each; two of them are what fits into 150 bytes.
+    assert (taken[0] == 2).all()
+
+
 def small_net(seed=3):
     rng = np.random.default_rng(seed)
     filters = [rng.normal(size=(k * language_id.EMBED, language_id.FILTERS)) for k in language_id.WIDTHS]

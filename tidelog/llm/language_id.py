@@ -14,7 +14,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import MOST_BROADCAST, map_texts
 
 WINDOW, WIDTHS, EMBED, FILTERS, BATCH = 256, (2, 3, 4), 8, 12, 64
 OVERLAP = max(WIDTHS) - 1
@@ -119,22 +119,28 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, texts_each: int = 150, most_languages: int = 64) -> ByteNet | None:
-    """The network of at most ``texts_each`` labelled texts of each language that aren't held out, chosen by a hash of doc_id, all windows of each; None without labelled texts.
+def fit(docs: DataFrame, texts_each: int = 150, most_texts: int = 10_000, most_bytes: int = 64 << 20) -> ByteNet | None:
+    """The network of labelled texts that aren't held out, all windows of each; None without any. All languages are learned.
 
-    Only of more than ``most_languages`` languages the most frequent ones are learned.
+    A language gives at most ``texts_each`` texts, chosen by a hash of doc_id; with very many languages fewer, so that
+    all together give ``most_texts`` texts and ``most_bytes`` bytes at most. Texts are taken whole: those that fit into
+    a language's share of the bytes first. One text of each language is always taken.
     """
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
+    known = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    sizes = known.groupBy("lang").count()
+    n_langs = sizes.count()
+    if not n_langs:
         return None
+    texts_each, share = max(1, min(texts_each, most_texts // n_langs)), most_bytes // n_langs
     # Each language's own part of the hashes holds about twice the texts wanted, so that the sort behind it is small.
-    order = F.xxhash64("doc_id")
-    part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * texts_each + 20) / r["count"])))])
-    known = known.filter(F.pmod(order, F.lit(1 << 40)) < F.coalesce(part[F.col("lang")], F.lit(0.0)) * (1 << 40))
-    ids = known.select("lang", "doc_id", order.alias("order")).distinct()
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("n") <= texts_each)
-    rows = known.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"]).select("lang", "text", order.alias("order")).orderBy("order", F.xxhash64("text")).limit(texts_each * len(sizes)).collect()
+    order, size = F.xxhash64("doc_id"), F.octet_length("text")
+    part = F.least(F.lit(1.0), (2 * texts_each + 20) / F.col("count"))
+    known = known.join(F.broadcast(sizes) if n_langs <= MOST_BROADCAST else sizes, "lang").filter(F.pmod(order, F.lit(1 << 40)) < part * (1 << 40))
+    ids = known.groupBy("lang", "doc_id").agg(F.sum(size).alias("size")).withColumn("order", order)
+    w = Window.partitionBy("lang").orderBy(F.col("size") > share, "order", "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(w)).withColumn("before", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    ids = ids.filter((F.col("n") == 1) | ((F.col("n") <= texts_each) & (F.col("before") <= share)))
+    rows = known.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"]).select("lang", "text", order.alias("order")).orderBy("order", F.xxhash64("text")).limit(texts_each * n_langs).collect()
     languages = sorted({r["lang"] for r in rows})
     windows, owner = cut([r["text"].encode() for r in rows])
     return train(windows, np.array([languages.index(r["lang"]) for r in rows])[owner], languages)

@@ -3,7 +3,8 @@
 The model's protobuf is read field by field; normaliser, metaspace marker, pieces with scores (unigram) or merges by
 score (BPE) and byte fallback are rebuilt as one ``tokenizers.Tokenizer``. Where no piece has the marker behind
 another character, no piece crosses the start of a word, so words are encoded on their own: each task encodes a
-distinct word once, in multithreaded batches, and holds it against the sentencepiece library.
+distinct word once, in multithreaded batches, and holds it against the sentencepiece library. A very long word, as
+in scripts without spaces, is cut between two characters that stand together in no piece.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import map_texts
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: A worker forgets its words when it holds so many; they are then encoded anew, so results don't depend on it.
-MOST_KNOWN = 300_000
+#: A worker forgets its words when they hold so many bytes; they are then encoded anew, so results don't depend on it.
+MOST_KNOWN = 64 << 20
+#: Words that are encoded at a time. A longer word than this (in characters) is cut where no piece can lie across.
+PART, LONG = 50_000, 128
 
 
 @dataclass
@@ -135,8 +138,26 @@ class Codec:
         self.by_word = splits_at_marker(self.model)
         self.plain = not self.model.charsmap and not self.model.remove_extra_spaces
         self.known: dict[str, tuple[bytes, bool]] = {}
+        self.held = 0
         self.raw = np.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode() for p, _, kind in self.model.pieces] + [None], object)[:-1]
         self.word = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+") if self.by_word else re.compile("(?s).+")
+        # Unknown characters without bytes to stand for them are joined, so there a text is never cut.
+        self.cuts = self.by_word and any(kind == BYTE for _, _, kind in self.model.pieces)
+        self.together = {p[i : i + 2] for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED) for i in range(len(p) - 1)}
+        self.marker = self.processor.piece_to_id(MARKER)
+
+    def pieces(self, normal: str):
+        """The words of a normalised text; long ones in parts that no piece crosses, whose first character doesn't join a marker either."""
+        for found in self.word.finditer(normal):
+            start, stop = found.span()
+            while self.cuts and stop - start > LONG:
+                at = start + LONG // 2
+                while at < stop and (normal[at - 1 : at + 1] in self.together or MARKER + normal[at] in self.together or normal[at] == MARKER):
+                    at += 1
+                yield normal[start:at]
+                start = at
+            if start < stop:
+                yield normal[start:stop]
 
     def normalise(self, text: str) -> str:
         if not self.plain:
@@ -159,32 +180,51 @@ class Codec:
         return out.removeprefix(" ") if self.model.add_prefix else out
 
     def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            ids = [e.ids for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
-            prefix = 1 if self.model.add_prefix else 0
-            theirs = self.processor.encode([w[prefix:].replace(MARKER, " ") for w in part], num_threads=2)
-            # The library adds its prefix to a text only if it has characters, so a lone marker is looked up.
-            theirs = [x if w != MARKER or not prefix else [self.processor.piece_to_id(w)] for w, x in zip(part, theirs, strict=True)]
-            for w, own, other in zip(part, ids, theirs, strict=True):
-                self.known[w] = (struct.pack(f"<{len(own)}i", *own), own == other)
+        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        prefix = 1 if self.model.add_prefix else 0
+        theirs = self.processor.encode([w[prefix and w.startswith(MARKER) :].replace(MARKER, " ") for w in new], num_threads=2)
+        for w, own, other in zip(new, ids, theirs, strict=True):
+            # The library adds its prefix to a text only if it has characters, so a lone marker is looked up; a part of a long word doesn't have the prefix.
+            if prefix and w == MARKER:
+                other = [self.marker]
+            elif prefix and not w.startswith(MARKER):
+                other = other[1:] if other[:1] == [self.marker] else None
+            self.known[w] = (struct.pack(f"<{len(own)}i", *own), own == other)
+            self.held += 200 + 4 * len(w) + 4 * len(own)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """(ids as little-endian 32-bit integers, parity with sentencepiece, round trip) of each text."""
+        """(ids as little-endian 32-bit integers, parity with sentencepiece, round trip) of each text. Words of all texts are encoded together, PART of them at a time."""
         normal = list(map(self.normalise, texts))
-        cut = list(map(self.word.findall, normal))
-        new = list({w for words in cut for w in words if w not in self.known})
-        if len(self.known) + len(new) > MOST_KNOWN:
-            self.known.clear()
-            new = list({w for words in cut for w in words})
-        self.learn(new)
-        out = []
-        for text, words in zip(normal, cut, strict=True):
-            got = [self.known[w] for w in words]
-            ids = b"".join([x[0] for x in got])
-            back = self.strung(np.frombuffer(ids, "<i4")) == text.replace(MARKER, " ").encode()
-            out.append((ids, all([x[1] for x in got]), back))
-        return out
+        out = [[[], True, True] for _ in texts]
+
+        def finish(words: list[str], owners: list[int]) -> None:
+            if self.held > MOST_KNOWN:
+                self.known.clear()
+                self.held = 0
+            self.learn(list({w for w in words if w not in self.known}))
+            start = 0
+            while start < len(words):
+                stop, text = start, out[owners[start]]
+                while stop < len(words) and owners[stop] == owners[start]:
+                    stop += 1
+                got = [self.known[w] for w in words[start:stop]]
+                ids = b"".join([x[0] for x in got])
+                text[0].append(ids)
+                text[1] &= all([x[1] for x in got])
+                text[2] &= self.strung(np.frombuffer(ids, "<i4")) == "".join(words[start:stop]).replace(MARKER, " ").encode()
+                start = stop
+
+        words, owners, size = [], [], 0
+        for i, text in enumerate(normal):
+            for w in self.pieces(text):
+                words.append(w)
+                owners.append(i)
+                size += len(w)
+                if len(words) == PART or size > MOST_KNOWN // 8:
+                    finish(words, owners)
+                    words, owners, size = [], [], 0
+        finish(words, owners)
+        return [(b"".join(ids), parity, trip) for ids, parity, trip in out]
 
 
 @lru_cache(2)

@@ -36,6 +36,8 @@ from .shingles import mix
 
 LENGTH, GRAM, BLOCK, START = 200, 64, 8, 50
 WINDOW = LENGTH - GRAM + 1
+#: Windows that are named at once; a longer text goes in pieces that overlap by the length of a window.
+PIECE = 1 << 20
 #: How often a row of the table of runs stands for its run: once, more often, or not at all (a span of runs that are repeated within the text).
 ONCE, OFTEN, SPAN = 1, 2, 0
 
@@ -73,7 +75,15 @@ def anchors(by: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(text: bytes) -> tuple[np.ndarray, ...]:
-    """(anchor, first, last, gram, key, times) of each run: its windows start at first to last. Equal runs of the text are one row, and one row more for each span that they cover."""
+    """(anchor, first, last, gram, key, times) of each run: its windows start at first to last. A run ends at a border of pieces; equal runs of a piece are one row, and one row more for each span that they cover."""
+    out = []
+    for low in range(0, len(text) - LENGTH + 1, PIECE):
+        made = _runs(text[low : low + PIECE + LENGTH - 1])
+        out.append([x + low for x in made[:3]] + list(made[3:]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _runs(text: bytes) -> tuple[np.ndarray, ...]:
     by = names(np.frombuffer(text, np.uint8))
     whole, (grams, at) = windows(by), anchors(by)
     cut = np.flatnonzero(at[1:] != at[:-1]) + 1
@@ -92,8 +102,24 @@ def runs(text: bytes) -> tuple[np.ndarray, ...]:
     return anchor, first, last, gram.view(np.int64), key.view(np.int64), times
 
 
+def _by_piece(function, text: bytes, rows: list[tuple[int, ...]], n_places: int) -> tuple[np.ndarray, ...]:
+    """``function`` on the stretches of ``text`` that the windows of ``rows`` (the last two: first, last) cover, a piece at a time. The first ``n_places`` numbers of its result are places."""
+    table, out = np.array(rows, np.int64), []
+    order = np.argsort(table[:, -2], kind="stable")
+    piece = table[order, -2] // PIECE
+    for part in np.split(order, np.flatnonzero(piece[1:] != piece[:-1]) + 1):
+        low, high = int(table[part, -2].min()), int(table[part, -1].max()) + LENGTH
+        made = function(text[low : high + BLOCK], (table[part] - low).tolist())
+        out.append([x + low for x in made[:n_places]] + list(made[n_places:]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
 def blocks(text: bytes, rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
     """Of runs (anchor, first, last): (first, last, core, whole) of each block; blocks are cut at multiples of 8 before the anchor."""
+    return _by_piece(_blocks, text, rows, 2)
+
+
+def _blocks(text: bytes, rows: list[list[int]]) -> tuple[np.ndarray, ...]:
     by = names(np.frombuffer(text, np.uint8))
     name = windows(by)
     anchor, first, last = np.array(rows, np.int64).T
@@ -111,6 +137,10 @@ def blocks(text: bytes, rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, .
 
 def parts(text: bytes, rows: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
     """Of blocks (first, last): (at, part, a, b) for each window that starts in them and each of its parts of START bytes; a and b name the part's bytes."""
+    return _by_piece(_parts, text, rows, 1)
+
+
+def _parts(text: bytes, rows: list[list[int]]) -> tuple[np.ndarray, ...]:
     by = names(np.frombuffer(text, np.uint8))
     at = np.concatenate([np.arange(x, y + 1) for x, y in rows])
     n = LENGTH // START
