@@ -188,7 +188,7 @@ def _packed(rows):
 
 
 def _merged(n_dense: int, across: int, least: int, last: bool):
-    """A task over rows sorted by (tile, salt): each run added up, a dense tile in an array of its cells. Sums that aren't partial are kept from ``least`` on."""
+    """A task over rows sorted by (tile, salt): each run added up, a dense tile in an array of its cells. Sums that aren't partial are kept from ``least`` on; ``last`` gives a row for each pair."""
 
     def total(tile: int, held: list):
         left, right, n = map(np.concatenate, zip(*held, strict=True))
@@ -220,14 +220,14 @@ def _merged(n_dense: int, across: int, least: int, last: bool):
         if now is not None:
             yield closed(*now, held)
 
-    return lambda batches: _packed(runs(batches))
+    return lambda batches: _flat(x[2:] for x in runs(batches)) if last else _packed(runs(batches))
 
 
-def _unpacked(batches):
+def _flat(rows):
     import pyarrow as pa
 
-    for left, right, n in _rows(batches, "left", "right", "n"):
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _arrays(left, right, n)], names=["left", "right", "f"])
+    for columns in rows:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["left", "right", "f"])
 
 
 def frequent_pairs(stream: DataFrame, n_ids: int, least: int) -> DataFrame:
@@ -240,8 +240,11 @@ def frequent_pairs(stream: DataFrame, n_ids: int, least: int) -> DataFrame:
     tiles = stream.select("ids", "own").mapInArrow(_tiled(dense, parts, salts), schema)
     summed = tiles.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(_merged(across * across, across, least, False), schema)
     summed = materialize(summed)
-    whole = summed.filter(F.col("tile") < across * across).withColumn("salt", F.lit(0)).repartition("tile").sortWithinPartitions("tile").mapInArrow(_merged(across * across, across, least, True), schema)
-    pairs = whole.unionByName(summed.filter(F.col("tile") >= across * across)).select("left", "right", "n").mapInArrow(_unpacked, "left bigint, right bigint, f bigint")
+    # A stage has one Python operator, so a task has one worker.
+    flat = "left bigint, right bigint, f bigint"
+    low = summed.filter(F.col("tile") < across * across).withColumn("salt", F.lit(0)).repartition("tile").sortWithinPartitions("tile").mapInArrow(_merged(across * across, across, least, True), flat)
+    high = summed.filter(F.col("tile") >= across * across).select("left", "right", "n").mapInArrow(lambda batches: _flat(_arrays(*x) for x in _rows(batches, "left", "right", "n")), flat)
+    pairs = low.unionByName(high)
     out = ranked(pairs, F.desc("f"), "left", "right")
     discard(summed)
     return out
