@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidelog.llm.collocations import BITS, _Slice, _sliced, bitmap, collocations, ranked
+from tidelog.llm.collocations import BITS, _Slice, _sliced, bitmap, collocations, ranked, unsqueezed
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -84,7 +84,7 @@ def test_a_long_text_is_cut_into_slices_that_overlap():
     words = []
     for r in rows:
         names = {w["id"]: w["word"].decode() for w in r["words"]} | {0: "|"}
-        tokens = [names[t] for t in np.frombuffer(r["tokens"], np.int32)]
+        tokens = [names[t] for t in unsqueezed(r["tokens"], np.int32)]
         if words:
             assert tokens[:4] == ahead or ahead == []
         words += tokens[: r["own"]]

@@ -37,6 +37,20 @@ _BORDER = b"\n"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BORDER * 9 + b" ")
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """An array as compressed bytes behind its size, so that rows of long arrays stay small on their way through Spark."""
+    import pyarrow as pa
+
+    data = numbers.tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes, kind: type = np.int64) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little")), kind)
+
+
 class _Slice:
     """Texts as numbers of words in the order of their first occurrence, 0 at the borders of pieces."""
 
@@ -61,7 +75,7 @@ class _Slice:
         langs = [lang for lang, d in self.numbers.items() for _ in range(len(d) - 1)]
         words = [w for d in self.numbers.values() for w in d if w != _BORDER]
         listed = pa.StructArray.from_arrays([pa.array(ids), pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(n.astype(np.int64))], names=["id", "lang", "word", "n"])
-        return pa.RecordBatch.from_arrays([pa.array([tokens.tobytes()], pa.binary()), pa.array([own], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), listed)], names=["tokens", "own", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([squeezed(tokens)], pa.binary()), pa.array([own], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), listed)], names=["tokens", "own", "words"])
 
 
 def _sliced(slice_bytes: int, look: int):
@@ -134,7 +148,7 @@ def _rows(batches, *columns):
 
 
 def _arrays(*columns) -> list[np.ndarray]:
-    return [np.frombuffer(c, np.int64) for c in columns]
+    return [unsqueezed(c) for c in columns]
 
 
 def _tiled(dense: int, parts: int, salts: int):
@@ -155,7 +169,7 @@ def _tiled(dense: int, parts: int, salts: int):
 
         table, entries, held = np.zeros(dense * dense, np.int64), [], 0
         for tokens, own in _rows(batches, "ids", "own"):
-            ids = np.frombuffer(tokens, np.int64)
+            ids = unsqueezed(tokens)
             places, left, right = _neighbours(ids, own)
             left, right = left[places < own], right[places < own]
             low = (left < dense) & (right < dense)
@@ -184,7 +198,7 @@ def _packed(rows):
     import pyarrow as pa
 
     for tile, salt, *columns in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([salt], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=["tile", "salt", "left", "right", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([salt], pa.int32()), *[pa.array([squeezed(c)], pa.binary()) for c in columns]], names=["tile", "salt", "left", "right", "n"])
 
 
 def _merged(n_dense: int, across: int, least: int, last: bool):
@@ -262,13 +276,13 @@ def _numbered(stream: DataFrame, numbers: DataFrame, column: str, own_pairs) ->
                 sid, own, data, places, news = (batch.column(c)[i] for c in ("sid", "own", column, "places", "news"))
                 place, new = (x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (places, news))
                 ids = own_pairs(data.as_py(), own.as_py(), place, new)
-                yield pa.RecordBatch.from_arrays([pa.array([sid.as_py()], pa.int64()), pa.array([own.as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["sid", "own", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([sid.as_py()], pa.int64()), pa.array([own.as_py()], pa.int64()), pa.array([squeezed(ids)], pa.binary())], names=["sid", "own", "ids"])
 
     return materialize(stream.select("sid", "own", column).join(lists, "sid", "left").mapInArrow(run, "sid bigint, own bigint, ids binary"))
 
 
 def _of_words(data: bytes, own: int, place: np.ndarray, new: np.ndarray) -> np.ndarray:
-    tokens = np.frombuffer(data, np.int32)
+    tokens = unsqueezed(data, np.int32)
     table = np.full(int(max(tokens.max(initial=0), place.max(initial=0))) + 1, -1, np.int64)
     table[place] = new
     return table[tokens]
@@ -293,7 +307,7 @@ def next_round(stream: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def listed(data: bytes):
         """(places, order, starts, left, right) of the pairs that may be frequent."""
-        ids = np.frombuffer(data, np.int64)
+        ids = unsqueezed(data)
         places, left, right = _neighbours(ids, len(ids))
         at = _hash_bit(left, right)
         maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
