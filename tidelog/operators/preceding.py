@@ -1,11 +1,23 @@
-"""The events that precede an event through its objects, as an as-of join."""
+"""The events that precede an event through its objects, as a prefix scan.
+
+Starts and ends of the events of each object are sorted in ranges of (object, time), so that an object with very many
+events lies in many tasks. Each range is scanned once for the last end before a start; what a range still lacks at its
+beginning comes from the ranges before it: one row for each range, which is all that the driver sees.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.log import EventLog
+from ..sources.scratch import stored
+
+#: States of a row of the scan: its predecessor is known, lies in an earlier range if anywhere, or it tells of a range.
+FOUND, OPEN, BORDER = 0, 1, 2
+_SCANNED = "part int, state int, oid string, eid string, otype string, prev_eid string, prev_end bigint"
+_ORDER = ("h", "oid", "at", "late", "ts", "eid", "kind")
 
 
 def preceding(log: EventLog, is_atomic: bool = True) -> DataFrame:
@@ -15,41 +27,92 @@ def preceding(log: EventLog, is_atomic: bool = True) -> DataFrame:
     several the one with the largest (end, start, eid) counts.
     """
     found = _found(log, is_atomic).repartition("eid")  # so that what follows by event needs no other shuffle
-    return found.groupBy("eid", "prev.eid", "prev.end").agg(F.collect_set("otype").alias("types")).toDF("eid", "prev_eid", "prev_end", "types")
+    pairs = found.groupBy("eid", "prev_eid", "prev_end").agg(F.sort_array(F.collect_set("otype")).alias("types"))
+    return pairs.withColumn("prev_end", F.timestamp_micros("prev_end"))
 
 
 def preceding_ends(log: EventLog, is_atomic: bool = True) -> DataFrame:
-    """(eid, latest, earliest): the ends of the events that precede an event; events without one have no row."""
-    return _found(log, is_atomic).groupBy("eid").agg(F.max("prev.end").alias("latest"), F.min("prev.end").alias("earliest"))
+    """(eid, latest, earliest): the ends of the events that precede an event, in microseconds; events without one have no row."""
+    return _found(log, is_atomic).groupBy("eid").agg(F.max("prev_end").alias("latest"), F.min("prev_end").alias("earliest"))
+
+
+def preceding_links(log: EventLog, is_atomic: bool = True) -> DataFrame:
+    """(eid, links): one row an event; links has for each set of types that predecessors are linked through the latest and the earliest of their ends, in microseconds (types, hi, lo). The list is as long as there are sets of types, however many predecessors there are."""
+    end = F.unix_micros("prev_end")
+    sets = preceding(log, is_atomic).groupBy("eid", "types").agg(F.max(end).alias("hi"), F.min(end).alias("lo"))
+    return sets.groupBy("eid").agg(F.collect_list(F.struct("types", "hi", "lo")).alias("links"))
+
+
+def _marks(log: EventLog, is_atomic: bool) -> DataFrame:
+    """Rows in the order of the scan: kind 2 both asks and is an end (atomic events), 1 is an end, 0 asks. One without duration doesn't see its own end or a later one at the same time."""
+    joined = log.linked().join(log.events.select("eid", F.unix_micros("ts").alias("ts"), F.unix_micros("end_ts").alias("end")), "eid")
+    row = lambda at, late, kind: F.struct(F.col(at).alias("at"), late.alias("late"), F.lit(kind).alias("kind"))
+    if is_atomic:
+        rows = joined.withColumn("end", F.col("ts")).withColumn("x", row("ts", F.lit(0), 2))
+    else:
+        rows = joined.withColumn("x", F.explode(F.array(row("end", F.lit(0), 1), row("ts", F.when(F.col("ts") == F.col("end"), 0).otherwise(1), 0))))
+    return rows.select(F.xxhash64("oid").alias("h"), "oid", "x.at", "x.late", "ts", "eid", "x.kind", "otype", "end")
+
+
+def _scan(batches):
+    """Over a sorted range: what each asking row has before it, and one row about the range's first and last object."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    first = carry = None
+    names = [f.split()[0] for f in _SCANNED.split(", ")]
+    types = dict(zip(names, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True))
+
+    def made(**columns):
+        n = len(columns["state"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)) if c == "part" else columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), types[c]) for c in names], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        oid, eid, end, kind = (batch.column(c) for c in ("oid", "eid", "end", "kind"))
+        if first is None:
+            first = oid[0].as_py()
+            carry = (first, None, None)
+        # The last row before the batch stands in front of it, as an end if there was one.
+        oid, eid, end = (pa.concat_arrays([pa.array([x], y.type), y]) for x, y in zip(carry, (oid, eid, end), strict=True))
+        kind = np.r_[1 if carry[1] is not None else 0, kind.to_numpy()]
+        n = len(kind)
+        place = np.arange(n)
+        new = np.r_[True, pc.not_equal(oid.slice(1), oid.slice(0, n - 1)).to_numpy(zero_copy_only=False)]
+        run = np.maximum.accumulate(np.where(new, place, 0))
+        last = np.maximum.accumulate(np.where(kind > 0, place, -1))
+        before = np.r_[-1, last[:-1]]
+        known = before >= run
+        asks = (kind != 1) & (place > 0)
+        got = np.flatnonzero(asks & known)
+        otype = batch.column("otype")
+        if len(got):
+            at = pa.array(before[got])
+            yield made(state=pa.array(np.zeros(len(got), np.int32)), eid=eid.take(pa.array(got)), otype=otype.take(pa.array(got - 1)), prev_eid=eid.take(at), prev_end=end.take(at))
+        if oid[0].as_py() == first:
+            lacks = np.flatnonzero(asks & ~known & (run == 0))
+            if len(lacks):
+                yield made(state=pa.array(np.full(len(lacks), OPEN, np.int32)), eid=eid.take(pa.array(lacks)), otype=otype.take(pa.array(lacks - 1)))
+        carry = (oid[n - 1].as_py(), *((eid[int(last[-1])].as_py(), end[int(last[-1])].as_py()) if last[-1] >= run[-1] else (None, None)))
+    if first is not None:
+        yield made(state=[BORDER], eid=[first], oid=[carry[0]], prev_eid=[carry[1]], prev_end=[carry[2]])
 
 
 def _found(log: EventLog, is_atomic: bool) -> DataFrame:
-    """(eid, otype, prev) of each event and object of it that has an earlier event."""
-    marks = log.linked().join(log.events.select("eid", "ts", "end_ts"), "eid")
-    return (_atomic(marks) if is_atomic else _timed(marks)).select("eid", "otype", "prev")
-
-
-def _atomic(marks: DataFrame) -> DataFrame:
-    """``lag`` along each object. The window is cut by month, so that an object with very many events is no single task; the last event of an object's earlier months is carried over by a window over its months."""
-    mark = F.struct("ts", "eid", F.col("ts").alias("end"))
-    rows = marks.select("oid", "otype", "eid", mark.alias("mark"), F.trunc("ts", "month").alias("month"))
-    months = rows.groupBy("oid", "month").agg(F.max("mark").alias("last"))
-    carried = months.select("oid", "month", F.lag("last").over(Window.partitionBy("oid").orderBy("month")).alias("before"))
-    within = F.lag("mark").over(Window.partitionBy("oid", "month").orderBy("mark"))
-    joined = rows.withColumn("within", within).join(carried, ["oid", "month"])
-    return joined.withColumn("prev", F.coalesce("within", "before")).filter("prev is not null")
-
-
-def _timed(marks: DataFrame) -> DataFrame:
-    """Ends and starts of an object's events in one order: an event sees the last end before its start; one without duration doesn't see its own end or a later one at the same time. Cut by month as in ``_atomic``."""
-    still = F.col("ts") == F.col("end_ts")
-    ends = marks.select("oid", "otype", "eid", F.struct(F.col("end_ts").alias("at"), F.lit(0).alias("late"), "ts", "eid", F.lit(1).alias("kind")).alias("place"), F.struct(F.col("end_ts").alias("end"), "ts", "eid").alias("mark"))
-    starts = marks.select("oid", "otype", "eid", F.struct(F.col("ts").alias("at"), F.when(still, 0).otherwise(1).alias("late"), "ts", "eid", F.lit(0).alias("kind")).alias("place"), F.lit(None).cast(ends.schema["mark"].dataType).alias("mark"))
-    rows = ends.unionByName(starts).withColumn("month", F.trunc("place.at", "month"))
-    # An end's mark has the order of its place, so a month's last end is the largest mark; a month may have none.
-    months = rows.groupBy("oid", "month").agg(F.max("mark").alias("last"))
-    earlier = Window.partitionBy("oid").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    carried = months.select("oid", "month", F.last("last", ignorenulls=True).over(earlier).alias("before"))
-    w = Window.partitionBy("oid", "month").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.withColumn("within", F.last("mark", ignorenulls=True).over(w)).filter("mark is null").join(carried, ["oid", "month"])
-    return joined.withColumn("prev", F.coalesce("within", "before")).filter("prev is not null")
+    """(eid, otype, prev_eid, prev_end) of each event and object of it that has an earlier event."""
+    marks = _marks(log, is_atomic).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    scanned = stored(marks.select("oid", "eid", "end", "kind", "otype").mapInArrow(_scan, _SCANNED))
+    ahead, carried = [], {}
+    for r in scanned.filter(F.col("state") == BORDER).orderBy("part").collect():
+        if r["eid"] in carried:
+            ahead.append((r["part"], *carried[r["eid"]]))
+        # What a range ends with; one that only goes on with an object and has no end of its own passes on what came in.
+        mark = (r["prev_eid"], r["prev_end"]) if r["prev_eid"] is not None else carried.get(r["oid"]) if r["oid"] == r["eid"] else None
+        carried = {r["oid"]: mark} if mark else {}
+    columns = ["eid", "otype", "prev_eid", "prev_end"]
+    came_in = log.events.sparkSession.createDataFrame(ahead, "part int, prev_eid string, prev_end bigint")
+    opened = scanned.filter(F.col("state") == OPEN).drop("prev_eid", "prev_end").join(F.broadcast(came_in), "part")
+    return scanned.filter(F.col("state") == FOUND).select(*columns).unionByName(opened.select(*columns))

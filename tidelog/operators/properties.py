@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, grid, interval
+from ..functions.grid import Grid, grid, interval, label
 from ..sources.log import EventLog
-from .assignment import assign, each_interval, touched
-from .preceding import preceding, preceding_ends
-from .series import align, resample
+from .assignment import assign, touched
+from .preceding import preceding_ends, preceding_links
+from .series import AGGREGATIONS, TSID, align
+from .sweep import differences, dyadic
 
 NAMES = {
     "ep1": "Event Frequency", "ep2": "Event Attribute Value", "ep3": "Number of Objects per Event", "ep4": "Number of Objects of a Type per Event",
@@ -24,9 +25,44 @@ NAMES = {
 }
 
 
-def hours(a: Column, b: Column) -> Column:
-    """From b to a."""
-    return (F.unix_micros(a) - F.unix_micros(b)) / 3.6e9
+#: Properties whose values are durations: whole microseconds until they are aggregated.
+DURATIONS = ("op5", "pp1", "pp2", "pp3", "pp4", "pp5", "pp6", "pp7")
+#: Properties whose parameters are pairs of types that go together; what isn't there counts as 0.
+SPARSE = ("ep4", "op4", "pp6", "pp7")
+OF_EVENTS = ("ep1", "ep3", "ep4", "op6", "pp1", "pp2", "pp3", "pp4", "pp5", "pp6", "pp7")
+OF_OBJECTS = ("op1", "op3", "op4", "op5")
+#: Properties made of the series of others.
+DERIVED = {"rp1": "ep4", "rp3": "op2"}
+_ENTRY = "array<struct<property:string,param1:string,param2:string,v:bigint>>"
+
+
+def _entry(property: str, param1: str, param2: str, v: str) -> str:
+    return f"named_struct('property', '{property}', 'param1', {param1}, 'param2', cast({param2} as string), 'v', cast({v} as bigint))"
+
+
+_LINKED = "array_distinct(flatten(transform(links, x -> x.types)))"
+_HI = "array_max(transform(filter(links, x -> array_contains(x.types, y)), x -> x.hi))"
+_LO = "array_min(transform(filter(links, x -> array_contains(x.types, y)), x -> x.lo))"
+_LO_OTHER = "array_min(transform(filter(links, x -> not array_contains(x.types, y)), x -> x.lo))"
+_PAIRS = "flatten(transform(types, (a, i) -> transform(slice(types, i + 1, size(types)), b -> struct(a.otype as one, b.otype as two, if(a.otype = b.otype, a.n * (a.n - 1) div 2, a.n * b.n) as n))))"
+#: What an event (activity, start and stop in microseconds, types: counts of its objects, latest and earliest end of its predecessors, links) or an object (otype, by_activity) gives to each property. A null second parameter of a sparse property stands for all of them.
+_ENTRIES = {
+    "ep1": f"array({_entry('ep1', 'activity', 'null', '1')})",
+    "ep3": f"if(types is null, array(), array({_entry('ep3', 'activity', 'null', 'aggregate(types, 0L, (a, x) -> a + x.n)')}))",
+    "ep4": f"if(types is null, array(), concat(array({_entry('ep4', 'activity', 'null', '0')}), transform(types, x -> {_entry('ep4', 'activity', 'x.otype', 'x.n')})))",
+    "op6": f"if(types is null, array(), transform(filter({_PAIRS}, x -> x.n > 0), x -> {_entry('op6', 'x.one', 'x.two', 'x.n')}))",
+    "pp1": f"array({_entry('pp1', 'activity', 'null', 'coalesce(start - latest, 0)')})",
+    "pp2": f"array({_entry('pp2', 'activity', 'null', 'coalesce(latest - earliest, 0)')})",
+    "pp3": f"array({_entry('pp3', 'activity', 'null', 'stop - start')})",
+    "pp4": f"array({_entry('pp4', 'activity', 'null', 'stop - coalesce(latest, start)')})",
+    "pp5": f"array({_entry('pp5', 'activity', 'null', 'stop - coalesce(earliest, start)')})",
+    "pp6": f"concat(array({_entry('pp6', 'activity', 'null', '0')}), coalesce(transform({_LINKED}, y -> {_entry('pp6', 'activity', 'y', f'{_HI} - {_LO}')}), array()))",
+    "pp7": f"concat(array({_entry('pp7', 'activity', 'null', '0')}), coalesce(transform({_LINKED}, y -> {_entry('pp7', 'activity', 'y', f'greatest(coalesce({_HI} - {_LO_OTHER}, 0), 0)')}), array()))",
+    "op1": f"array({_entry('op1', 'otype', 'null', '1')})",
+    "op3": f"array({_entry('op3', 'otype', 'null', 'n_events')})",
+    "op4": f"concat(array({_entry('op4', 'otype', 'null', '0')}), transform(by_activity, x -> {_entry('op4', 'otype', 'x.activity', 'x.n')}))",
+    "op5": f"array({_entry('op5', 'otype', 'null', 'unix_micros(stop) - unix_micros(start)')})",
+}
 
 
 def _chosen(rows: DataFrame, column: str, values: tuple[str, ...] | None) -> DataFrame:
@@ -59,14 +95,16 @@ class Properties:
         first, last = (self.start, self.end) if self.start and self.end else self.log.bounds()
         return grid(self.start or first, self.end or last, self.rate)
 
-    @cached_property
-    def all_event_times(self) -> DataFrame:
-        rows = self.log.events.select("eid", "activity", F.col("ts").alias("start"), F.col("end_ts").alias("stop"))
-        return assign(rows, self.grid, None if self.is_atomic else self.mechanism).select("eid", "activity", "start", "stop", "t")
+    @property
+    def counted_events(self) -> DataFrame:
+        """(eid, activity) of the selected events that count anywhere on the grid."""
+        rows = _chosen(self.log.events.select("eid", "activity", F.col("ts").alias("start"), F.col("end_ts").alias("stop")), "activity", self.event_types)
+        return self._placed(rows, self.spans_events, None if self.is_atomic else self.mechanism).select("eid", "activity")
 
-    @cached_property
-    def event_times(self) -> DataFrame:
-        return _chosen(self.all_event_times, "activity", self.event_types)
+    @property
+    def counted_objects(self) -> DataFrame:
+        """(oid, otype) of the selected objects that count anywhere on the grid."""
+        return self._placed(self.lifecycles, self.mechanism == "overlaps", self.mechanism).select("oid", "otype")
 
     @cached_property
     def lifecycles(self) -> DataFrame:
@@ -80,44 +118,70 @@ class Properties:
     def combinations(self) -> DataFrame:
         return _chosen(_chosen(self.log.combinations, "activity", self.event_types), "otype", self.object_types)
 
-    def _series(self, rows: DataFrame, property: str, mode: str | None = None, value: Column | None = None) -> DataFrame:
-        return align(resample(rows, property, self.rate, mode or self.mode, value), self.grid, mode or self.mode)
-
-    def _of_events(self, property: str, rows: DataFrame, value: Column | None = None, param2: Column | None = None, param1: str = "activity") -> DataFrame:
-        """Series of ``rows`` (param1, t, more) of events at their times."""
-        value = F.col("v") if value is None else value
-        return self._series(rows.select(F.col(param1).alias("param1"), (F.lit(None) if param2 is None else param2).alias("param2"), "t", value.alias("v")), property)
-
-    def ep1(self) -> DataFrame:
-        rows = self.event_times.select(F.col("activity").alias("param1"), F.lit(None).alias("param2"), "t", F.lit(1).alias("v"))
-        return self._series(rows, "ep1", "sum")
-
-    def ep2(self) -> DataFrame:
-        return self._of_events("ep2", self.event_times.join(self.log.event_attrs.select("eid", "name", F.col("value").alias("v")), "eid"), param2=F.col("name"))
-
-    def ep3(self) -> DataFrame:
-        return self._of_events("ep3", self.event_times.join(self.log.linked().groupBy("eid").agg(F.count("*").alias("v")), "eid"))
-
-    def ep4(self) -> DataFrame:
-        """Events with objects count for all types that go with their activity, as 0 for types they lack. An event's counts travel as one map, the types are broadcast."""
-        counts = self.log.linked().groupBy("eid", "otype").agg(F.count("*").alias("n"))
-        by_type = counts.groupBy("eid").agg(F.map_from_entries(F.collect_list(F.struct("otype", "n"))).alias("by_type"))
-        rows = self.event_times.join(by_type, "eid").join(self.combinations, "activity")
-        return self._of_events("ep4", rows, F.coalesce(F.col("by_type")[F.col("otype")], F.lit(0)), F.col("otype"))
-
-    def _of_objects(self, property: str, rows: DataFrame, value: Column, param2: Column | None = None, mode: str | None = None) -> DataFrame:
-        return self._series(rows.select(F.col("otype").alias("param1"), (F.lit(None) if param2 is None else param2).alias("param2"), "t", value.alias("v")), property, mode)
-
-    def op1(self) -> DataFrame:
-        return self._of_objects("op1", self.object_times.select("oid", "otype", "t").distinct(), F.lit(1), mode="sum")
+    @property
+    def spans_events(self) -> bool:
+        """Whether an event counts in each interval that it overlaps."""
+        return not self.is_atomic and self.mechanism == "overlaps"
+
+    def _placed(self, rows: DataFrame, spans: bool, mechanism: str | None) -> DataFrame:
+        """``rows`` (start, stop, more) with their place: low and high, the intervals that they overlap, or day, the name of the bucket that they count in."""
+        if spans:
+            return touched(rows, self.grid)
+        return assign(rows, self.grid, mechanism).withColumn("day", label(F.col("t"), self.rate)).drop("t")
+
+    def _events(self, properties: list[str]) -> DataFrame:
+        """(property, param1, param2, v, place) of properties of events, from one row an event."""
+        rows = self.log.events.select("eid", "activity", F.col("ts").alias("start"), F.col("end_ts").alias("stop"))
+        if "op6" not in properties:
+            rows = _chosen(rows, "activity", self.event_types)
+        rows = self._placed(rows, self.spans_events, None if self.is_atomic else self.mechanism)
+        rows = rows.withColumn("start", F.unix_micros("start")).withColumn("stop", F.unix_micros("stop"))
+        if {"ep3", "ep4", "op6"} & set(properties):
+            counts = self.log.linked().groupBy("eid", "otype").agg(F.count("*").alias("n"))
+            rows = rows.join(counts.groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("otype", "n"))).alias("types")), "eid", "left")
+        if {"pp6", "pp7"} & set(properties):
+            ends = [F.expr("array_max(transform(links, x -> x.hi))").alias("latest"), F.expr("array_min(transform(links, x -> x.lo))").alias("earliest")]
+            rows = rows.join(preceding_links(self.log, self.is_atomic), "eid", "left").select("*", *ends)
+        elif {"pp1", "pp2", "pp4", "pp5"} & set(properties):
+            rows = rows.join(preceding_ends(self.log, self.is_atomic), "eid", "left")
+        chosen = F.lit(True) if self.event_types is None else F.col("activity").isin(list(self.event_types))
+        none = F.array().cast(_ENTRY)
+        entries = [F.expr(_ENTRIES[p]).cast(_ENTRY) if p == "op6" else F.when(chosen, F.expr(_ENTRIES[p]).cast(_ENTRY)).otherwise(none) for p in properties]
+        place = ["low", "high"] if self.spans_events else ["day"]
+        out = rows.select(*place, F.inline(F.concat(*entries)))
+        if self.object_types is not None and "op6" in properties:
+            types = list(self.object_types)
+            out = out.filter((F.col("property") != "op6") | (F.col("param1").isin(types) & F.col("param2").isin(types)))
+        return out
 
-    def op2(self) -> DataFrame:
+    def _objects(self, properties: list[str]) -> DataFrame:
+        """(property, param1, param2, v, place) of properties of objects, from one row an object."""
+        if "op4" in properties:
+            joined = self.log.linked().join(self.log.events.select("eid", "activity", "ts", "end_ts"), "eid")
+            by_activity = joined.groupBy("oid", "otype", "activity").agg(F.min("ts").alias("start"), F.max("end_ts").alias("stop"), F.count("*").alias("n"))
+            rows = by_activity.groupBy("oid", "otype").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n_events"), F.collect_list(F.struct("activity", "n")).alias("by_activity"))
+            rows = _chosen(rows, "otype", self.object_types)
+        else:
+            rows = self.lifecycles
+        spans = self.mechanism == "overlaps"
+        rows = self._placed(rows, spans, self.mechanism)
+        entries = F.concat(*[F.expr(_ENTRIES[p]).cast(_ENTRY) for p in properties])
+        return rows.select(*(["low", "high"] if spans else ["day"]), F.inline(entries))
+
+    def _attributes_of_events(self) -> DataFrame:
+        rows = _chosen(self.log.events.select("eid", "activity", F.col("ts").alias("start"), F.col("end_ts").alias("stop")), "activity", self.event_types)
+        rows = self._placed(rows, self.spans_events, None if self.is_atomic else self.mechanism)
+        rows = rows.join(self.log.event_attrs.select("eid", "name", F.col("value").alias("v")), "eid")
+        return rows.select(F.lit("ep2").alias("property"), F.col("activity").alias("param1"), F.col("name").alias("param2"), "v", *(["low", "high"] if self.spans_events else ["day"]))
+
+    def _attributes_of_objects(self) -> DataFrame:
         """The latest value at the time; at equal times a change beats an initial value, and the larger value wins.
 
         Under ``overlaps`` the times are edges of the grid, so of an object's values only the last of each interval
         counts, and it holds until the interval of the next one: one ordered pass over the intervals of an attribute.
         Otherwise an object has one time, and its values are held against that.
         """
+        out = [F.lit("op2").alias("property"), F.col("otype").alias("param1"), F.col("name").alias("param2"), F.col("latest.value").alias("v")]
         if self.mechanism == "overlaps":
             places = self.log.object_attrs.withColumn("since", F.greatest(interval(F.col("ts"), self.grid), F.lit(-1))).filter(F.col("since") < len(self.grid.rights))
             last = places.groupBy("oid", "name", "since").agg(F.max(F.struct("ts", "changed", "value")).alias("latest"))
@@ -125,83 +189,87 @@ class Properties:
             spans = last.withColumn("until", F.coalesce(following, F.lit(len(self.grid.rights))) - 1)
             rows = touched(self.lifecycles, self.grid).join(spans, "oid")
             rows = rows.withColumn("low", F.greatest("low", "since")).withColumn("high", F.least("high", "until")).filter("low <= high")
-            return self._of_objects("op2", each_interval(rows, self.grid), F.col("latest.value"), F.col("name"))
-        rows = self.object_times.select("oid", "otype", "t").join(self.log.object_attrs, "oid").filter("ts <= t")
+            return rows.select(*out, "low", "high")
+        rows = assign(self.lifecycles, self.grid, self.mechanism).select("oid", "otype", "t").join(self.log.object_attrs, "oid").filter("ts <= t")
         latest = rows.groupBy("oid", "otype", "t", "name").agg(F.max(F.struct("ts", "changed", "value")).alias("latest"))
-        return self._of_objects("op2", latest, F.col("latest.value"), F.col("name"))
-
-    def op3(self) -> DataFrame:
-        return self._of_objects("op3", self.object_times, F.col("n_events"))
-
-    def op4(self) -> DataFrame:
-        """An object's counts by activity travel as one map, the activities of its type are broadcast."""
-        counts = self.log.linked().join(self.log.events.select("eid", "activity"), "eid").groupBy("oid", "activity").agg(F.count("*").alias("n"))
-        by_activity = counts.groupBy("oid").agg(F.map_from_entries(F.collect_list(F.struct("activity", "n"))).alias("by_activity"))
-        rows = self.object_times.select("oid", "otype", "t").join(by_activity, "oid").join(self.combinations, "otype")
-        return self._of_objects("op4", rows, F.coalesce(F.col("by_activity")[F.col("activity")], F.lit(0)), F.col("activity"))
-
-    def op5(self) -> DataFrame:
-        return self._of_objects("op5", self.object_times, hours(F.col("stop"), F.col("start")))
-
-    def op6(self) -> DataFrame:
-        pairs = _chosen(_chosen(self.log.interactions(), "one", self.object_types), "two", self.object_types)
-        return self._of_events("op6", self.all_event_times.join(pairs, "eid"), F.col("n"), F.col("two"), "one")
-
-    def _timing(self, property: str, value: Column) -> DataFrame:
-        """Of start and stop of an event, and of ``latest`` and ``earliest`` end of the preceding events, null without any."""
-        return self._of_events(property, self.event_times.join(preceding_ends(self.log, self.is_atomic), "eid", "left"), value)
-
-    def pp1(self) -> DataFrame:
-        return self._timing("pp1", F.coalesce(hours(F.col("start"), F.col("latest")), F.lit(0.0)))
-
-    def pp2(self) -> DataFrame:
-        return self._timing("pp2", F.coalesce(hours(F.col("latest"), F.col("earliest")), F.lit(0.0)))
-
-    def pp3(self) -> DataFrame:
-        self._needs_durations("pp3")
-        return self._of_events("pp3", self.event_times, hours(F.col("stop"), F.col("start")))
-
-    def pp4(self) -> DataFrame:
-        self._needs_durations("pp4")
-        return self._timing("pp4", hours(F.col("stop"), F.coalesce("latest", "start")))
-
-    def pp5(self) -> DataFrame:
-        return self._timing("pp5", hours(F.col("stop"), F.coalesce("earliest", "start")))
-
-    def _needs_durations(self, property: str) -> None:
-        if self.is_atomic:
-            raise ValueError(f"{property} needs events with a duration")
-
-    def _by_type(self, property: str, one: Column, other: Column, value: Column) -> DataFrame:
-        """For each event and type of its activity: ``one`` and ``other`` aggregate the preceding ends, and value is made of them. Types are broadcast, so events are dealt by their id only."""
-        rows = self.event_times.join(preceding(self.log, self.is_atomic), "eid", "left").join(self.combinations, "activity").withColumn("has", F.array_contains("types", F.col("otype")))
-        rows = rows.groupBy("eid", "activity", "t", "otype").agg(one.alias("one"), other.alias("other"))
-        return self._of_events(property, rows, value, F.col("otype"))
-
-    def pp6(self) -> DataFrame:
-        linked = F.when(F.col("has"), F.col("prev_end"))
-        return self._by_type("pp6", F.max(linked), F.min(linked), F.coalesce(hours(F.col("one"), F.col("other")), F.lit(0.0)))
-
-    def pp7(self) -> DataFrame:
-        return self._by_type("pp7", F.max(F.when(F.col("has"), F.col("prev_end"))), F.min(F.when(~F.col("has"), F.col("prev_end"))), F.greatest(F.coalesce(hours(F.col("one"), F.col("other")), F.lit(0.0)), F.lit(0.0)))
-
-    def _renamed(self, series: DataFrame, property: str, column: str) -> DataFrame:
-        return series.filter(F.col(column) == self.resource_type).withColumn("property", F.lit(property))
-
-    def rp1(self) -> DataFrame:
-        return self._renamed(self.ep4(), "rp1", "param2")
-
-    def rp2(self) -> DataFrame:
-        rows = self.log.linked().filter(F.col("otype") == self.resource_type).join(self.all_event_times, "eid")
-        return self._series(rows.select(F.col("otype").alias("param1"), F.lit(None).alias("param2"), "t", "oid"), "rp2", "sum", F.count_distinct("oid"))
-
-    def rp3(self) -> DataFrame:
-        return self._renamed(self.op2(), "rp3", "param1")
+        return latest.select(*out, label(F.col("t"), self.rate).alias("day"))
+
+    def _active(self) -> DataFrame:
+        """(property, param1, param2, v, place) with one row for each resource and stretch of its intervals. Of a resource's events those of one first interval become one span, and spans that overlap become one."""
+        rows = self._placed(self.log.events.select("eid", F.col("ts").alias("start"), F.col("end_ts").alias("stop")), self.spans_events, None if self.is_atomic else self.mechanism)
+        rows = self.log.linked().filter(F.col("otype") == self.resource_type).join(rows, "eid")
+        out = [F.lit("rp2").alias("property"), F.lit(self.resource_type).alias("param1"), F.lit(None).cast("string").alias("param2"), F.lit(1).cast("bigint").alias("v")]
+        if not self.spans_events:
+            return rows.select("oid", "day").distinct().select(*out, "day")
+        spans = rows.groupBy("oid", "low").agg(F.max("high").alias("high"))
+        along = Window.partitionBy("oid").orderBy("low")
+        new = F.coalesce(F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        stretches = spans.withColumn("new", new.cast("int")).withColumn("stretch", F.sum("new").over(along))
+        return stretches.groupBy("oid", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).select(*out, "low", "high")
+
+    def _stats(self, rows: DataFrame, exact: bool) -> DataFrame:
+        """``rows`` (property, param1, param2, v, place) to (property, param1, param2, day, n, total, least, most), n being the number of values."""
+        g = self.grid
+        if "day" in rows.columns:
+            day = rows.withColumn("v", F.col("v").cast("double")).groupBy(*TSID, "day")
+            return day.agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+        rows = rows.select(F.struct("property", "param1").alias("param1"), "param2", "low", "high", F.col("v").cast("decimal(20,0)" if exact and self.mode in ("mean", "sum") else "double").alias("v"))
+        found = differences(rows, len(g.rights)) if exact and self.mode in ("mean", "sum") else dyadic(rows, len(g.rights))
+        more = [F.lit(None).cast("double").alias(c) if c not in found.columns else F.col(c).cast("double").alias(c) for c in ("total", "least", "most")]
+        return found.select("param1.property", "param1.param1", "param2", g.right(F.col("idx")).alias("day"), "n", *more)
+
+    def _completed(self, stats: DataFrame) -> DataFrame:
+        """``stats`` with what the second parameters of sparse properties lack: a value of 0 of each event or object that has none of a type."""
+        names = ("param2", "n", "total", "least", "most")
+        packed = stats.groupBy("property", "param1", "day").agg(F.collect_list(F.struct(*names)).alias("all"))
+        pairs = self.combinations
+        wanted = pairs.select(F.explode(F.array(*[F.lit(p) for p in SPARSE if p != "op4"])).alias("property"), F.col("activity").alias("param1"), F.col("otype").alias("param2"))
+        wanted = wanted.unionByName(pairs.select(F.lit("op4").alias("property"), F.col("otype").alias("param1"), F.col("activity").alias("param2")))
+        rows = packed.join(F.broadcast(wanted.groupBy("property", "param1").agg(F.collect_set("param2").alias("wanted"))), ["property", "param1"], "left")
+        rows = rows.withColumn("whole", F.expr("get(filter(all, x -> x.param2 is null), 0).n"))
+
+        def full(x: str) -> str:
+            own, none = f"get({x}, 0)", f"size({x}) = 0"
+            least = f"if({none}, 0D, if({own}.n < whole, least({own}.least, 0D), {own}.least))"
+            return f"named_struct('param2', y, 'n', whole, 'total', if({none}, 0D, {own}.total), 'least', {least}, 'most', if({none}, 0D, greatest({own}.most, 0D)))"
+
+        made = F.expr(f"transform(coalesce(wanted, array()), y -> {full('filter(all, x -> x.param2 = y)')})")
+        return rows.select("property", "param1", "day", F.inline(F.when(F.col("property").isin(list(SPARSE)), made).otherwise(F.col("all"))))
 
     def collect(self, properties: list[str]) -> DataFrame:
-        """The series of several properties in one frame."""
-        out = None
+        """The series of several properties in one frame: events and objects are read once each, whatever the number of their properties, and one aggregation makes all series."""
+        if unknown := [p for p in properties if p not in NAMES]:
+            raise ValueError(f"no properties: {unknown}")
+        if self.mode not in AGGREGATIONS:
+            raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
         for p in properties:
-            rows = getattr(self, p)()
-            out = rows if out is None else out.unionByName(rows)
-        return out
+            if p in ("pp3", "pp4") and self.is_atomic:
+                raise ValueError(f"{p} needs events with a duration")
+        made = list(dict.fromkeys(DERIVED.get(p, p) for p in properties))
+        exact = [rows for rows in (f([p for p in of if p in made]) for f, of in ((self._events, OF_EVENTS), (self._objects, OF_OBJECTS)) if set(of) & set(made))]
+        exact += [self._active()] if "rp2" in made else []
+        rough = [f() for p, f in (("ep2", self._attributes_of_events), ("op2", self._attributes_of_objects)) if p in made]
+        # Rows with a day have one aggregation, whatever they are; spans have one of whole numbers and one of fractions.
+        days = [x.withColumn("v", F.col("v").cast("double")) for x in (*exact, *rough) if "day" in x.columns]
+        groups = [(days, False), ([x for x in exact if "day" not in x.columns], True), ([x for x in rough if "day" not in x.columns], False)]
+        stats = reduce(DataFrame.unionByName, [self._stats(reduce(DataFrame.unionByName, rows), whole) for rows, whole in groups if rows])
+        if set(SPARSE) & set(made):
+            stats = self._completed(stats)
+        summed = F.col("property").isin("ep1", "op1", "rp2")
+        value = {"mean": F.col("total") / F.col("n"), "sum": F.col("total"), "min": F.col("least"), "max": F.col("most")}[self.mode]
+        value = F.when(summed, F.col("total")).otherwise(value) / F.when(F.col("property").isin(list(DURATIONS)), 3.6e9).otherwise(1.0)
+        names = F.array(F.col("property"), *[F.when((F.col("property") == of) & (F.col(column) == self.resource_type), F.lit(p)) for p, of, column in (("rp1", "ep4", "param2"), ("rp3", "op2", "param1")) if p in properties])
+        series = stats.select(F.explode(names).alias("property"), "param1", "param2", "day", value.alias("value")).filter(F.col("property").isin(properties))
+        return align(series, self.grid, self.mode)
+
+
+def _single(name: str):
+    def series(self: Properties) -> DataFrame:
+        return self.collect([name])
+
+    series.__doc__ = f"{NAMES[name]}."
+    return series
+
+
+for _name in NAMES:
+    setattr(Properties, _name, _single(_name))

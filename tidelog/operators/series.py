@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, label
+from ..functions.grid import Grid, interval
 
-AGGREGATIONS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+AGGREGATIONS = ("mean", "sum", "min", "max")
 #: Properties whose empty intervals count as 0.
 ZERO_FILLED = ("ep1", "op1", "rp2")
 TSID = ("property", "param1", "param2")
 
 
-def resample(rows: DataFrame, property: str, rate: str, mode: str, value: Column | None = None) -> DataFrame:
-    """``rows`` (param1, param2, t, v) to one value a series and bucket; ``value`` is another aggregate than that of ``mode`` over v."""
-    if mode not in AGGREGATIONS:
-        raise ValueError(f"aggregation must be one of {tuple(AGGREGATIONS)}")
-    bucketed = rows.select(F.lit(property).alias("property"), "param1", F.col("param2").cast("string").alias("param2"), label(F.col("t"), rate).alias("day"), *[c for c in rows.columns if c not in ("param1", "param2", "t")])
-    return bucketed.groupBy(*TSID, "day").agg((AGGREGATIONS[mode]("v") if value is None else value).cast("double").alias("value"))
-
-
 def align(series: DataFrame, g: Grid, mode: str) -> DataFrame:
-    """Each series on the whole grid; series with an empty interval are dropped. Empty intervals of the zero-filled properties are 0, and under ``sum`` those between a series' own first and last bucket."""
-    ids = series.groupBy(*TSID).agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    days = F.array(*[F.lit(d.isoformat()).cast("date") for d in g.rights])
-    wanted = ids.select(*TSID, "first", "last", F.posexplode(days).alias("idx", "day"))
-    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in TSID] + [F.col("w.day") == F.col("s.day")]
-    joined = wanted.alias("w").join(series.alias("s"), same, "left").select(*[F.col(f"w.{c}").alias(c) for c in (*TSID, "idx", "day", "first", "last")], F.col("s.value").alias("value"))
-    zero = F.col("property").isin(list(ZERO_FILLED))
-    if mode == "sum":
-        zero = zero | F.col("day").between(F.col("first"), F.col("last"))
-    filled = joined.withColumn("value", F.coalesce("value", F.when(zero, F.lit(0.0))))
-    counted = filled.withColumn("n", F.count("value").over(Window.partitionBy(*TSID)))
-    return counted.filter(F.col("n") == len(g.rights)).select(*TSID, "idx", F.col("day").alias("t"), "value")
+    """``series`` (property, param1, param2, day, value: one row a bucket) on the whole grid; series with an empty interval are dropped. Empty intervals of the zero-filled properties are 0, and under ``sum`` those between a series' own first and last bucket.
+
+    Each row stands for its interval and the empty ones up to the next row, so series are read once.
+    """
+    n = len(g.rights)
+    rows = series.withColumn("at", interval(F.col("day").cast("timestamp"), g))
+    whole = Window.partitionBy(*TSID)
+    along = whole.orderBy("at")
+    rows = rows.withColumn("next", F.lead("at").over(along)).withColumn("first", F.min("at").over(whole)).withColumn("last", F.max("at").over(whole))
+    always = F.col("property").isin(list(ZERO_FILLED))
+    filled = always | F.lit(mode == "sum")
+    rows = rows.withColumn("present", F.sum(F.when(F.col("at").between(0, n - 1) & (filled | F.col("value").isNotNull()), 1).otherwise(0)).over(whole))
+    rows = rows.filter(always | (F.lit(mode == "sum") & (F.col("first") <= 0) & (F.col("last") >= n - 1)) | (F.col("present") == n))
+    start = F.greatest(F.when(always & (F.col("at") == F.col("first")), F.lit(0)).otherwise(F.col("at")), F.lit(0))
+    stop = F.when(F.col("next").isNotNull() & filled, F.col("next") - 1).when(F.col("next").isNull() & always, n - 1).otherwise(F.col("at"))
+    spread = rows.withColumn("start", start).withColumn("stop", F.least(stop, F.lit(n - 1))).filter("start <= stop")
+    each = spread.withColumn("idx", F.explode(F.sequence("start", "stop")))
+    value = F.when(F.col("idx") == F.col("at"), F.coalesce("value", F.when(filled, 0.0))).otherwise(F.lit(0.0))
+    return each.select(*TSID, "idx", g.right(F.col("idx")).alias("t"), value.alias("value"))
 
 
 def analysable(series: DataFrame) -> DataFrame:

@@ -39,13 +39,13 @@ def related(p: Properties, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(series oid, eid) of series of events and (series oid, oid) of series of objects: what is behind each of them."""
     ids = held(series.select("property", "param1", "param2", series_id().alias("series")).distinct())
     of_objects = F.col("property").startswith("op") | F.col("property").isin("rp2", "rp3")
-    events = p.event_times.select("eid", F.col("activity").alias("param1")).distinct()
-    by_event = events.join(F.broadcast(ids.filter(~of_objects)), "param1").select("series", "eid")
-    overlapping = replace(p, mechanism="overlaps").object_times
-    objects = p.object_times.select("oid", "otype", F.lit(False).alias("wide")).unionByName(overlapping.select("oid", "otype", F.lit(True).alias("wide"))).distinct()
+    events = p.counted_events.withColumnRenamed("activity", "param1")
+    by_event = events.join(ids.filter(~of_objects), "param1").select("series", "eid")
+    overlapping = replace(p, mechanism="overlaps").counted_objects
+    objects = p.counted_objects.withColumn("wide", F.lit(False)).unionByName(overlapping.withColumn("wide", F.lit(True)))
     types = F.when(F.col("property") == "op6", F.array_distinct(F.array("param1", "param2"))).otherwise(F.array("param1"))
     wanted = ids.filter(of_objects).select("series", F.explode(types).alias("otype"), F.col("property").isin("op6", "rp2").alias("wide"))
-    return by_event, objects.join(F.broadcast(wanted), ["otype", "wide"]).select("series", "oid").distinct()
+    return by_event, objects.join(wanted, ["otype", "wide"]).select("series", "oid").distinct()
 
 
 def with_series(spark: SparkSession, p: Properties, series: DataFrame) -> EventLog:
@@ -55,7 +55,6 @@ def with_series(spark: SparkSession, p: Properties, series: DataFrame) -> EventL
     by_event, by_object = related(p, series)
     name = F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), F.lit(v))])
     qualifier = ids.select("oid", F.concat_ws("&", F.lit("ts"), F.lit(p.rate), F.lit(p.mode), name[F.col("property")], F.concat_ws("|", "param1", "param2")).alias("qualifier"))
-    qualifier = F.broadcast(qualifier)
     relation = lambda rows: rows.join(qualifier, "oid").select("eid", "oid", F.lit(SERIES_TYPE).alias("otype"), "qualifier")
     ends = [("start_dummy_event", datetime(g.left.year, g.left.month, g.left.day) + timedelta(seconds=1)), ("end_dummy_event", datetime(g.rights[-1].year, g.rights[-1].month, g.rights[-1].day) - timedelta(seconds=1))]
     dummies = spark.range(2).select(F.when(F.col("id") == 0, ends[0][0]).otherwise(ends[1][0]).alias("eid"), F.lit(DUMMY).alias("activity"), F.when(F.col("id") == 0, F.lit(ends[0][1])).otherwise(F.lit(ends[1][1])).alias("ts"))

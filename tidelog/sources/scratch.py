@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -16,3 +16,21 @@ def shared_path(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_kept: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read back: what follows may read it several times, and a lost executor costs single tasks. ``clear`` removes such tables."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    _kept.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables of ``stored``, once all results that read them have been written."""
+    while _kept:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
