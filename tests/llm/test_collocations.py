@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidelog.llm import collocations as module
 from tidelog.llm.collocations import BITS, _Slice, _sliced, bitmap, collocations, ranked, unsqueezed
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,8 +45,10 @@ def texts(rng, n):
         yield "".join(w + rng.choice([" ", " ", " ", " ", "  ", "\t", ". ", ",", "\n", " \r\n", "\x0b"]) for w in ws)
 
 
-@pytest.mark.parametrize("least,slice_bytes", [(3, 3000), (2, 1 << 20)])
-def test_collocations(spark, least, slice_bytes):
+@pytest.mark.parametrize("least,slice_bytes,most_sent", [(3, 3000, 0), (2, 1 << 20, 2_000_000)])
+def test_collocations(spark, least, slice_bytes, most_sent, monkeypatch):
+    """Whether frequent pairs are sent to the tasks or joined."""
+    monkeypatch.setattr(module, "MOST_SENT", most_sent)
     rng = random.Random(least)
     rows = [(rng.choice(["en", "en", "en", "de", None, "und"]), t) for t in texts(rng, 400)]
     rows += [("en", None), ("en", ""), (None, " \t\n"), ("en", "New\x1cYork NEW york city"), ("fr", " ".join(texts(rng, 100))), rows[3], rows[3]]
@@ -64,7 +67,8 @@ def test_rare_and_empty(spark, docs, none):
 def test_products_beyond_64_bits(spark):
     from pyspark.sql import functions as F
 
-    from tidelog.llm.collocations import _best
+    from tidelog.llm import collocations as module
+from tidelog.llm.collocations import _best
 
     a, n, one, rest = 7_000_000_000_000, 90_000_000_000_000, [7_000_000_000_123, 8_000_000_000_321], [7_100_000_000_000, 7_000_000_000_007]
     rows = spark.createDataFrame([("x", ["a", "b", "c"], a, one, rest, n)], "lang string, words array<string>, f bigint, firsts array<bigint>, rests array<bigint>, n bigint")

@@ -6,9 +6,10 @@ arrays that a task fills over all of its slices; the others hold few of their ce
 coordinate lists, dealt by tile. Frequent pairs are ranked anew and become the numbers of the next round: a pair of
 overlapping phrases of k words is a phrase of k + 1. A phrase that is frequent enough has only such parts.
 
-Neither words nor phrases are broadcast. A slice numbers its own words (then its own pairs), Spark joins these short
-lists to the table of frequent ones, and the numbers come back to the slice. Pairs that a bitmap of fixed size rules
-out aren't listed.
+Words aren't broadcast: a slice numbers its own words, Spark joins these short lists to the table of frequent ones, and
+the numbers come back to the slice. Frequent pairs are sent to the tasks as long as they are at most MOST_SENT; beyond
+that they are joined to the slices' own pairs in the same way. Pairs that a bitmap of fixed size rules out aren't
+listed then.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from .shingles import pieces
 #: The longest phrase, in words.
 LONGEST = 5
 #: Bytes of text of a slice; numbers on a side of a tile; numbers below this one are counted in dense tiles.
-SLICE, TILE, DENSE = 2 << 20, 512, 1024
+SLICE, TILE, DENSE = 8 << 20, 512, 1024
+#: Frequent pairs that are sent to every task, at most (32 MB).
+MOST_SENT = 2_000_000
 #: Bits of the bitmap of frequent pairs (4 MB).
 BITS = 1 << 25
 #: A sparse coordinate list is sent on when it has so many entries.
@@ -303,6 +306,33 @@ def bitmap(pairs: DataFrame) -> np.ndarray:
 
 def next_round(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     """``stream`` (sid, own, ids) with the numbers of ``pairs`` (id, left, right): at each place that of the pair that begins there."""
+    largest = pairs.agg(F.count("*"), F.max(F.greatest("left", "right"))).first()
+    return _looked_up(stream, pairs) if largest[0] <= MOST_SENT and largest[1] < 1 << 31 else _joined(stream, pairs)
+
+
+def _looked_up(stream: DataFrame, pairs: DataFrame) -> DataFrame:
+    known = pairs.select(F.expr("shiftleft(left, 32) | right").alias("key"), "id").toArrow()
+    order = np.argsort(known.column("key").to_numpy())
+    sent = stream.sparkSession.sparkContext.broadcast((known.column("key").to_numpy()[order], known.column("id").to_numpy()[order]))
+
+    def run(batches):
+        import pyarrow as pa
+
+        keys, new = sent.value
+        for sid, own, data in _rows(batches, "sid", "own", "ids"):
+            ids = unsqueezed(data)
+            places, left, right = _neighbours(ids, len(ids))
+            key = (left << 32) | right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            out = np.full(len(ids), -1, np.int64)
+            out[places[hit]] = new[at[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([own], pa.int64()), pa.array([squeezed(out)], pa.binary())], names=["sid", "own", "ids"])
+
+    return materialize(stream.select("sid", "own", "ids").mapInArrow(run, "sid bigint, own bigint, ids binary"))
+
+
+def _joined(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = np.packbits(bitmap(pairs), bitorder="little")
 
     def listed(data: bytes):
