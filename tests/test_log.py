@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.grid import DAILY, MONTHLY, QUARTERLY, WEEKLY, YEARLY, Grid, grid, interval, label, period_end
 from tidelog.operators.assignment import assign
+from tidelog.operators import preceding as preceding_module
 from tidelog.operators.preceding import preceding
 from tidelog.operators.properties import Properties
 from tidelog.operators.series import align, analysable
@@ -114,16 +115,36 @@ def test_preceding_against_scanning_back(spark, timed):
     assert got == want
 
 
-def test_timed_predecessors_of_a_hot_object_are_cut_by_month(spark):
-    """One object over a year, with events across months and months without an end: as by scanning back, and no window holds all its places."""
-    at = lambda m, d: f"2024-{m:02}-{d:02} 00:00:00"
-    events = [(f"e{m}{d}", "a", at(m, d), at(min(m + long, 12), d + (not long))) for m in (1, 2, 3, 6, 7, 11) for d, long in ((3, 0), (9, 2), (9, 0), (20, 1))]
-    events = [(f"{e}{i}", a, s, x) for i, (e, a, s, x) in enumerate(events)] + [("q", "a", at(5, 1), at(5, 1)), ("r", "a", at(5, 2), at(10, 1))]
-    found = preceding(make_log(spark, events, [(e[0], "hot", "supplier") for e in events]), False)
-    before = {e: [(y, t, o) for o, _, t, y in events if y <= s and o != e and (y, t, o) < (x, s, e)] for e, _, s, x in events}
-    assert {(r["eid"], r["prev_eid"]) for r in found.collect()} == {(e, max(b)[2]) for e, b in before.items() if b}
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert re.search(r"windowspecdefinition\(oid#\d+, month#\d+, place#", plan) and not re.search(r"windowspecdefinition\(oid#\d+, place#", plan)
+@pytest.mark.parametrize("timed", [False, True])
+def test_predecessors_of_a_hot_object_lie_in_many_ranges(spark, timed, monkeypatch):
+    """One object with nearly all events, among others: as by scanning back, and the scan deals it to all tasks; ranges without an end pass on what came in."""
+    start = datetime(2024, 1, 1)
+    events = [(f"e{i:04}", "a", start + timedelta(hours=i), start + timedelta(hours=i + (i * 7919 % 600 if timed else 0))) for i in range(600)]
+    # A long time in which nothing of the hot object ends.
+    events += [(f"q{i:04}", "a", start + timedelta(hours=2000 + i), start + timedelta(hours=9000 if timed else 2000 + i)) for i in range(400)]
+    events = [(e, a, s.isoformat(), x.isoformat()) for e, a, s, x in events]
+    relations = [(e[0], "hot", "van") for e in events] + [(e[0], f"o{i % 50}", "order") for i, e in enumerate(events)]
+    seen = []
+    keep = preceding_module.stored
+    monkeypatch.setattr(preceding_module, "stored", lambda df: seen.append(keep(df)) or seen[-1])
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = preceding(make_log(spark, events, relations), not timed).select("eid", "prev_eid", F.explode("types").alias("otype")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = {}
+    for e, o, t in relations:
+        own.setdefault((o, t), []).append(e)
+    by_id = {e[0]: (e[3], e[2], e[0]) for e in events}
+    want = set()
+    for (_, otype), ids in own.items():
+        for e in ids:
+            before = [by_id[x] for x in ids if by_id[x] < by_id[e] and (by_id[x][0] <= by_id[e][1])]
+            if before:
+                want.add((e, max(before)[2], otype))
+    assert {tuple(r) for r in found} == want
+    ranges = seen[0].filter("state < 2 and otype = 'van'").select("part").distinct().count()
+    assert ranges >= 3 and seen[0].filter("state = 1").count() > 0
 
 
 def test_properties_by_hand(spark):

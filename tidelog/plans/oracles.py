@@ -6,7 +6,7 @@ from datetime import date
 
 from ..operators.assignment import MECHANISMS
 from ..operators.writeback import CHANGE_POINTS
-from .queries import EVENT_RATES, NAIVE, NLARGEST, ORDER_PROPERTIES, QUERY_NAMES, RESOURCE, SELECTIONS
+from .queries import EVENT_RATES, FURTHER, NAIVE, NLARGEST, ORDER_PROPERTIES, QUERY_NAMES, RESOURCE, SELECTIONS
 
 _LOG = """
 items AS (
@@ -35,7 +35,15 @@ def _log(timed: bool) -> str:
 
 
 def _grid(rate: str, start: date | None = None, end: date | None = None) -> str:
-    """Edges of months, quarters or years over all events or days: grid (idx, left_edge, right_edge)."""
+    """Edges of days, weeks, months, quarters or years over all events or days: grid (idx, left_edge, right_edge)."""
+    if rate in ("D", "W"):
+        step = 1 if rate == "D" else 7
+        left, right = ("lo", "hi") if rate == "D" else ("lo - (isodow(lo) % 7)::INTEGER", "hi + 1 + ((7 - isodow(hi + 1)) % 7)::INTEGER")
+        return f"""
+bounds AS (SELECT min(ts)::DATE AS lo, max(end_ts)::DATE AS hi FROM ev), span AS (SELECT ({left})::DATE AS left0, ({right})::DATE AS right_n FROM bounds), grid AS (
+  SELECT i - 1 AS idx, (left0 + ({step} * (i - 1))::INTEGER)::DATE AS left_edge, (left0 + ({step} * i)::INTEGER)::DATE AS right_edge
+  FROM span, (SELECT unnest(range(1, 5000)) AS i) n WHERE (left0 + ({step} * i)::INTEGER)::DATE <= right_n
+)"""
     lo, hi = f"DATE '{start}'" if start else "min(ts)::DATE", f"DATE '{end}'" if end else "max(end_ts)::DATE"
     unit, months = _STEP[rate]
     end = f"(date_trunc('{unit}', {{}}) + to_months({months}) - to_days(1))::DATE"
@@ -53,6 +61,10 @@ span AS (
 
 
 def _day(rate: str, ts: str = "t") -> str:
+    if rate == "D":
+        return f"(({ts} - INTERVAL 1 MICROSECOND)::DATE + 1)"
+    if rate == "W":
+        return f"({ts}::DATE + ((7 - isodow({ts}::DATE)) % 7)::INTEGER)::DATE"
     unit, months = _STEP[rate]
     return f"(date_trunc('{unit}', {ts}) + to_months({months}) - to_days(1))::DATE"
 
@@ -169,6 +181,7 @@ def _aligned(property: str, mode: str, day: str) -> str:
 
 def _series_of(name: str, rate: str, mode: str, mechanism: str, still: bool, start: date | None = None, end: date | None = None, event_types: tuple[str, ...] | None = None, object_types: tuple[str, ...] | None = None) -> str:
     more, rows = _ROWS[name]
+    more = more if still else more.replace(_PREV, _PREV_TIMED)
     listed = lambda column, values: "true" if values is None else f"{column} IN ({', '.join(repr(v) for v in values)})"
     kept = {
         **{p: listed("p1", event_types) for p in ("ep1", "ep2", "ep3", "pp1", "pp2", "pp3", "pp4", "pp5")}, **{p: f"{listed('p1', event_types)} AND {listed('p2', object_types)}" for p in ("ep4", "pp6", "pp7")},
@@ -189,6 +202,10 @@ def _selected(name: str) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({_series_of(p, rate, 'sum' if p == 'ep1' else mode, 'overlaps', True, **chosen)})" for p in properties)
 
 
+def _all_properties() -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_series_of(p, 'ME', 'sum' if p in ('ep1', 'op1') else 'mean', 'overlaps', False)})" for p in ORDER_PROPERTIES)
+
+
 def _events(rate: str, name: str) -> str:
     sunday = "({0} + to_days(((7 - isodow({0})) % 7)::INTEGER))::DATE"
     if rate == "D":
@@ -293,6 +310,8 @@ ORACLES: dict[str, str] = {
     **{f"{QUERY_NAMES.get(name, name)}_orders": _property(name) for name in ORDER_PROPERTIES},
     **{f"{name}_events_{word}": _events(rate, name) for name in ("ep1", "ep2") for rate, word in EVENT_RATES.items() if rate != "ME"},
     **{f"assign_{m}": _assigned(m) for m in MECHANISMS},
+    **{name: _series_of(*of) for name, of in FURTHER.items()},
+    "all_properties_orders": _all_properties(),
     "preceding_atomic": _preceding(True),
     "preceding_timed": _preceding(False),
     "analysable_series": f"{_series()} SELECT {_OUT} FROM s",

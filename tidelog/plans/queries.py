@@ -55,6 +55,36 @@ def _property(name: str) -> Query:
     return query
 
 
+#: Of each further query of one property of the order log: the property, rate, aggregation, mechanism, whether events are atomic. Daily spans touch up to 2400 intervals.
+FURTHER = {
+    "events_per_object_orders_daily": ("op3", "D", "mean", "overlaps", True),
+    "lifecycle_duration_orders_daily": ("op5", "D", "sum", "overlaps", True),
+    "object_frequency_orders_weekly": ("op1", "W", "sum", "overlaps", True),
+    "object_attribute_value_orders_daily": ("op2", "D", "max", "overlaps", True),
+    "events_of_type_per_object_orders_daily": ("op4", "D", "min", "overlaps", True),
+    "rp2_orders_daily": ("rp2", "D", "sum", "overlaps", False),
+    "ep1_orders_daily": ("ep1", "D", "sum", "overlaps", False),
+    "ep2_orders_weekly": ("ep2", "W", "min", "overlaps", False),
+    "pp4_orders_weekly": ("pp4", "W", "mean", "overlaps", False),
+    "pp7_orders_starting": ("pp7", "ME", "sum", "starting", False),
+}
+
+
+def _further(name: str) -> Query:
+    property, rate, mode, mechanism, still = FURTHER[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        log = orders_log(spark, sf_dir)
+        return shown(Properties(spark, atomic(log) if still else log, rate, mode, mechanism, still, RESOURCE).collect([property]))
+
+    return query
+
+
+def all_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twenty properties of the order log with durations, by month, in one plan."""
+    return shown(Properties(spark, orders_log(spark, sf_dir), "ME", "mean", "overlaps", False, RESOURCE).collect(list(ORDER_PROPERTIES)))
+
+
 #: Of each query of a part of the order log: the properties, their rate, aggregation and what is selected.
 SELECTIONS = {
     "dates": (("ep1", "pp1"), "ME", "mean", {"start": date(1996, 2, 10), "end": date(1997, 3, 20)}),
@@ -210,6 +240,8 @@ QUERIES: dict[str, Query] = {
     **{f"ep1_events_{word}": _events(rate, "ep1") for rate, word in EVENT_RATES.items() if rate != "ME"},
     **{f"ep2_events_{word}": _events(rate, "ep2") for rate, word in EVENT_RATES.items() if rate != "ME"},
     **{f"assign_{m}": _assigned(m) for m in MECHANISMS},
+    **{name: _further(name) for name in FURTHER},
+    "all_properties_orders": all_properties,
     "preceding_atomic": _preceding(True),
     "preceding_timed": _preceding(False),
     "analysable_series": _points(lambda s: s),
