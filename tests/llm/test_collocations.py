@@ -47,8 +47,9 @@ def texts(rng, n):
 
 @pytest.mark.parametrize("least,slice_bytes,most_sent", [(3, 3000, 0), (2, 1 << 20, 2_000_000)])
 def test_collocations(spark, least, slice_bytes, most_sent, monkeypatch):
-    """Whether frequent pairs are sent to the tasks or joined."""
+    """Whether frequent words and pairs are sent to the tasks or joined."""
     monkeypatch.setattr(module, "MOST_SENT", most_sent)
+    monkeypatch.setattr(module, "MOST_WORDS", most_sent)
     rng = random.Random(least)
     rows = [(rng.choice(["en", "en", "en", "de", None, "und"]), t) for t in texts(rng, 400)]
     rows += [("en", None), ("en", ""), (None, " \t\n"), ("en", "New\x1cYork NEW york city"), ("fr", " ".join(texts(rng, 100))), rows[3], rows[3]]

@@ -6,10 +6,9 @@ arrays that a task fills over all of its slices; the others hold few of their ce
 coordinate lists, dealt by tile. Frequent pairs are ranked anew and become the numbers of the next round: a pair of
 overlapping phrases of k words is a phrase of k + 1. A phrase that is frequent enough has only such parts.
 
-Words aren't broadcast: a slice numbers its own words, Spark joins these short lists to the table of frequent ones, and
-the numbers come back to the slice. Frequent pairs are sent to the tasks as long as they are at most MOST_SENT; beyond
-that they are joined to the slices' own pairs in the same way. Pairs that a bitmap of fixed size rules out aren't
-listed then.
+Frequent words and frequent pairs are sent to the tasks as long as they are at most MOST_WORDS and MOST_SENT. Beyond
+that a slice's own list of words or pairs is joined to the table of frequent ones, and the numbers come back to the
+slice; pairs that a bitmap of fixed size rules out aren't listed then.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from .shingles import pieces
 LONGEST = 5
 #: Bytes of text of a slice; numbers on a side of a tile; numbers below this one are counted in dense tiles.
 SLICE, TILE, DENSE = 8 << 20, 512, 1024
-#: Frequent pairs that are sent to every task, at most (32 MB).
-MOST_SENT = 2_000_000
+#: Frequent pairs that are sent to every task, at most (32 MB); frequent words, at most, and their bytes.
+MOST_SENT, MOST_WORDS, MOST_BYTES = 2_000_000, 1_000_000, 32 << 20
 #: Bits of the bitmap of frequent pairs (4 MB).
 BITS = 1 << 25
 #: A sparse coordinate list is sent on when it has so many entries.
@@ -291,6 +290,27 @@ def _of_words(data: bytes, own: int, place: np.ndarray, new: np.ndarray) -> np.n
     return table[tokens]
 
 
+def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``texts`` (sid, tokens, own, words) to (sid, own, ids) by the frequent ``words`` (lang, word, id), which go to every task in the order of their ids."""
+    known = words.orderBy("id").select(F.concat(F.encode("lang", "UTF-8"), F.lit(b" "), F.encode("word", "UTF-8")).alias("key")).toArrow().column("key").combine_chunks()
+    sent = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sid, own, data = (batch.column(c)[i].as_py() for c in ("sid", "own", "tokens"))
+                listed = batch.column("words")[i].values
+                keys = pc.binary_join_element_wise(listed.field("lang").cast(pa.binary()), listed.field("word"), pa.scalar(b" ", pa.binary()))
+                new = pc.fill_null(pc.index_in(keys, value_set=sent.value), -1).to_numpy().astype(np.int64)
+                ids = _of_words(data, own, listed.field("id").to_numpy().astype(np.int64), new)
+                yield pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([own], pa.int64()), pa.array([squeezed(ids)], pa.binary())], names=["sid", "own", "ids"])
+
+    return materialize(texts.select("sid", "own", "tokens", "words").mapInArrow(run, "sid bigint, own bigint, ids binary"))
+
+
 def _hash_bit(left, right):
     return (left * 48271 + right) % BITS
 
@@ -389,7 +409,11 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, slice_bytes
     own = texts.select("sid", F.inline("words")).select("sid", F.col("id").alias("place"), "lang", F.col("word").cast("string").alias("word"), "n")
     totals = materialize(own.groupBy("lang", "word").agg(F.sum("n").alias("f")))
     words = ranked(totals.filter(F.col("f") >= least), F.desc("f"), "lang", "word")
-    stream = _numbered(texts, own.join(words.select("lang", "word", "id"), ["lang", "word"]).select("sid", "place", "id"), "tokens", _of_words)
+    size = words.agg(F.count("*"), F.sum(F.octet_length("lang") + F.octet_length("word") + 1)).first()
+    if size[0] and size[0] <= MOST_WORDS and size[1] <= MOST_BYTES:
+        stream = _with_words(texts, words)
+    else:
+        stream = _numbered(texts, own.join(words.select("lang", "word", "id"), ["lang", "word"]).select("sid", "place", "id"), "tokens", _of_words)
     none = F.array().cast("array<bigint>")
     known, n_ids = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("firsts"), none.alias("rests")), words.count()
     discard(texts)
