@@ -238,13 +238,16 @@ def test_csv_set(spark, tmp_path):
     tables = {
         "event": "ocel_id;ocel_type\ne1;place order", "object": "ocel_id;ocel_type\no1;orders\no2;orders", "event_object": "ocel_event_id;ocel_object_id;ocel_qualifier\ne1;o1;q\ne1;o1;q",
         "object_object": "ocel_source_id;ocel_target_id;ocel_qualifier\no1;o1;contains", "event_map_type": "ocel_type;ocel_type_map\nplace order;PlaceOrder", "object_map_type": "ocel_type;ocel_type_map\norders;Orders",
-        "event_PlaceOrder": "ocel_id;ocel_time;weight;note\ne1;2024-01-01 10:00:00;2.5;text",
+        "event_PlaceOrder": "ocel_id;ocel_time;weight;note;end time\ne1;2024-01-01 10:00:00;2.5;text;2024-01-01 12:30:00",
         "object_Orders": "ocel_id;ocel_time;ocel_changed_field;price;size\no1;2023-01-01 00:00:00;;4;7\no1;2024-01-05 00:00:00;price;5;7\no2;2023-01-01 00:00:00;;9;9",
     }
     for name, text in tables.items():
         (tmp_path / f"{name}.csv").write_text(text)
     log = read_csv_set(spark, str(tmp_path))
-    assert log.relations.count() == 1 and log.events.first()["ts"] == datetime(2024, 1, 1, 10) and log.o2o.count() == 1
+    assert log.relations.count() == 1 and log.o2o.count() == 1
+    assert tuple(log.events.select("ts", "end_ts").first()) == (datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 12, 30))
+    still = read_csv_set(spark, str(tmp_path), None)
+    assert tuple(still.events.select("ts", "end_ts").first()) == (datetime(2024, 1, 1, 10),) * 2
     assert [r["oid"] for r in log.objects.collect()] == ["o1"]  # o2 has no event
     assert [tuple(r) for r in log.event_attrs.collect()] == [("e1", "weight", 2.5)]
     assert sorted((r["name"], r["ts"].year, r["changed"], r["value"]) for r in log.object_attrs.collect()) == [("price", 1970, False, 4.0), ("price", 2024, True, 5.0), ("size", 1970, False, 7.0)]

@@ -328,6 +328,7 @@ ORACLES: dict[str, str] = {
     "written_back_dummies": f"WITH {_log(False)}, {_grid('ME')} SELECT 'start_dummy_event' AS eid, strftime(min(left_edge)::TIMESTAMP + INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS ts FROM grid UNION ALL SELECT 'end_dummy_event', strftime(max(right_edge)::TIMESTAMP - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') FROM grid",
     "reloaded": _reloaded(),
     "points_as_series": f"{_series()}, m AS (SELECT property, param1, param2, idx FROM (SELECT *, row_number() OVER ({_KEY} ORDER BY value DESC, idx) AS rn FROM s) WHERE rn <= 3), i AS (SELECT property, param1, param2 FROM m GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 2 AND (SELECT count(*) - 1 FROM grid)) SELECT i.property, i.param1, i.param2, g.idx, strftime(g.right_edge, '%Y-%m-%d') AS t, CASE WHEN m.idx IS NULL THEN 0.0 ELSE 1.0 END AS value FROM i CROSS JOIN grid g LEFT JOIN m ON m.property = i.property AND m.param1 = i.param1 AND m.param2 IS NOT DISTINCT FROM i.param2 AND m.idx = g.idx",
+    "log_of_a_document": f"WITH {_log(True)}{_ATTRS}, n AS (SELECT eid, count(*) AS n FROM rel GROUP BY eid), v AS (SELECT eid, sum(v) AS v FROM event_attrs GROUP BY eid) SELECT activity, strftime(ts, '%Y-%m') AS month, count(*) AS n_events, sum(n)::BIGINT AS n_objects, sum((epoch_us(end_ts) - epoch_us(ts)) // 3600000000)::BIGINT AS hours, round(sum(v), 2) AS total FROM ev JOIN n ON n.eid = ev.eid JOIN v ON v.eid = ev.eid GROUP BY 1, 2",
     **{f"selected_{name}_orders": _selected(name) for name in SELECTIONS},
     "drill_down_events": f"{_enriched()} SELECT 'ts&ep1&' || activity AS series, eid FROM asg_e",
     "drill_down_objects": f"{_enriched()}, six AS (SELECT DISTINCT param1, param2 FROM ({_series_of('op6', 'ME', 'sum', 'overlaps', True)})) SELECT DISTINCT 'ts&op1&' || otype AS series, oid FROM asg_o UNION ALL SELECT DISTINCT 'ts&op6&' || param1 || '|' || param2, oid FROM six JOIN asg_o ON otype IN (param1, param2)",

@@ -18,7 +18,7 @@ from ..operators.properties import Properties
 from ..operators.series import analysable
 from ..operators.stationarity import differenced, orders
 from ..operators.writeback import CHANGE_POINTS, DUMMY, FORECASTING, THRESHOLD_POINTS, attribute_name, related, reload_causes, reload_forecasts, reload_marks, reload_series, with_causes, with_forecasts, with_points, with_series
-from ..sources.log import SERIES_TYPE, EventLog, atomic, events_log, held, orders_log, read_ocel_json, write_ocel_lines
+from ..sources.log import SERIES_TYPE, EventLog, atomic, events_log, held, orders_log, read_ocel_json, write_ocel_document, write_ocel_lines
 from ..sources.scratch import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +228,19 @@ def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def log_of_a_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order log written as one OCEL document by many tasks and read from it by many tasks: events by activity and month, with their hours, objects and attribute values."""
+    path = f"{shared_path(spark)}.json"
+    write_ocel_document(orders_log(spark, sf_dir), path)
+    log = read_ocel_json(spark, path)
+    related_objects = log.relations.groupBy("eid").agg(F.count("*").alias("n"))
+    values = log.event_attrs.groupBy("eid").agg(F.sum("value").alias("v"))
+    rows = log.events.join(related_objects, "eid", "left").join(values, "eid", "left")
+    took = (F.unix_micros("end_ts") - F.unix_micros("ts")) / 3_600_000_000
+    sums = {"n_events": F.count("*"), "n_objects": F.sum("n"), "hours": F.sum(took.cast("long")), "total": F.round(F.sum("v"), 2)}
+    return rows.groupBy("activity", F.date_format("ts", "yyyy-MM").alias("month")).agg(*[v.alias(k) for k, v in sums.items()])
+
+
 def points_as_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest points of each series as 0/1 series, those that can be inputs of a causality test."""
     p = _monthly(spark, sf_dir)
@@ -265,4 +278,5 @@ QUERIES: dict[str, Query] = {
     "written_back_dummies": written_back_dummies,
     "reloaded": reloaded,
     "points_as_series": points_as_series,
+    "log_of_a_document": log_of_a_document,
 }

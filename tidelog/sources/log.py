@@ -8,6 +8,9 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .document import document_elements
+from .scratch import shared_path, stored
+
 EPOCH = "1970-01-01 00:00:00"
 #: The event attribute that holds the end of an event.
 END_TIME = "end time"
@@ -157,14 +160,20 @@ def events_log(spark: SparkSession, sf_dir: str) -> EventLog:
 
 
 def read_ocel_json(spark: SparkSession, path: str, lines: bool = False, end_attribute: str = END_TIME) -> EventLog:
-    """An OCEL 2.0 JSON log: one document, or with ``lines`` what ``write_ocel_lines`` writes, in which each line is a document with a part of the log, so that any number of tasks read it.
+    """An OCEL 2.0 JSON log: one document in one file, or with ``lines`` what ``write_ocel_lines`` writes, in which each line is a document with a part of the log. Any number of tasks read either.
 
     Values may be strings or numbers. Objects without events are dropped; the earliest value of an attribute counts as
     initial, as of the epoch. The event attribute ``end_attribute`` is the time at which an event ends; one without it
     ends when it starts.
     """
-    doc = spark.read.schema(OCEL_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
-    events, objects = doc.select(F.inline("events")), doc.select(F.inline("objects"))
+    if lines:
+        doc = spark.read.schema(OCEL_SCHEMA).option("mode", "FAILFAST").json(path)
+        events, objects = doc.select(F.inline("events")), doc.select(F.inline("objects"))
+    else:
+        elements = document_elements(spark, path)
+        # Parsed once; what follows reads single columns of it several times.
+        parsed = lambda name, kind: stored(elements.filter(F.col("array") == name).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("x")).select("x.*"))
+        events, objects = parsed("events", _OCEL_EVENT), parsed("objects", _OCEL_OBJECT)
     relations = events.select(F.col("id").alias("eid"), F.inline("relationships")).select("eid", F.col("objectId").alias("oid"), "qualifier")
     typed = objects.select(F.col("id").alias("oid"), F.col("type").alias("otype"))
     relations = relations.join(typed, "oid").select("eid", "oid", "otype", "qualifier")
@@ -224,8 +233,8 @@ def declared_types(log: EventLog) -> tuple[DataFrame, DataFrame]:
     return of_events, declared(log.objects.select(F.col("oid").alias("id"), F.col("otype").alias("type")), log.object_attrs.select(F.col("oid").alias("id"), "name"))
 
 
-def write_ocel_lines(log: EventLog, path: str) -> None:
-    """The log as JSON lines, each an OCEL 2.0 document with one event, object or declared type; ``read_ocel_json`` reads them with ``lines``. What the schema requires is checked first: ids, types and times, one row an id, values that are numbers, and relations that lead to objects."""
+def ocel_sections(log: EventLog) -> dict[str, DataFrame]:
+    """The arrays of an OCEL 2.0 document, in its order. What the schema requires is checked first: ids, types and times, one row an id, values that are numbers, and relations that lead to objects."""
     events, objects = ocel_rows(log)
     for rows, name in ((events, "events"), (objects, "objects")):
         if not rows.filter("id is null or type is null" + (" or time is null" if name == "events" else "")).isEmpty():
@@ -237,14 +246,67 @@ def write_ocel_lines(log: EventLog, path: str) -> None:
     if not log.object_attrs.filter("name is null or ts is null or value is null").unionByName(log.event_attrs.filter("name is null or value is null"), allowMissingColumns=True).isEmpty():
         raise ValueError("attributes need a name, a value and a time")
     event_types, object_types = declared_types(log)
-    parts = {"eventTypes": event_types, "objectTypes": object_types, "events": events, "objects": objects}
-    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    lines = [rows.select(F.to_json(F.struct(F.array(F.struct("*")).alias(name)), exact).alias("value")) for name, rows in parts.items()]
+    return {"eventTypes": event_types, "objectTypes": object_types, "events": events, "objects": objects}
+
+
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def write_ocel_lines(log: EventLog, path: str) -> None:
+    """The log as JSON lines, each an OCEL 2.0 document with one event, object or declared type; ``read_ocel_json`` reads them with ``lines``."""
+    lines = [rows.select(F.to_json(F.struct(F.array(F.struct("*")).alias(name)), _EXACT).alias("value")) for name, rows in ocel_sections(log).items()]
     reduce(DataFrame.unionByName, lines).write.text(path)
 
 
-def read_csv_set(spark: SparkSession, path: str) -> EventLog:
-    """A log in ``;``-separated tables: event, object, event_object, object_object, event_map_type, object_map_type, and for each mapped type a table event_<type> (ocel_id, ocel_time, attributes) or object_<type> (ocel_id, ocel_time, ocel_changed_field, attributes). A row with ocel_changed_field changes that attribute, others hold initial values."""
+def write_ocel_document(log: EventLog, path: str) -> None:
+    """The log as one OCEL 2.0 JSON document in one file, as other readers of the format take it.
+
+    Events and objects, each in the order of their ids, are sorted in ranges; each task writes its range with the
+    separators that belong there, so that the parts in their order are the document. Joining them is work of the file
+    system where it can (HDFS); elsewhere their bytes are copied through a buffer.
+    """
+    spark, sections = log.events.sparkSession, ocel_sections(log)
+    rows = []
+    for place, (name, df) in enumerate(sections.items()):
+        key = "id" if "id" in df.columns else "name"
+        first = df.agg(F.min(key)).first()[0]
+        comma = F.when(F.col(key) == F.lit(first), "").otherwise(",")
+        rows.append(df.select(F.lit(place).alias("section"), F.lit(1).alias("kind"), F.col(key).alias("key"), F.concat(comma, F.to_json(F.struct("*"), _EXACT)).alias("value")))
+        rows.append(spark.createDataFrame([(place, 0, "", ("{" if place == 0 else "],") + f'"{name}":[')], "section int, kind int, key string, value string"))
+    rows.append(spark.createDataFrame([(len(sections), 0, "", "]}")], "section int, kind int, key string, value string"))
+    order = ("section", "kind", "key")
+    parts = shared_path(spark)
+    reduce(DataFrame.unionByName, rows).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(parts)
+    _joined(spark, parts, path)
+
+
+def _joined(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder, in the order of their names, as one file; the folder goes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    source, target = place(folder).getFileSystem(conf), place(path).getFileSystem(conf)
+    names = sorted(str(f.getPath().toString()) for f in source.listStatus(place(folder)) if f.getPath().getName().startswith("part-") and f.getLen())
+    if source.getUri().toString().startswith("hdfs:") and source.getUri().equals(target.getUri()):
+        files = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(names) - 1)
+        for i, name in enumerate(names[1:]):
+            files[i] = place(name)
+        if len(names) > 1:
+            source.concat(place(names[0]), files)
+        source.rename(place(names[0]), place(path))
+    else:
+        out = target.create(place(path), False)
+        try:
+            for name in names:
+                data = source.open(place(name))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)
+                data.close()
+        finally:
+            out.close()
+    source.delete(place(folder), True)
+
+
+def read_csv_set(spark: SparkSession, path: str, end_attribute: str | None = END_TIME) -> EventLog:
+    """A log in ``;``-separated tables: event, object, event_object, object_object, event_map_type, object_map_type, and for each mapped type a table event_<type> (ocel_id, ocel_time, attributes) or object_<type> (ocel_id, ocel_time, ocel_changed_field, attributes). A row with ocel_changed_field changes that attribute, others hold initial values. The event attribute ``end_attribute`` is the time at which an event ends; one without it ends when it starts."""
     read = lambda name: spark.read.option("sep", ";").option("header", True).csv(f"{path}/{name}.csv")
     mapped = {k: sorted({r["ocel_type_map"] for r in read(f"{k}_map_type").select("ocel_type_map").distinct().collect()}) for k in ("event", "object")}
     fixed = ("ocel_id", "ocel_time", "ocel_changed_field")
@@ -261,12 +323,14 @@ def read_csv_set(spark: SparkSession, path: str) -> EventLog:
         return reduce(DataFrame.unionByName, tables)
 
     of_events, of_objects = long("event"), long("object")
-    times = of_events.filter("name is null").select("ocel_id", "ts")
-    events = read("event").join(times, "ocel_id").select(F.col("ocel_id").alias("eid"), F.col("ocel_type").alias("activity"), "ts", F.col("ts").alias("end_ts"))
+    is_end = F.col("name") == F.lit(end_attribute)
+    # The row without a name has the start; the end, if there is one, is a value of a row of its own.
+    times = of_events.filter(F.col("name").isNull() | is_end).groupBy("ocel_id").agg(F.max(F.when(F.col("name").isNull(), F.col("ts"))).alias("ts"), F.max(F.when(is_end, F.expr("try_to_timestamp(value)"))).alias("end_ts"))
+    events = read("event").join(times, "ocel_id").select(F.col("ocel_id").alias("eid"), F.col("ocel_type").alias("activity"), "ts", F.coalesce("end_ts", "ts").alias("end_ts"))
     typed = read("object").select(F.col("ocel_id").alias("oid"), F.col("ocel_type").alias("otype"))
     links = read("event_object").dropDuplicates().select(F.col("ocel_event_id").alias("eid"), F.col("ocel_object_id").alias("oid"), F.col("ocel_qualifier").alias("qualifier"))
     relations = links.join(typed, "oid").select("eid", "oid", "otype", "qualifier")
     o2o = read("object_object").select(F.col("ocel_source_id").alias("oid"), F.col("ocel_target_id").alias("oid_2"), F.col("ocel_qualifier").alias("qualifier"))
-    attrs = of_events.filter("name is not null and value is not null").select(F.col("ocel_id").alias("eid"), "name", "value")
+    attrs = of_events.filter(F.col("name").isNotNull() & F.col("value").isNotNull() & F.coalesce(~is_end, F.lit(True))).select(F.col("ocel_id").alias("eid"), "name", "value")
     history = of_objects.filter("name is not null and value is not null and (changed_field is null or changed_field = name)").select(F.col("ocel_id").alias("oid"), "name", "ts", "value")
     return _checked(events, relations, typed, attrs, history, o2o)
