@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-from itertools import product
-from math import log
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
+from .arima import CRITERIA, predict, search
 from .series import TSID
-from .stationarity import first_differences, least_squares
+from .stationarity import first_differences
 
 FORECAST = "property string, param1 string, param2 string, idx int, value double"
 
 
-def _lag_columns(y: np.ndarray, e: np.ndarray, places: list[tuple[str, int]], at: np.ndarray) -> np.ndarray:
-    return np.column_stack([(y if kind == "y" else e)[at - k] for kind, k in places]) if places else np.empty((len(at), 0))
-
-
-CRITERIA = ("aicc", "aic", "bic")
 MOST, LEAST = (3, 2, 1, 1), (0, 0, 0, 0)
 
 
-def _score(criterion: str, n: int, ssr: float, size: int) -> float:
-    fit = n * log(max(ssr, 1e-12) / n)
-    return fit + size * (log(n) if criterion == "bic" else 2 * n / (n - size - 1) if criterion == "aicc" else 2)
-
-
 def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tuple[int, int, int, int] = MOST, exogenous: np.ndarray | None = None, future: np.ndarray | None = None, least: tuple[int, int, int, int] = LEAST, criterion: str = "aicc") -> np.ndarray:
-    """The next ``horizon`` values. Orders (p, q, P, Q) from ``least`` to ``most`` are chosen by an information criterion; coefficients come from two steps of least squares, a long autoregression for the innovations and then all lags together. Exogenous columns enter as they are, with their future values."""
+    """The next ``horizon`` values. Orders (p, q, P, Q) from ``least`` to ``most`` are searched stepwise by an information criterion; each model is fitted by exact maximum likelihood (``arima``). Exogenous columns are regressors of the differenced series, as they are, with their future values; their errors are the ARMA process."""
     if criterion not in CRITERIA:
         raise ValueError(f"criterion must be one of {CRITERIA}")
     if any(a > b for a, b in zip(least, most, strict=True)):
@@ -53,7 +41,11 @@ def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tup
     if n < 6 or np.ptp(z) == 0:
         steps = np.full(horizon, z.mean() if n else 0.0)
     else:
-        steps = _predict_stationary(z, horizon, period, (least, most), criterion, x, future)
+        one = np.ones((n, 1))
+        design, ahead = (one, np.ones((horizon, 1))) if x is None else (np.hstack([one, x]), np.hstack([np.ones((horizon, 1)), future]))
+        center, width = z.mean(), z.std()
+        model = search((z - center) / width, period, least, most, criterion, design)
+        steps = center + width * predict(model, (z - center) / width, design, ahead)
     for level in reversed(history[:-1]):
         steps = level[-1] + steps.cumsum()
     if period:
@@ -64,42 +56,6 @@ def fit_and_predict(values: np.ndarray, horizon: int, period: int = 0, most: tup
     return steps
 
 
-def _predict_stationary(z, horizon, period, orders, criterion, x, future) -> np.ndarray:
-    least, most = orders
-    n = len(z)
-    long = max(1, min(n // 4, 10))
-    at = np.arange(long, n)
-    first = np.column_stack([np.ones(len(at)), *[z[at - k] for k in range(1, long + 1)]])
-    e = np.zeros(n)
-    e[long:] = z[long:] - first @ least_squares(first, z[long:])[0]
-    widest = max([most[0], most[1] + long] + ([period * max(most[2], most[3])] if period else []))
-    best = None
-    ranges = [range(a, b + 1) for a, b in zip(least, most, strict=True)]
-    for p, q, sp, sq in product(*ranges[:2], *(ranges[2:] if period else ((0,), (0,)))):
-        places = [("y", k) for k in range(1, p + 1)] + [("e", k) for k in range(1, q + 1)] + [("y", period * k) for k in range(1, sp + 1)] + [("e", period * k) for k in range(1, sq + 1)]
-        start = min(widest, n // 2)
-        if places and max(k for _, k in places) > start:
-            continue
-        at = np.arange(start, n)
-        design = np.hstack([np.ones((len(at), 1)), _lag_columns(z, e, places, at)] + ([] if x is None else [x[at]]))
-        size = design.shape[1] + 1
-        if len(at) <= size + 1:
-            continue
-        beta, ssr, _ = least_squares(design, z[at])
-        score = _score(criterion, len(at), ssr, size)
-        if best is None or score < best[0] - 1e-9:
-            best = score, places, beta
-    if best is None:
-        return np.full(horizon, z.mean())
-    _, places, beta = best
-    z, e = np.concatenate([z, np.zeros(horizon)]), np.concatenate([e, np.zeros(horizon)])
-    for i in range(horizon):
-        now = np.array([n + i])
-        row = np.hstack([np.ones((1, 1)), _lag_columns(z, e, places, now)] + ([] if x is None else [future[i : i + 1]]))
-        z[n + i] = float((row @ beta)[0])
-    return z[n:]
-
-
 def forecasts(series: DataFrame, periods: DataFrame, horizon: int = 4, most: tuple[int, int, int, int] = MOST, least: tuple[int, int, int, int] = LEAST, criterion: str = "aicc") -> DataFrame:
     """Forecasts of each series on its own, behind its last place; ``periods`` (property, param1, param2, period) are those of ``orders``. ``dated`` gives their days, ``appended`` the longer series."""
 
