@@ -200,6 +200,29 @@ def test_granger(spark):
     assert granger(frame(spark, a=[1] * 30, b=range(30))).count() == 0
 
 
+def test_causality_by_factors_equals_two_regressions():
+    """Residual sums of the regressions with and without the other's lags, each solved as a whole."""
+    from math import log
+
+    from tidelog.functions.distributions import chi2_tail, f_tail
+
+    rng = np.random.default_rng(8)
+    for lag in (1, 3, 7):
+        x = rng.normal(size=60).cumsum()
+        y = 0.5 * np.roll(x, 1) + rng.normal(size=60)
+        rows = np.arange(lag, 60)
+        own = np.column_stack([y[rows - k] for k in range(1, lag + 1)] + [np.ones(len(rows))])
+        both = np.column_stack([own] + [x[rows - k] for k in range(1, lag + 1)])
+        small, large = (float(((y[rows] - d @ np.linalg.lstsq(d, y[rows], rcond=None)[0]) ** 2).sum()) for d in (own, both))
+        free, gain = len(rows) - both.shape[1], (small - large) / large
+        want = f_tail(gain / lag * free, lag, free), chi2_tail(len(rows) * gain, lag), chi2_tail(len(rows) * log(small / large), lag)
+        assert p_values(y, x, lag) == pytest.approx(want, rel=1e-6, abs=1e-12)
+    with pytest.raises(ValueError):
+        p_values(y, 2 * y, 3)
+    with pytest.raises(ValueError):
+        p_values(y, np.ones(60), 2)
+
+
 def test_forecasts(spark):
     assert fit_and_predict(np.arange(30.0), 3) == pytest.approx([30, 31, 32], abs=0.5)
     assert fit_and_predict(np.full(20, 7.0), 2) == pytest.approx([7, 7])

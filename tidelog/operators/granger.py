@@ -11,26 +11,54 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_tail, f_tail
 from .series import TSID
-from .stationarity import lagged, least_squares
+from .stationarity import lagged
+
+
+class Own:
+    """A caused series regressed on its own lags, factored once for all series that may cause it."""
+
+    def __init__(self, y: np.ndarray, lag: int):
+        self.lag, self.n = lag, len(y) - lag
+        design = np.hstack([lagged(y, lag), np.ones((self.n, 1))])
+        self.q, r = np.linalg.qr(design)
+        self.whole = _full_rank(r, design)
+        y = y[lag:]
+        self.left = y - self.q @ (self.q.T @ y)
+        self.small = float(self.left @ self.left)
+
+    def p_values(self, causing: np.ndarray) -> tuple[float, float, float]:
+        """By the F test, the chi-squared test and the likelihood ratio: of the lags of ``causing`` only what the own lags don't span is added to the regression."""
+        free = self.n - 2 * self.lag - 1
+        other = lagged(causing, self.lag)
+        rest = other - self.q @ (self.q.T @ other)
+        rest -= self.q @ (self.q.T @ rest)
+        if free <= 0 or not self.whole:
+            raise ValueError("too few values or a constant series")
+        q, r = np.linalg.qr(rest)
+        if not _full_rank(r, other):
+            raise ValueError("too few values or a constant series")
+        left = self.left - q @ (q.T @ self.left)
+        large = float(left @ left)
+        if large <= 1e-12 * max(self.small, 1.0):
+            raise ValueError("a perfect fit")
+        gain = max(self.small - large, 0.0) / large
+        return f_tail(gain / self.lag * free, self.lag, free), chi2_tail(self.n * gain, self.lag), chi2_tail(self.n * log(max(self.small / large, 1.0)), self.lag)
+
+
+def _full_rank(r: np.ndarray, design: np.ndarray) -> bool:
+    """Whether the columns of ``design`` are independent, given the triangle of their (or their rests') factor."""
+    scale = np.sqrt((design**2).sum(axis=0)).max(initial=0.0)
+    return r.shape[0] >= r.shape[1] and bool(np.abs(np.diagonal(r)).min(initial=np.inf) > max(design.shape) * np.finfo(float).eps * max(scale, 1e-300) * 10)
 
 
 def p_values(caused: np.ndarray, causing: np.ndarray, lag: int) -> tuple[float, float, float]:
-    """That ``causing`` doesn't help to predict ``caused`` with so many lags: by the F test, the chi-squared test and the likelihood ratio."""
-    y, own, other = caused[lag:], lagged(caused, lag), lagged(causing, lag)
-    one = np.ones((len(y), 1))
-    full = np.hstack([own, other, one])
-    free = len(y) - full.shape[1]
-    if free <= 0 or np.linalg.matrix_rank(full) < full.shape[1]:
-        raise ValueError("too few values or a constant series")
-    small, large = least_squares(np.hstack([own, one]), y)[1], least_squares(full, y)[1]
-    if large <= 1e-12 * max(small, 1.0):
-        raise ValueError("a perfect fit")
-    gain = max(small - large, 0.0) / large
-    return f_tail(gain / lag * free, lag, free), chi2_tail(len(y) * gain, lag), chi2_tail(len(y) * log(max(small / large, 1.0)), lag)
-
-
-def _causal_lags(one: dict, other: dict, wanted, level: float) -> list[int]:
-    at = sorted(set(one) & set(other))
+    """That ``causing`` doesn't help to predict ``caused`` with so many lags."""
+    return Own(caused, lag).p_values(causing)
+
+
+def _causal_lags(one: dict, other: dict, wanted, level: float, known: dict) -> list[int]:
+    """``known`` keeps the factors of ``one`` by lag, for the places at which they were made."""
+    at = sorted(one) if one.keys() == other.keys() else sorted(one.keys() & other.keys())
     limit = floor((len(at) - 1) / 3 - 1)
     if wanted is None:
         lags = range(1, limit + 1)
@@ -38,11 +66,16 @@ def _causal_lags(one: dict, other: dict, wanted, level: float) -> list[int]:
         lags = range(1, min(wanted, limit) + 1)
     else:
         lags = [x for x in wanted if 0 < x <= limit]
+    if known.get("at") != at:
+        known.clear()
+        known["at"] = at
     y, x = np.array([one[i] for i in at]), np.array([other[i] for i in at])
     out = []
     for lag in lags:
         try:
-            if all(p < level for p in p_values(y, x, lag)):
+            if lag not in known:
+                known[lag] = Own(y, lag)
+            if all(p < level for p in known[lag].p_values(x)):
                 out.append(int(lag))
         except (ValueError, np.linalg.LinAlgError):
             return []
@@ -80,11 +113,12 @@ def granger(series: DataFrame, lags: int | list[int] | None = None, level: float
         rows = [(dict(i), int(b), dict(zip(map(int, a), v, strict=True)), [int(c) for c in cuts]) for i, b, a, v, cuts in zip(pdf["id"], pdf["block"], pdf["at"], pdf["values"], pdf["cuts"], strict=True)]
         across, out = pdf["p"].iloc[0] != pdf["q"].iloc[0], []
         for i, (caused, one_block, y, ends) in enumerate(rows):
+            known: dict = {}
             for j, (causing, two_block, x, starts) in enumerate(rows):
                 if i == j or (across and one_block == two_block):
                     continue
                 pairs = sorted((a - b, b + 1, a + 1) for a in ends for b in starts if a > b) if by_points else []
-                found = _causal_lags(y, x, sorted({d for d, _, _ in pairs}) if by_points else lags, level)
+                found = _causal_lags(y, x, sorted({d for d, _, _ in pairs}) if by_points else lags, level, known)
                 if found:
                     out.append((caused, causing, found, [{"lag": d, "causing": b, "caused": a} for d, b, a in pairs if d in found]))
         return pd.DataFrame(out, columns=["caused", "causing", "lags", "from_points"])

@@ -162,6 +162,13 @@ def causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("caused", "causing") for x in ("property", "param1", "param2")], F.array_join(F.col("lags").cast("array<string>"), ",").alias("lags"))
 
 
+def causal_pairs_of_all_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Granger causality between the series of all properties with durations, by all lags up to six, in blocks of 16 series."""
+    series = held(analysable(Properties(spark, orders_log(spark, sf_dir), "ME", "mean", "overlaps", False, RESOURCE).collect(list(ORDER_PROPERTIES))))
+    found = granger(differenced(series, orders(series, "ME")), 6, 0.01, block=16)
+    return found.select(*[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("caused", "causing") for x in ("property", "param1", "param2")], F.array_join(F.col("lags").cast("array<string>"), ",").alias("lags"))
+
+
 def forecast_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors on the last four months, of forecasts from the months before; with the causes as exogenous series where there are some."""
     series = held(order_series(spark, sf_dir))
@@ -271,6 +278,7 @@ QUERIES: dict[str, Query] = {
     "change_points": change_point_places,
     "difference_orders": difference_orders,
     "causal_pairs": causal_pairs,
+    "causal_pairs_of_all_properties": causal_pairs_of_all_properties,
     "forecast_accuracy": forecast_accuracy,
     "written_back": written_back,
     "written_back_relations": written_back_relations,
