@@ -225,7 +225,7 @@ class Properties:
         pairs = self.combinations
         wanted = pairs.select(F.explode(F.array(*[F.lit(p) for p in SPARSE if p != "op4"])).alias("property"), F.col("activity").alias("param1"), F.col("otype").alias("param2"))
         wanted = wanted.unionByName(pairs.select(F.lit("op4").alias("property"), F.col("otype").alias("param1"), F.col("activity").alias("param2")))
-        rows = packed.join(F.broadcast(wanted.groupBy("property", "param1").agg(F.collect_set("param2").alias("wanted"))), ["property", "param1"], "left")
+        rows = packed.join(wanted.groupBy("property", "param1").agg(F.collect_set("param2").alias("wanted")), ["property", "param1"], "left")
         rows = rows.withColumn("whole", F.expr("get(filter(all, x -> x.param2 is null), 0).n"))
 
         def full(x: str) -> str:
