@@ -76,6 +76,8 @@ def anchors(by: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(text: bytes) -> tuple[np.ndarray, ...]:
     """(anchor, first, last, gram, key, times) of each run: its windows start at first to last. A run ends at a border of pieces; equal runs of a piece are one row, and one row more for each span that they cover."""
+    if len(text) <= PIECE:
+        return _runs(text)
     out = []
     for low in range(0, len(text) - LENGTH + 1, PIECE):
         made = _runs(text[low : low + PIECE + LENGTH - 1])
@@ -104,6 +106,8 @@ def _runs(text: bytes) -> tuple[np.ndarray, ...]:
 
 def _by_piece(function, text: bytes, rows: list[tuple[int, ...]], n_places: int) -> tuple[np.ndarray, ...]:
     """``function`` on the stretches of ``text`` that the windows of ``rows`` (the last two: first, last) cover, a piece at a time. The first ``n_places`` numbers of its result are places."""
+    if len(text) <= PIECE:
+        return function(text, rows)
     table, out = np.array(rows, np.int64), []
     order = np.argsort(table[:, -2], kind="stable")
     piece = table[order, -2] // PIECE
