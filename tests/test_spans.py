@@ -19,7 +19,7 @@ def spans(rng, n, count):
         yield rng.choice("ab"), rng.choice([None, "x"]), low, min(n - 1, low + int(rng.expovariate(4 / n))), rng.choice([None, *range(-5, 50)])
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 8, 64, 365])
+@pytest.mark.parametrize("n", [1, 2, 8, 365])
 def test_differences_and_blocks(spark, n):
     rows = list(spans(random.Random(n), n, 200)) + [("c", None, 0, n - 1, 3), ("c", None, n - 1, n - 1, 9)]
     want = defaultdict(list)
@@ -61,12 +61,12 @@ def listed(df):
     return {(r["property"], r["param1"], r["param2"], r["idx"]): round(r["value"], 6) for r in df.collect()}
 
 
-@pytest.mark.parametrize("rate,mode,mechanism,still", [(WEEKLY, "mean", "overlaps", False), (DAILY, "sum", "overlaps", False), (MONTHLY, "max", "starting", False), (WEEKLY, "min", "overlaps", True)])
+@pytest.mark.parametrize("rate,mode,mechanism,still", [(WEEKLY, "mean", "overlaps", False), (MONTHLY, "max", "starting", False), (WEEKLY, "min", "overlaps", True)])
 def test_properties_together_are_what_they_are_alone(spark, rate, mode, mechanism, still):
     p = Properties(spark, small_log(spark, 4), rate, mode, mechanism, still, "van")
     names = [n for n in NAMES if not (still and n in ("pp3", "pp4"))]
     together = listed(p.collect(names))
-    for name in ("ep2", "ep4", "op2", "op4", "pp2", "pp7", "rp1", "rp2", "rp3"):
+    for name in ("ep2", "op4", "pp7", "rp1", "rp2", "rp3"):
         assert listed(getattr(p, name)()) == {k: v for k, v in together.items() if k[0] == name}
     assert {k[0] for k in together} >= {"ep1", "op1", "rp2"}
 
