@@ -25,9 +25,9 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A worker forgets its words when they hold so many bytes; they are then encoded anew, so results don't depend on it.
-MOST_KNOWN = 64 << 20
-#: Words that are encoded at a time. A longer word than this (in characters) is cut where no piece can lie across.
-PART, LONG = 50_000, 128
+MOST_KNOWN = 160 << 20
+#: Words that are encoded at a time; a text is split at once up to so many characters. A longer word than this (in characters) is cut where no piece can lie across.
+PART, AT_ONCE, LONG = 50_000, 1 << 20, 128
 
 
 @dataclass
@@ -192,38 +192,48 @@ class Codec:
             self.known[w] = (struct.pack(f"<{len(own)}i", *own), own == other)
             self.held += 200 + 4 * len(w) + 4 * len(own)
 
+    def parts(self, normal: str):
+        """(words, their text) of a normalised text, in one part unless it is very long."""
+        if len(normal) <= AT_ONCE:
+            words = self.word.findall(normal)
+            yield (list(self.pieces(normal)) if self.cuts and len(max(words, key=len, default="")) > LONG else words), normal
+            return
+        words, size = [], 0
+        for w in self.pieces(normal):
+            words.append(w)
+            size += len(w)
+            if size > AT_ONCE:
+                yield words, "".join(words)
+                words, size = [], 0
+        yield words, "".join(words)
+
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """(ids as little-endian 32-bit integers, parity with sentencepiece, round trip) of each text. Words of all texts are encoded together, PART of them at a time."""
-        normal = list(map(self.normalise, texts))
+        """(ids as little-endian 32-bit integers, parity with sentencepiece, round trip) of each text. Words of several texts are encoded together."""
         out = [[[], True, True] for _ in texts]
 
-        def finish(words: list[str], owners: list[int]) -> None:
+        def finish(pending: list[tuple[int, list[str], str]]) -> None:
             if self.held > MOST_KNOWN:
                 self.known.clear()
                 self.held = 0
-            self.learn(list({w for w in words if w not in self.known}))
-            start = 0
-            while start < len(words):
-                stop, text = start, out[owners[start]]
-                while stop < len(words) and owners[stop] == owners[start]:
-                    stop += 1
-                got = [self.known[w] for w in words[start:stop]]
+            new = list({w for _, words, _ in pending for w in words if w not in self.known})
+            for i in range(0, len(new), PART):
+                self.learn(new[i : i + PART])
+            for i, words, text in pending:
+                got = [self.known[w] for w in words]
                 ids = b"".join([x[0] for x in got])
-                text[0].append(ids)
-                text[1] &= all([x[1] for x in got])
-                text[2] &= self.strung(np.frombuffer(ids, "<i4")) == "".join(words[start:stop]).replace(MARKER, " ").encode()
-                start = stop
-
-        words, owners, size = [], [], 0
-        for i, text in enumerate(normal):
-            for w in self.pieces(text):
-                words.append(w)
-                owners.append(i)
-                size += len(w)
-                if len(words) == PART or size > MOST_KNOWN // 8:
-                    finish(words, owners)
-                    words, owners, size = [], [], 0
-        finish(words, owners)
+                out[i][0].append(ids)
+                out[i][1] &= all([x[1] for x in got])
+                out[i][2] &= self.strung(np.frombuffer(ids, "<i4")) == text.replace(MARKER, " ").encode()
+
+        pending, size = [], 0
+        for i, text in enumerate(texts):
+            for words, part in self.parts(self.normalise(text)):
+                pending.append((i, words, part))
+                size += len(part)
+                if size > min(2 * AT_ONCE, MOST_KNOWN // 8):
+                    finish(pending)
+                    pending, size = [], 0
+        finish(pending)
         return [(b"".join(ids), parity, trip) for ids, parity, trip in out]
 
 
