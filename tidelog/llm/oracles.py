@@ -106,10 +106,14 @@ WITH RECURSIVE t AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
          string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE base) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
   FROM found GROUP BY doc_id
+), joined AS (
+  SELECT s.doc_id, string_agg(s.span || '>' || o.span, ',' ORDER BY s.start, s.rank, o.start, o.rank) AS linked
+  FROM found s JOIN found o ON o.doc_id = s.doc_id AND abs(o.start - s.start) <= {scope}
+  WHERE s.kind IN ('assign', 'hex', 'weak_secret') AND o.kind IN ('access', 'weak_id', 'endpoint') GROUP BY s.doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(linked, '') AS linked
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN joined j ON d.doc_id = j.doc_id
 """
 
 
@@ -209,7 +213,9 @@ WITH RECURSIVE crc AS (
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM kept
 ), faults AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS open_end,
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open_end,
          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS neighbours
   FROM numbered
 ), judged AS (

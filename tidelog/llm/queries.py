@@ -54,7 +54,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(documents(spark, sf_dir)).drop("found")
+    return secret_scan(documents(spark, sf_dir)).drop("found", "links")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
