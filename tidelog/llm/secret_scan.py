@@ -28,6 +28,8 @@ mixed characters in a URL has the shape too, and its own URL is an endpoint near
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,23 @@ LEAST_VALUE = {"assign": 6}
 MARK, INNER, OTHER = "\ue000", "\ue001", "\ue002"
 
 
+#: The last letters of all names that a value may follow, and what stands between; a text without a place like this has no named value.
+_NAMED = f"""[dehlnrtyDEHLNRTY]{_IS[: _IS.index("[:=]") + 4]}"""
+
+
+def _may(kind: str) -> Column:
+    """Of the column text: it has what each match of the kind has in it, found by a cheap pass."""
+    text = F.col("text")
+    named = (text.contains(":") | text.contains("=")) & text.rlike(_NAMED)
+    first = {"access": text.contains("AKIA"), "hex": text.rlike("[0-9a-f]{24}"), "endpoint": text.contains("://") | named, "weak_secret": named | text.rlike("[A-Za-z0-9+/=]{24}")}
+    return first.get(kind, named)
+
+
+def _has(*kinds: str) -> Column:
+    """Of the column text: it has a match of one of the kinds."""
+    return reduce(Column.__or__, [_may(k) & F.col("text").rlike(PATTERNS[k]) for k in kinds])
+
+
 def _found(kind: str) -> Column:
     """Of the column text: the pieces around the matches of a kind, as (kind, piece, n, value): value is the length of the match's value, -1 for what lies between matches."""
     marked = F.regexp_replace("text", F.lit(PATTERNS[kind]), F.lit(f"{MARK}$1{INNER}$2{MARK}"))
@@ -83,7 +102,8 @@ def _found(kind: str) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", text_of().alias("text"))
-    return text.select("doc_id", text_hash().alias("text_hash"), F.translate("text", MARK + INNER, OTHER + OTHER).alias("text"))
+    marked = F.col("text").contains(MARK) | F.col("text").contains(INNER)
+    return text.select("doc_id", text_hash().alias("text_hash"), F.when(marked, F.translate("text", MARK + INNER, OTHER + OTHER)).otherwise(F.col("text")).alias("text"))
 
 
 def text_hash(text: str = "text") -> Column:
@@ -93,11 +113,9 @@ def text_hash(text: str = "text") -> Column:
 
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, kind, rank, start, stop, inside) of each part, in code points, stop exclusive; once for rows that repeat doc_id and text. ``inside``: it starts within a strong part. Texts that can have nothing to report are left out."""
-    has = lambda *kinds: F.col("text").rlike("|".join(PATTERNS[k] for k in kinds))
-    # A weak part is reported only near a complementary one: without an identifier or endpoint no weak secret is, and need be looked for.
-    weak = has("access", "weak_id", "endpoint") & has("weak_secret")
-    hits = _keyed(docs).filter(has(*STRONG) | weak)
-    pieces = F.concat(*[F.when(weak if k == "weak_secret" else has(k), _found(k)).otherwise(F.array()) for k in PATTERNS])
+    # A weak part is reported only near a complementary one: in a text without a strong one, both must be there.
+    hits = _keyed(docs).filter(_has(*STRONG) | (_has("weak_id", "endpoint") & _has("weak_secret")))
+    pieces = F.concat(*[F.when(_may(k), _found(k)).otherwise(F.array()) for k in PATTERNS])
     hits = hits.select("doc_id", "text_hash", pieces.alias("pieces")).dropDuplicates(["doc_id", "text_hash"])
     rows = hits.select("doc_id", "text_hash", F.inline("pieces"))
     along = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("piece")
