@@ -68,6 +68,23 @@ def test_segmentation_is_optimal(model):
         assert total == pytest.approx(best_cost(values, model, 1.5, 3)) and min(np.diff(cuts)) >= 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 150])
+def test_distances_from_medians(n):
+    """Each segment's cost under l1 against the sum of distances from its median, with ties and far from zero."""
+    rng = np.random.default_rng(n)
+    for values in (rng.normal(size=n) * 100 + 1e4, rng.integers(0, 3, n).astype(float), np.ones(n)):
+        cost = segment_costs(values, "l1")
+        for stop in range(1, n + 1):
+            want = [np.abs(values[s:stop] - np.median(values[s:stop])).sum() for s in range(stop)]
+            assert cost(np.arange(stop), stop) == pytest.approx(want, abs=1e-7)
+
+
+def test_long_series_under_l1():
+    rng = np.random.default_rng(5)
+    values = np.repeat(np.arange(30) % 2 * 20.0, 100) + rng.normal(size=3000)
+    assert segmentation(values, "l1", penalty=50.0) == list(range(100, 3000, 100))
+
+
 def brute_segments(values, model, penalty, size, jump):
     """The cost of the best segmentation whose segments start at multiples of jump."""
     cost, n = segment_costs(values, model), len(values)
