@@ -4,10 +4,12 @@ import re
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.operators import preceding as preceding_module
 from tidelog.operators.properties import Properties
-from tidelog.sources.log import atomic, orders_log
+from tidelog.sources import log as log_module
+from tidelog.sources.log import atomic, ocel_rows, orders_log, read_ocel_json, write_ocel_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +33,33 @@ def test_together_as_apart(spark, few, monkeypatch):
     names = ["ep3", "op4", "pp1", "pp7"]
     together = listed(Properties(spark, log, "QE", "mean", "starting", False).collect(names))
     assert together and together == listed(Properties(spark, replace(log, together=None), "QE", "mean", "starting", False).collect(names))
+
+
+def test_events_are_written_without_a_shuffle(spark):
+    log = orders_log(spark, SF)
+    rows = lambda x: sorted((r["id"], r["type"], r["time"], sorted(map(tuple, r["attributes"])), sorted(map(tuple, r["relationships"]))) for r in ocel_rows(x)[0].collect())
+    assert "Exchange" not in ocel_rows(log)[0]._jdf.queryExecution().executedPlan().toString()
+    assert rows(log) == rows(replace(log, together=None))
+    assert replace(log, event_attrs=log.event_attrs.filter("value > 1e9")).gathered().filter("attributes is not null").count() == 0
+
+
+def test_links_go_on_in_further_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log_module, "LINKS_OF_LINE", 10)
+    log = orders_log(spark, SF)
+    customers = log.objects.filter("otype = 'customer'").select(F.lit("hub").alias("oid"), F.col("oid").alias("oid_2"), F.lit("all").alias("qualifier"))
+    hub = log.relations.select(F.min("eid").alias("eid"), F.lit("hub").alias("oid"), F.lit("x").alias("otype"), F.lit("").alias("qualifier"))
+    log = replace(log, relations=log.relations.unionByName(hub), objects=log.objects.unionByName(hub.select("oid", "otype")), o2o=log.o2o.unionByName(customers))
+    path = str(tmp_path / "lines")
+    write_ocel_lines(log, path, "gzip")
+    names = [p.name for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-")]
+    assert names and all(n.endswith(".gz") for n in names)
+    of_hub = spark.read.schema(log_module.OCEL_SCHEMA).json(path).select(F.inline("objects")).filter("id = 'hub'")
+    assert of_hub.count() > 1 and of_hub.agg(F.max(F.size("relationships"))).first()[0] < customers.count()
+    again = read_ocel_json(spark, path, lines=True)
+    for table in ("relations", "objects", "object_attrs", "o2o"):
+        one, two = (getattr(x, table).select(*sorted(getattr(x, table).columns)) for x in (log, again))
+        wanted = one.join(log.relations.select("oid").distinct(), "oid", "left_semi") if table == "object_attrs" else one
+        if table == "object_attrs":
+            assert sorted(map(str, wanted.select("name", "oid", "value").collect())) == sorted(map(str, two.select("name", "oid", "value").collect()))
+        else:
+            assert sorted(map(str, wanted.collect())) == sorted(map(str, two.collect()))
