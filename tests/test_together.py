@@ -63,3 +63,27 @@ def test_links_go_on_in_further_lines(spark, tmp_path, monkeypatch):
             assert sorted(map(str, wanted.select("name", "oid", "value").collect())) == sorted(map(str, two.select("name", "oid", "value").collect()))
         else:
             assert sorted(map(str, wanted.collect())) == sorted(map(str, two.collect()))
+
+
+def test_packed_ids_sort_like_ids(spark):
+    ids = ["", "l", "o", "o-1", "o-10", "o-1-", "l--1", "l-+1", "o-9", "o-19", "l-1-2-3-4-19960101", "l-1-2-3-41-19960101", "l-1-2-3-4-19960102"]
+    rows = spark.createDataFrame([(x,) for x in ids], "eid string").withColumn("code", log_module.packed(F.col("eid")))
+    assert [r[0] for r in rows.orderBy("code").select(log_module.unpacked(F.col("code"))).collect()] == sorted(ids)
+    assert rows.filter("octet_length(code) > ceil(length(eid) / 2)").isEmpty()
+    whole = orders_log(spark, SF).whole
+    assert whole.filter(F.col("code").isNull() | (log_module.unpacked(F.col("code")) != F.col("eid"))).isEmpty()
+
+
+@pytest.mark.parametrize("is_atomic", [True, False])
+def test_long_ids_are_not_dealt(spark, is_atomic):
+    log = orders_log(spark, SF)
+    log = atomic(log) if is_atomic else log
+    pairs = preceding_module.preceding(log, is_atomic)
+    assert "unhex(" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(str, df.select("eid", "prev_eid", "prev_end", "types").collect()))
+    assert rows(pairs) == rows(preceding_module.preceding(replace(log, together=None), is_atomic))
+    # Of pp6 nothing of the predecessors but their ends is dealt by event.
+    p = Properties(spark, log, "QE", "mean", "starting", is_atomic).pp6()
+    assert "prev_key" not in p._jdf.queryExecution().optimizedPlan().toString()
+    both = Properties(spark, log, "QE", "mean", "starting", is_atomic).collect(["pp6", "pp7"]).filter("property = 'pp6'")
+    assert listed(p) == listed(both)

@@ -9,10 +9,10 @@ beginning comes from the ranges before it: one row for each range, which is all
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.log import EventLog
+from ..sources.log import EventLog, unpacked
 from ..sources.scratch import stored
 
 #: States of a row of the scan: its predecessor is known, lies in an earlier range if anywhere, or it tells of a range.
@@ -31,36 +31,58 @@ def preceding(log: EventLog, is_atomic: bool = True) -> DataFrame:
     Atomic events are ordered by (ts, eid). Otherwise a predecessor ends when the event starts at the latest, and of
     several the one with the largest (end, start, eid) counts.
     """
-    found = _found(log, is_atomic).filter("prev_key is not null").select(F.col("key").alias("eid"), "otype", F.col("prev_key").alias("prev_eid"), "prev_end")
-    found = found.repartition("eid")  # so that what follows by event needs no other shuffle
-    pairs = found.groupBy("eid", "prev_eid", "prev_end").agg(F.sort_array(F.collect_set("otype")).alias("types"))
+    found, short = _found(log, is_atomic)
+    found = found.filter("prev_key is not null").select(F.col("key").alias("eid"), "otype", F.col("prev_key").alias("prev_eid"), "prev_end")
+    pair, types = ("eid", "prev_eid", "prev_end"), _few_types(log)
+    if types is None:
+        pairs = found.repartition("eid").groupBy(*pair).agg(F.sort_array(F.collect_set("otype")).alias("types"))
+    else:
+        found = found.withColumn("kind", _bit(types)).drop("otype").repartition("eid")  # so that what follows by event needs no other shuffle
+        pairs = found.groupBy(*pair).agg(F.bit_or("kind").alias("kinds"))
+        each = F.array(*[F.when(F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(types)]).cast("array<string>")
+        pairs = pairs.select(*pair, F.array_compact(each).alias("types"))
+    if short:
+        pairs = pairs.withColumn("eid", unpacked(F.col("eid"))).withColumn("prev_eid", unpacked(F.col("prev_eid")))
     return pairs.withColumn("prev_end", F.timestamp_micros("prev_end"))
 
 
-def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool) -> DataFrame:
+def _few_types(log: EventLog) -> list[str] | None:
+    """The object types that events are linked to, if they are few."""
+    types = [r[0] for r in log.relations.select("otype").filter("otype is not null").distinct().limit(FEW_TYPES + 1).collect()]
+    return sorted(types) if len(types) <= FEW_TYPES else None
+
+
+def _bit(types: list[str]) -> Column:
+    """The type of a link as a number, of which sets are sums."""
+    return F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(types) for x in (t, 1 << i)]) if types else F.create_map().cast("map<string,int>"), F.col("otype"))
+
+
+def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool, others: bool = True) -> DataFrame:
     """(activity, start, stop, latest, earliest) of all events, times in microseconds: the latest and the earliest of the ends of the events that precede one, null without any.
 
     With ``by_types`` also links (otype, hi, lo, other): for each type that predecessors are linked through the latest and
-    the earliest of their ends, and the earliest end of those that aren't linked through it. The list is as long as there
-    are types, however many predecessors there are.
+    the earliest of their ends, and the earliest end of those that aren't linked through it, which is null without
+    ``others``. The list is as long as there are types, however many predecessors there are.
     """
-    found, own = _found(log, is_atomic, "activity"), ("key", "activity", "ts") if is_atomic else ("key", "activity", "ts", "end")
-    found = found.select(*own, "otype", "prev_key", "prev_end") if by_types else found.select(*own, "prev_end")
+    found, own = _found(log, is_atomic, "activity")[0], ("key", "activity", "ts") if is_atomic else ("key", "activity", "ts", "end")
+    types = _few_types(log) if by_types else None
+    others = others or types is None
+    found = found.select(*own, *(["otype"] if by_types else []), *(["prev_key"] if by_types and others else []), "prev_end")
     ends = lambda hi, lo: [F.max(hi).alias("latest"), F.min(lo).alias("earliest")]
     if by_types:
-        found = found.repartition("key")  # the one shuffle by event
-        types = sorted(r[0] for r in log.relations.select("otype").distinct().limit(FEW_TYPES + 1).collect())
-        if len(types) <= FEW_TYPES:
+        if types is not None:
             # Sets of types are numbers, and each type has columns of its own.
-            bit = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(types) for x in (t, 1 << i)]) if types else F.create_map().cast("map<string,int>"), F.col("otype"))
-            each = found.groupBy(*own, "prev_key", "prev_end").agg(F.bit_or(bit).alias("kinds"))
+            each = found.withColumn("kinds", _bit(types)).drop("otype").repartition("key")  # the one shuffle by event
+            if others:
+                each = each.groupBy(*own, "prev_key", "prev_end").agg(F.bit_or("kinds").alias("kinds"))
             has = lambda i: F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0
-            of_types = [x for i in range(len(types)) for x in (F.max(F.when(has(i), F.col("prev_end"))).alias(f"hi{i}"), F.min(F.when(has(i), F.col("prev_end"))).alias(f"lo{i}"), F.min(F.when(~has(i), F.col("prev_end"))).alias(f"other{i}"))]
+            other = lambda i: F.min(F.when(~has(i), F.col("prev_end"))) if others else F.lit(None).cast("bigint")
+            of_types = [x for i in range(len(types)) for x in (F.max(F.when(has(i), F.col("prev_end"))).alias(f"hi{i}"), F.min(F.when(has(i), F.col("prev_end"))).alias(f"lo{i}"), other(i).alias(f"other{i}"))]
             rows = each.groupBy(*own).agg(*ends("prev_end", "prev_end"), *of_types)
             links = F.array(*[F.struct(F.lit(t).alias("otype"), F.col(f"hi{i}").alias("hi"), F.col(f"lo{i}").alias("lo"), F.col(f"other{i}").alias("other")) for i, t in enumerate(types)])
             rows = rows.withColumn("links", F.filter(links, lambda x: x["hi"].isNotNull()) if types else F.lit(None).cast("array<struct<otype:string,hi:bigint,lo:bigint,other:bigint>>"))
         else:
-            each = found.groupBy(*own, "prev_key", "prev_end").agg(F.sort_array(F.collect_set("otype")).alias("types"))
+            each = found.repartition("key").groupBy(*own, "prev_key", "prev_end").agg(F.sort_array(F.collect_set("otype")).alias("types"))
             sets = each.filter("prev_end is not null").groupBy(*own, "types").agg(F.max("prev_end").alias("hi"), F.min("prev_end").alias("lo"))
             sets = sets.unionByName(each.filter("prev_end is null"), allowMissingColumns=True)
             rows = sets.groupBy(*own).agg(*ends("hi", "lo"), F.collect_list(F.when(F.col("hi").isNotNull(), F.struct("types", "hi", "lo"))).alias("sets"))
@@ -69,7 +91,8 @@ def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool) -> DataFram
             rows = rows.withColumn("links", F.expr(f"transform(array_distinct(flatten(sets.types)), y -> struct(y as otype, array_max({linked}.hi) as hi, array_min({linked}.lo) as lo, {other} as other))"))
         rows = rows.select(*own, "latest", "earliest", "links")
     else:
-        rows = found.groupBy(*own).agg(*ends("prev_end", "prev_end"))
+        # Links of an event hardly ever lie together before they are dealt by event.
+        rows = found.repartition("key").groupBy(*own).agg(*ends("prev_end", "prev_end"))
     alone = log.whole.filter(F.size("objects") == 0) if log.whole is not None else log.events.join(log.relations.select("eid"), "eid", "left_anti")
     alone = alone.select("activity", F.unix_micros("ts").alias("ts"), F.unix_micros("ts" if is_atomic else "end_ts").alias("end"))
     rows = rows.withColumn("end", F.col("ts")) if is_atomic else rows
@@ -77,13 +100,14 @@ def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool) -> DataFram
     return rows.withColumnsRenamed({"ts": "start", "end": "stop"})
 
 
-def _links(log: EventLog, is_atomic: bool, numbered: bool, *columns: str) -> DataFrame:
-    """(key, eid, columns of the event, ts, end, oid, otype) of events and their objects. The key names an event: its id, or a number, which is shorter, where a source has events with their objects."""
+def _links(log: EventLog, is_atomic: bool, short: bool, *columns: str) -> DataFrame:
+    """(key, eid, columns of the event, ts, end, oid, otype) of events and their objects. The key names an event: its id, or a number, which is shorter, where a source has events with their objects. There ``short`` puts a code that sorts like it in place of the event id."""
     times = [F.unix_micros("ts").alias("ts"), F.unix_micros("ts" if is_atomic else "end_ts").alias("end")]
     if log.whole is None:
         return log.links(*columns, "ts", "end_ts").select(F.col("eid").alias("key"), "eid", *columns, *times, "oid", "otype")
-    key = F.monotonically_increasing_id() if numbered else F.col("eid")
-    return log.whole.select(key.alias("key"), "eid", *columns, *times, "objects").select("key", "eid", *columns, "ts", "end", F.inline("objects"))
+    eid = F.col("code" if short else "eid")
+    key = F.monotonically_increasing_id() if short and columns else eid
+    return log.whole.select(key.alias("key"), eid.alias("eid"), *columns, *times, "objects").select("key", "eid", *columns, "ts", "end", F.inline("objects"))
 
 
 def _marks(links: DataFrame, is_atomic: bool) -> DataFrame:
@@ -109,17 +133,18 @@ def _heavy(log: EventLog) -> tuple[list[str], int]:
     return heavy, max(tasks, int(total / SHARE / LINKS_OF_TASK))
 
 
-def _found(log: EventLog, is_atomic: bool, *columns: str) -> DataFrame:
-    """(key, columns of the event, ts, end, otype, prev_key, prev_end) of each event and object of it, the predecessor null if there is none."""
+def _found(log: EventLog, is_atomic: bool, *columns: str) -> tuple[DataFrame, bool]:
+    """(key, columns of the event, ts, end, otype, prev_key, prev_end) of each event and object of it, the predecessor null if there is none; and whether keys are numbers or, without columns, codes of event ids."""
     heavy, tasks = _heavy(log)
     # Numbers of events hold within one reading of the source, so they don't serve where two parts of it meet.
-    links = _links(log, is_atomic, bool(columns) and not heavy, *columns)
+    short = log.whole is not None and not heavy
+    links = _links(log, is_atomic, short, *columns)
     rows = _along(links.filter(~F.col("oid").isin(heavy)) if heavy else links, is_atomic, tasks, *columns)
     if heavy:
         hot = links.filter(F.col("oid").isin(heavy))
         own = hot.select("key", *columns, "ts", "end").distinct()
         rows = rows.unionByName(own.join(_in_ranges(hot, is_atomic), "key", "left"))
-    return rows
+    return rows, short
 
 
 def _along(links: DataFrame, is_atomic: bool, tasks: int, *columns: str) -> DataFrame:

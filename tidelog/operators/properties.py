@@ -133,7 +133,7 @@ class Properties:
         if after and len(after) < len(properties):
             return self._events([p for p in properties if p not in after]).unionByName(self._events(after))
         if after:
-            rows = events_with_ends(self.log, self.is_atomic, bool({"pp6", "pp7"} & set(properties)))
+            rows = events_with_ends(self.log, self.is_atomic, bool({"pp6", "pp7"} & set(properties)), "pp7" in properties)
             rows = rows.withColumn("start", F.timestamp_micros("start")).withColumn("stop", F.timestamp_micros("stop"))
         else:
             rows = self.log.with_types() if {"ep3", "ep4", "op6"} & set(properties) else self.log.events
