@@ -41,11 +41,17 @@ def related(p: Properties, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_objects = F.col("property").startswith("op") | F.col("property").isin("rp2", "rp3")
     events = p.counted_events.withColumnRenamed("activity", "param1")
     by_event = events.join(ids.filter(~of_objects), "param1").select("series", "eid")
-    overlapping = replace(p, mechanism="overlaps").counted_objects
-    objects = p.counted_objects.withColumn("wide", F.lit(False)).unionByName(overlapping.withColumn("wide", F.lit(True)))
     types = F.when(F.col("property") == "op6", F.array_distinct(F.array("param1", "param2"))).otherwise(F.array("param1"))
-    wanted = ids.filter(of_objects).select("series", F.explode(types).alias("otype"), F.col("property").isin("op6", "rp2").alias("wide"))
-    return by_event, objects.join(wanted, ["otype", "wide"]).select("series", "oid").distinct()
+    wanted = ids.filter(of_objects).select("series", F.explode(types).alias("otype"), F.col("property").isin("op6", "rp2").alias("wide"), (F.size(types) > 1).alias("several"))
+    if p.mechanism == "overlaps":
+        found = p.counted_objects.join(held(wanted), "otype")
+    else:
+        overlapping = replace(p, mechanism="overlaps").counted_objects
+        objects = p.counted_objects.withColumn("wide", F.lit(False)).unionByName(overlapping.withColumn("wide", F.lit(True)))
+        found = objects.join(held(wanted), ["otype", "wide"])
+    # An object has one row for each of its types, so only a series of several types could have it twice.
+    twice = found.filter("several").select("series", "oid").distinct()
+    return by_event, found.filter("not several").select("series", "oid").unionByName(twice)
 
 
 def with_series(spark: SparkSession, p: Properties, series: DataFrame) -> EventLog:
