@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import preceding as preceding_module
 from tidelog.operators.properties import Properties
+from tidelog.operators.sweep import dyadic
+from tidelog.operators.writeback import related
 from tidelog.sources import log as log_module
 from tidelog.sources.log import atomic, ocel_rows, orders_log, read_ocel_json, write_ocel_lines
 
@@ -87,3 +89,26 @@ def test_long_ids_are_not_dealt(spark, is_atomic):
     assert "prev_key" not in p._jdf.queryExecution().optimizedPlan().toString()
     both = Properties(spark, log, "QE", "mean", "starting", is_atomic).collect(["pp6", "pp7"]).filter("property = 'pp6'")
     assert listed(p) == listed(both)
+
+
+def test_latest_values_and_equal_spans(spark):
+    log = atomic(orders_log(spark, SF))
+    plan = Properties(spark, log, "D", "max").collect(["op2"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(struct(" not in plan and "max(named_struct(" not in plan  # one order of an object's values instead
+    spans = spark.range(40).select(F.lit("a").alias("param1"), F.lit(None).cast("string").alias("param2"), (F.col("id") % 2).cast("int").alias("low"), F.lit(9).alias("high"), F.col("id").cast("double").alias("v"))
+    found = dyadic(spans, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" in plan[plan.rindex("Generate inline(") :]  # equal spans are one before they are cut
+    got = {r["idx"]: (r["n"], r["total"], r["least"], r["most"]) for r in found.collect()}
+    assert got == {i: (20, 380.0, 0.0, 38.0) if i == 0 else (40, 780.0, 0.0, 39.0) for i in range(10)}
+
+
+def test_objects_of_a_series_of_one_type_need_no_distinct(spark):
+    p = Properties(spark, atomic(orders_log(spark, SF)), "ME", "sum")
+    series = p.op1()
+    plan = related(p, series)[1]._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Aggregate [series#") <= 1
+    rows = related(p, p.collect(["op1", "op6"]))[1]
+    assert rows.count() == rows.distinct().count() > p.counted_objects.count()
+    narrow = replace(p, mechanism="ending")
+    assert related(narrow, series)[1].count() == narrow.counted_objects.count()

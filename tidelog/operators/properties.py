@@ -190,9 +190,10 @@ class Properties:
         out = [F.lit("op2").alias("property"), F.col("otype").alias("param1"), F.col("name").alias("param2"), F.col("latest.value").alias("v")]
         if self.mechanism == "overlaps":
             places = self.log.object_attrs.withColumn("since", F.greatest(interval(F.col("ts"), self.grid), F.lit(-1))).filter(F.col("since") < len(self.grid.rights))
-            last = places.groupBy("oid", "name", "since").agg(F.max(F.struct("ts", "changed", "value")).alias("latest"))
-            following = F.lead("since").over(Window.partitionBy("oid", "name").orderBy("since"))
-            spans = last.withColumn("until", F.coalesce(following, F.lit(len(self.grid.rights))) - 1)
+            # Dealt by object once, for the order of its values and the join with its lifecycle.
+            following = F.lead("since").over(Window.partitionBy("oid", "name").orderBy("since", "ts", "changed", "value"))
+            spans = places.repartition("oid").withColumn("until", F.coalesce(following, F.lit(len(self.grid.rights))) - 1)
+            spans = spans.filter("oid is not null and since <= until").withColumn("latest", F.struct("value"))
             rows = touched(self.lifecycles, self.grid).join(spans, "oid")
             rows = rows.withColumn("low", F.greatest("low", "since")).withColumn("high", F.least("high", "until")).filter("low <= high")
             return rows.select(*out, "low", "high")

@@ -40,8 +40,10 @@ def blocks(low: Column, high: Column, n: int) -> Column:
 
 def dyadic(spans: DataFrame, n: int) -> DataFrame:
     """``spans`` (param1, param2, low, high, v) to (param1, param2, idx, n, total, least, most) of each of ``n`` intervals with a span."""
-    cut = spans.filter("v is not null").select(*KEYS, "v", F.inline(blocks(F.col("low"), F.col("high"), n)))
-    of_blocks = cut.groupBy(*KEYS, "level", "block").agg(*[f("v").alias(c) for c, (f, _) in STATS.items()])
+    # Spans of the same intervals are one before they are cut, so that what is cut is bounded by types and grid.
+    same = spans.filter("v is not null").groupBy(*KEYS, "low", "high").agg(*[f("v").alias(c) for c, (f, _) in STATS.items()])
+    cut = same.select(*KEYS, *STATS, F.inline(blocks(F.col("low"), F.col("high"), n)))
+    of_blocks = cut.groupBy(*KEYS, "level", "block").agg(*[f(c).alias(c) for c, (_, f) in STATS.items()])
     first = F.expr("shiftleft(block, level)")
     last = F.least(F.expr("shiftleft(block + 1, level)") - 1, F.lit(n - 1))
     each = of_blocks.withColumn("idx", F.explode(F.sequence(first, last)))
