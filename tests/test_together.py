@@ -112,3 +112,18 @@ def test_objects_of_a_series_of_one_type_need_no_distinct(spark):
     assert rows.count() == rows.distinct().count() > p.counted_objects.count()
     narrow = replace(p, mechanism="ending")
     assert related(narrow, series)[1].count() == narrow.counted_objects.count()
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_activities_told_by_numbers(spark, few, monkeypatch):
+    monkeypatch.setattr(preceding_module, "FEW_ACTIVITIES", few)
+    log = orders_log(spark, SF)
+    rows = lambda x: sorted((r["activity"], r["start"], r["stop"], r["latest"] or 0, r["earliest"] or 0, str(r["links"])) for r in preceding_module.events_with_ends(x, False, True).collect())
+    found = preceding_module.events_with_ends(log, False, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("element_at([place order,ship item]" in found) == (few == 64)
+    apart = rows(replace(log, together=None))
+    assert rows(log) == apart
+    if few == 64:
+        heavy = [r["oid"] for r in log.lifecycles().orderBy(F.desc("n_events")).limit(3).collect()]
+        monkeypatch.setattr(preceding_module, "_heavy", lambda log: (heavy, 4))
+        assert rows(log) == apart

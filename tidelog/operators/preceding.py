@@ -23,6 +23,8 @@ _ORDER = ("h", "oid", "at", "late", "ts", "eid", "kind")
 SHARE, LINKS_OF_TASK = 0.01, 1_500_000
 #: Up to so many object types have columns of their own.
 FEW_TYPES = 16
+#: Up to so many activities are told by the last bits of an event's number; there are fewer than 2^24 tasks.
+FEW_ACTIVITIES = 64
 
 
 def preceding(log: EventLog, is_atomic: bool = True) -> DataFrame:
@@ -31,16 +33,16 @@ def preceding(log: EventLog, is_atomic: bool = True) -> DataFrame:
     Atomic events are ordered by (ts, eid). Otherwise a predecessor ends when the event starts at the latest, and of
     several the one with the largest (end, start, eid) counts.
     """
-    found, short = _found(log, is_atomic)
+    pair, types = ("eid", "prev_eid"), _few_types(log)
+    found, short = _found(log, is_atomic, types)
     found = found.filter("prev_key is not null").select(F.col("key").alias("eid"), "otype", F.col("prev_key").alias("prev_eid"), "prev_end")
-    pair, types = ("eid", "prev_eid", "prev_end"), _few_types(log)
+    found, end = found.repartition("eid"), F.max("prev_end").alias("prev_end")  # so that what follows by event needs no other shuffle
     if types is None:
-        pairs = found.repartition("eid").groupBy(*pair).agg(F.sort_array(F.collect_set("otype")).alias("types"))
+        pairs = found.groupBy(*pair).agg(end, F.sort_array(F.collect_set("otype")).alias("types"))
     else:
-        found = found.withColumn("kind", _bit(types)).drop("otype").repartition("eid")  # so that what follows by event needs no other shuffle
-        pairs = found.groupBy(*pair).agg(F.bit_or("kind").alias("kinds"))
+        pairs = found.groupBy(*pair).agg(end, F.bit_or("otype").alias("kinds"))
         each = F.array(*[F.when(F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(types)]).cast("array<string>")
-        pairs = pairs.select(*pair, F.array_compact(each).alias("types"))
+        pairs = pairs.select(*pair, "prev_end", F.array_compact(each).alias("types"))
     if short:
         pairs = pairs.withColumn("eid", unpacked(F.col("eid"))).withColumn("prev_eid", unpacked(F.col("prev_eid")))
     return pairs.withColumn("prev_end", F.timestamp_micros("prev_end"))
@@ -64,15 +66,19 @@ def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool, others: boo
     the earliest of their ends, and the earliest end of those that aren't linked through it, which is null without
     ``others``. The list is as long as there are types, however many predecessors there are.
     """
-    found, own = _found(log, is_atomic, "activity")[0], ("key", "activity", "ts") if is_atomic else ("key", "activity", "ts", "end")
     types = _few_types(log) if by_types else None
     others = others or types is None
+    names = [] if log.whole is None else [r[0] for r in log.events.select("activity").distinct().limit(FEW_ACTIVITIES + 1).collect()]
+    names = sorted(names) if len(names) <= FEW_ACTIVITIES and None not in names else []
+    found, short = _found(log, is_atomic, types, "activity", names=names)
+    names = names if short else []
+    own = ("key", *([] if names else ["activity"]), "ts", *([] if is_atomic else ["end"]))
     found = found.select(*own, *(["otype"] if by_types else []), *(["prev_key"] if by_types and others else []), "prev_end")
     ends = lambda hi, lo: [F.max(hi).alias("latest"), F.min(lo).alias("earliest")]
     if by_types:
         if types is not None:
             # Sets of types are numbers, and each type has columns of its own.
-            each = found.withColumn("kinds", _bit(types)).drop("otype").repartition("key")  # the one shuffle by event
+            each = found.withColumnRenamed("otype", "kinds").repartition("key")  # the one shuffle by event
             if others:
                 each = each.groupBy(*own, "prev_key", "prev_end").agg(F.bit_or("kinds").alias("kinds"))
             has = lambda i: F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0
@@ -93,6 +99,8 @@ def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool, others: boo
     else:
         # Links of an event hardly ever lie together before they are dealt by event.
         rows = found.repartition("key").groupBy(*own).agg(*ends("prev_end", "prev_end"))
+    if names:
+        rows = rows.withColumn("activity", F.element_at(F.array(*[F.lit(a) for a in names]), (F.col("key") % FEW_ACTIVITIES + 1).cast("int")))
     alone = log.whole.filter(F.size("objects") == 0) if log.whole is not None else log.events.join(log.relations.select("eid"), "eid", "left_anti")
     alone = alone.select("activity", F.unix_micros("ts").alias("ts"), F.unix_micros("ts" if is_atomic else "end_ts").alias("end"))
     rows = rows.withColumn("end", F.col("ts")) if is_atomic else rows
@@ -100,13 +108,16 @@ def events_with_ends(log: EventLog, is_atomic: bool, by_types: bool, others: boo
     return rows.withColumnsRenamed({"ts": "start", "end": "stop"})
 
 
-def _links(log: EventLog, is_atomic: bool, short: bool, *columns: str) -> DataFrame:
-    """(key, eid, columns of the event, ts, end, oid, otype) of events and their objects. The key names an event: its id, or a number, which is shorter, where a source has events with their objects. There ``short`` puts a code that sorts like it in place of the event id."""
+def _links(log: EventLog, is_atomic: bool, short: bool, *columns: str, names: list[str]) -> DataFrame:
+    """(key, eid, columns of the event, ts, end, oid, otype) of events and their objects. The key names an event: its id, or a number, which is shorter, where a source has events with their objects. There ``short`` puts a code that sorts like it in place of the event id, and with the names of activities the number tells the activity, which isn't a column then."""
     times = [F.unix_micros("ts").alias("ts"), F.unix_micros("ts" if is_atomic else "end_ts").alias("end")]
     if log.whole is None:
         return log.links(*columns, "ts", "end_ts").select(F.col("eid").alias("key"), "eid", *columns, *times, "oid", "otype")
     eid = F.col("code" if short else "eid")
     key = F.monotonically_increasing_id() if short and columns else eid
+    if names:
+        key = key * FEW_ACTIVITIES + F.array_position(F.array(*[F.lit(a) for a in names]), F.col("activity")) - 1
+        columns = tuple(c for c in columns if c != "activity")
     return log.whole.select(key.alias("key"), eid.alias("eid"), *columns, *times, "objects").select("key", "eid", *columns, "ts", "end", F.inline("objects"))
 
 
@@ -133,27 +144,30 @@ def _heavy(log: EventLog) -> tuple[list[str], int]:
     return heavy, max(tasks, int(total / SHARE / LINKS_OF_TASK))
 
 
-def _found(log: EventLog, is_atomic: bool, *columns: str) -> tuple[DataFrame, bool]:
-    """(key, columns of the event, ts, end, otype, prev_key, prev_end) of each event and object of it, the predecessor null if there is none; and whether keys are numbers or, without columns, codes of event ids."""
+def _found(log: EventLog, is_atomic: bool, types: list[str] | None, *columns: str, names: list[str] = ()) -> tuple[DataFrame, bool]:
+    """(key, columns of the event, ts, end, otype, prev_key, prev_end) of each event and object of it, the predecessor null if there is none; and whether keys are numbers or, without columns, codes of event ids. With ``types``, otype is their ``_bit``; with ``names``, numbers tell the activity, which isn't a column then."""
     heavy, tasks = _heavy(log)
     # Numbers of events hold within one reading of the source, so they don't serve where two parts of it meet.
     short = log.whole is not None and not heavy
-    links = _links(log, is_atomic, short, *columns)
-    rows = _along(links.filter(~F.col("oid").isin(heavy)) if heavy else links, is_atomic, tasks, *columns)
+    names = names if short else []
+    links = _links(log, is_atomic, short, *columns, names=names)
+    numbered = (lambda rows: rows) if types is None else lambda rows: rows.withColumn("otype", _bit(types))
+    carried = tuple(c for c in columns if not (names and c == "activity"))
+    rows = _along(numbered(links.filter(~F.col("oid").isin(heavy)) if heavy else links), is_atomic, tasks, bool(columns), *carried)
     if heavy:
         hot = links.filter(F.col("oid").isin(heavy))
         own = hot.select("key", *columns, "ts", "end").distinct()
-        rows = rows.unionByName(own.join(_in_ranges(hot, is_atomic), "key", "left"))
+        rows = rows.unionByName(numbered(own.join(_in_ranges(hot, is_atomic), "key", "left")))
     return rows, short
 
 
-def _along(links: DataFrame, is_atomic: bool, tasks: int, *columns: str) -> DataFrame:
-    """What precedes each event through each object, by a window for each object."""
-    needed = links if columns else links.drop("key")
+def _along(links: DataFrame, is_atomic: bool, tasks: int, keyed: bool, *columns: str) -> DataFrame:
+    """What precedes each event through each object, by a window for each object. Links that aren't ``keyed`` have the event id as key."""
+    needed = links if keyed else links.drop("key")
     dealt = needed.drop("end") if is_atomic else needed
     dealt = dealt.repartition("oid") if tasks == _tasks(dealt.sparkSession) else dealt.repartition(tasks, "oid")
     dealt = dealt.withColumn("end", F.col("ts")) if is_atomic else dealt
-    dealt = dealt if columns else dealt.withColumn("key", F.col("eid"))
+    dealt = dealt if keyed else dealt.withColumn("key", F.col("eid"))
     marks = _marks(dealt, is_atomic)
     before = Window.partitionBy("h", "oid").orderBy(*_ORDER[2:])
     if is_atomic:
