@@ -109,3 +109,48 @@ def test_bitmap_has_every_pair(spark):
     rows = [(i * 7, 10**9 + i) for i in range(300)]
     bits = bitmap(spark.createDataFrame(rows, "left bigint, right bigint"))
     assert len(bits) == BITS and bits.sum() <= 300 and all(bits[(a * 48271 + b) % BITS] for a, b in rows)
+
+
+def test_arrays_of_a_task_are_bounded(monkeypatch):
+    """Beyond the numbers of a slice themselves, a task's arrays don't follow the slice."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    n = 2_000_000
+    ids = np.random.default_rng(8).integers(-1, 100, n)
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([module.squeezed(ids)], pa.binary()), "own": pa.array([n - 4])})
+    tracemalloc.start()
+    got = [r.to_pylist()[0] for r in module._tiled(4, 3, 1)([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * ids.nbytes
+    pairs = Counter()
+    for r in got:
+        left, right, f = (unsqueezed(r[c]).tolist() for c in ("left", "right", "n"))
+        pairs.update(dict(zip(zip(left, right, strict=True), f, strict=True)))
+    own = ids[: n - 3]
+    assert pairs == Counter((a, b) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True) if a >= 0 and b >= 0)
+
+
+def test_parts_of_a_slice_meet(spark, monkeypatch):
+    """Few places in one go, few entries held, few words in a batch."""
+    for name, value in (("PLACES", 16), ("MOST_ENTRIES", 40), ("LISTED", 7), ("DENSE", 3), ("TILE", 2)):
+        monkeypatch.setattr(module, name, value)
+    rows = [("en" if i % 3 else None, t) for i, t in enumerate(texts(random.Random(9), 150))]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(map(tuple, collocations(docs, 3, 100, 4000).collect())) == sorted(brute(rows, 3, 100))
+
+
+def test_lists_of_words_are_one_value(spark, monkeypatch):
+    monkeypatch.setattr(module, "LISTED", 2)
+    docs = spark.createDataFrame([("en", "a b a c d. a"), (None, "a b")], "lang string, text string")
+    made = module.slices(docs)
+    assert dict(made.dtypes)["words"] == "binary"
+    got = Counter()
+    for lang, word, n in module.listed_words(made, "lang string, word binary, n bigint").collect():
+        got[lang, bytes(word).decode()] += n
+    assert got == {("en", "a"): 3, ("en", "b"): 1, ("en", "c"): 1, ("en", "d"): 1, ("und", "a"): 1, ("und", "b"): 1}

@@ -32,8 +32,10 @@ SLICE, TILE, DENSE = 8 << 20, 512, 1024
 MOST_SENT, MOST_WORDS, MOST_BYTES = 2_000_000, 1_000_000, 32 << 20
 #: Bits of the bitmap of frequent pairs (4 MB).
 BITS = 1 << 25
-#: A sparse coordinate list is sent on when it has so many entries.
+#: A sparse coordinate list is added up when it has so many entries, and sent on when half as many are left.
 MOST_ENTRIES = 500_000
+#: Places of a slice that a task looks at in one go, so that its arrays don't follow the slice; words of a slice's list in one batch.
+PLACES, LISTED = 1 << 18, 1 << 14
 
 _BORDER = b"\n"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BORDER * 9 + b" ")
@@ -53,6 +55,22 @@ def unsqueezed(data: bytes, kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little")), kind)
 
 
+def sealed(listed) -> bytes:
+    """A struct array of Arrow as compressed bytes: one value for Spark, which would else unpack the list of a slice's words as one row."""
+    import pyarrow as pa
+
+    batch, sink = pa.RecordBatch.from_struct_array(listed), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1), use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unsealed(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+
+
 class _Slice:
     """Texts as numbers of words in the order of their first occurrence, 0 at the borders of pieces."""
 
@@ -104,19 +122,47 @@ def _sliced(slice_bytes: int, look: int):
     return run
 
 
+def _sealed_slices(slice_bytes: int, look: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for row in _sliced(slice_bytes, look)(batches):
+            yield row.set_column(2, "words", pa.array([sealed(row.column("words")[0].values)], pa.binary()))
+
+    return run
+
+
 def slices(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
-    """(sid, tokens, own, words): slices of the texts. Those that a long text goes on in share LONGEST - 1 words with the next one; phrases count where they begin, before ``own``."""
+    """(sid, tokens, own, words): slices of the texts, and their own lists of words, ``sealed``. Those that a long text goes on in share LONGEST - 1 words with the next one; phrases count where they begin, before ``own``."""
     read = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "tokens binary, own bigint, words array<struct<id:int,lang:string,word:binary,n:bigint>>"
-    return materialize(read.mapInArrow(_sliced(slice_bytes, LONGEST - 1), schema).withColumn("sid", F.monotonically_increasing_id()))
+    return materialize(read.mapInArrow(_sealed_slices(slice_bytes, LONGEST - 1), "tokens binary, own bigint, words binary").withColumn("sid", F.monotonically_increasing_id()))
+
+
+def listed_words(texts: DataFrame, schema: str) -> DataFrame:
+    """The words of each slice's own list, a row for each: of sid, id, lang, word (bytes) and n the columns in ``schema``."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for sid, data in _rows(batches, "sid", "words"):
+            whole = unsealed(data)
+            for start in range(0, whole.num_rows, LISTED):
+                part = whole.slice(start, LISTED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, sid)) if c == "sid" else part.column(c) for c in names], names=names)
+
+    return texts.select("sid", "words").mapInArrow(run, schema)
 
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
     """``rows`` with ``id``, their place from 0 in this order: sorted in ranges, whose sizes (one number a range) are added up."""
+    import pyarrow as pa
+
     placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     sizes = sorted(placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*")).collect())
     starts = np.cumsum([0, *[n for _, n in sizes]]).tolist()
-    first = rows.sparkSession.createDataFrame([(int(p), s) for (p, _), s in zip(sizes, starts, strict=False)], "part bigint, start bigint")
+    # From Arrow, as rows of Python would start a second set of workers in each executor.
+    first = rows.sparkSession.createDataFrame(pa.table({"part": pa.array([p for p, _ in sizes], pa.int64()), "start": pa.array(starts[: len(sizes)], pa.int64())}))
     joined = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(first), "part")
     out = materialize(joined.withColumn("id", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "start", "place"))
     discard(placed)
@@ -137,10 +183,15 @@ def _summed(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return left[order][starts], right[order][starts], np.add.reduceat(n[order], starts) if len(starts) else n[:0]
 
 
-def _neighbours(ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, left, right) of the pairs of numbers that begin before ``own``."""
+def _added(entries: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _summed(*map(np.concatenate, zip(*entries, strict=True)))
+
+
+def _neighbours(ids: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, left, right) of the pairs of numbers that begin from ``start`` on and before ``stop``."""
+    ids = ids[start : stop + 1]
     places = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return places, ids[places], ids[places + 1]
+    return places + start, ids[places], ids[places + 1]
 
 
 def _rows(batches, *columns):
@@ -157,8 +208,7 @@ def _tiled(dense: int, parts: int, salts: int):
     """A task over slices: its counts, a row for each dense tile (from 0) and for each part of the sparse tiles (behind them)."""
     across = -(-dense // TILE)
 
-    def sparse(entries):
-        left, right, n = _summed(*map(np.concatenate, zip(*entries, strict=True)))
+    def sparse(left, right, n):
         part = ((left // TILE * 0x9E3779B1 + right // TILE * 0x85EBCA77) >> 8) % parts
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]][: len(order)])
@@ -172,26 +222,29 @@ def _tiled(dense: int, parts: int, salts: int):
         table, entries, held = np.zeros(dense * dense, np.int64), [], 0
         for tokens, own in _rows(batches, "ids", "own"):
             ids = unsqueezed(tokens)
-            places, left, right = _neighbours(ids, own)
-            left, right = left[places < own], right[places < own]
-            low = (left < dense) & (right < dense)
-            table += np.bincount(left[low] * dense + right[low], minlength=dense * dense)
-            left, right, n = _summed(left[~low], right[~low], np.ones(len(left) - low.sum(), np.int64))
-            if len(left):
-                entries.append((left, right, n))
-                held += len(left)
-            if held >= MOST_ENTRIES:
-                yield from sparse(entries)
-                entries, held = [], 0
+            for start in range(0, own, PLACES):
+                _, left, right = _neighbours(ids, start, min(start + PLACES, own))
+                low = (left < dense) & (right < dense)
+                table += np.bincount(left[low] * dense + right[low], minlength=dense * dense)
+                left, right, n = _summed(left[~low], right[~low], np.ones(len(left) - low.sum(), np.int64))
+                if len(left):
+                    entries.append((left, right, n))
+                    held += len(left)
+                if held >= MOST_ENTRIES:
+                    entries = [_added(entries)]
+                    held = len(entries[0][0])
+                    if held >= MOST_ENTRIES // 2:
+                        yield from sparse(*entries.pop())
+                        held = 0
         if entries:
-            yield from sparse(entries)
-        cells = np.flatnonzero(table)
-        left, right = cells // dense, cells % dense
-        tile = left // TILE * across + right // TILE
-        salt = TaskContext.get().partitionId() % salts
-        for t in np.unique(tile):
-            inside = tile == t
-            yield int(t), salt, left[inside], right[inside], table[cells[inside]]
+            yield from sparse(*_added(entries))
+        table, salt = table.reshape(dense, dense), TaskContext.get().partitionId() % salts
+        for t in range(across * across):
+            top, side = t // across * TILE, t % across * TILE
+            cells = table[top : top + TILE, side : side + TILE]
+            left, right = np.nonzero(cells)
+            if len(left):
+                yield t, salt, left + top, right + side, cells[left, right]
 
     return lambda batches: _packed(found(batches))
 
@@ -301,11 +354,11 @@ def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                sid, own, data = (batch.column(c)[i].as_py() for c in ("sid", "own", "tokens"))
-                listed = batch.column("words")[i].values
-                keys = pc.binary_join_element_wise(listed.field("lang").cast(pa.binary()), listed.field("word"), pa.scalar(b" ", pa.binary()))
+                sid, own, data, words = (batch.column(c)[i].as_py() for c in ("sid", "own", "tokens", "words"))
+                listed = unsealed(words)
+                keys = pc.binary_join_element_wise(listed.column("lang").cast(pa.binary()), listed.column("word"), pa.scalar(b" ", pa.binary()))
                 new = pc.fill_null(pc.index_in(keys, value_set=sent.value), -1).to_numpy().astype(np.int64)
-                ids = _of_words(data, own, listed.field("id").to_numpy().astype(np.int64), new)
+                ids = _of_words(data, own, listed.column("id").to_numpy().astype(np.int64), new)
                 yield pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([own], pa.int64()), pa.array([squeezed(ids)], pa.binary())], names=["sid", "own", "ids"])
 
     return materialize(texts.select("sid", "own", "tokens", "words").mapInArrow(run, "sid bigint, own bigint, ids binary"))
@@ -341,12 +394,13 @@ def _looked_up(stream: DataFrame, pairs: DataFrame) -> DataFrame:
         keys, new = sent.value
         for sid, own, data in _rows(batches, "sid", "own", "ids"):
             ids = unsqueezed(data)
-            places, left, right = _neighbours(ids, len(ids))
-            key = (left << 32) | right
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
             out = np.full(len(ids), -1, np.int64)
-            out[places[hit]] = new[at[hit]]
+            for start in range(0, len(ids), PLACES):
+                places, left, right = _neighbours(ids, start, start + PLACES)
+                key = (left << 32) | right
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                out[places[hit]] = new[at[hit]]
             yield pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([own], pa.int64()), pa.array([squeezed(out)], pa.binary())], names=["sid", "own", "ids"])
 
     return materialize(stream.select("sid", "own", "ids").mapInArrow(run, "sid bigint, own bigint, ids binary"))
@@ -358,7 +412,7 @@ def _joined(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     def listed(data: bytes):
         """(places, order, starts, left, right) of the pairs that may be frequent."""
         ids = unsqueezed(data)
-        places, left, right = _neighbours(ids, len(ids))
+        places, left, right = _neighbours(ids, 0, len(ids))
         at = _hash_bit(left, right)
         maybe = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         places, left, right = places[maybe], left[maybe], right[maybe]
@@ -406,13 +460,14 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, slice_bytes
     document count as they stand; other columns are not read. Without frequent phrases the result is empty.
     """
     texts = slices(docs, slice_bytes)
-    own = texts.select("sid", F.inline("words")).select("sid", F.col("id").alias("place"), "lang", F.col("word").cast("string").alias("word"), "n")
-    totals = materialize(own.groupBy("lang", "word").agg(F.sum("n").alias("f")))
+    word = F.col("word").cast("string").alias("word")
+    totals = materialize(listed_words(texts, "lang string, word binary, n bigint").select("lang", word, "n").groupBy("lang", "word").agg(F.sum("n").alias("f")))
     words = ranked(totals.filter(F.col("f") >= least), F.desc("f"), "lang", "word")
     size = words.agg(F.count("*"), F.sum(F.octet_length("lang") + F.octet_length("word") + 1)).first()
     if size[0] and size[0] <= MOST_WORDS and size[1] <= MOST_BYTES:
         stream = _with_words(texts, words)
     else:
+        own = listed_words(texts, "sid bigint, id int, lang string, word binary").select("sid", F.col("id").alias("place"), "lang", word)
         stream = _numbered(texts, own.join(words.select("lang", "word", "id"), ["lang", "word"]).select("sid", "place", "id"), "tokens", _of_words)
     none = F.array().cast("array<bigint>")
     known, n_ids = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("firsts"), none.alias("rests")), words.count()
