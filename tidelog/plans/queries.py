@@ -242,9 +242,8 @@ def log_of_a_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_path(spark)}.json"
     write_ocel_document(orders_log(spark, sf_dir), path)
     log = read_ocel_json(spark, path)
-    related_objects = log.relations.groupBy("eid").agg(F.count("*").alias("n"))
-    values = log.event_attrs.groupBy("eid").agg(F.sum("value").alias("v"))
-    rows = log.events.join(related_objects, "eid", "left").join(values, "eid", "left")
+    n, v = F.size("relationships"), F.aggregate("attributes", F.lit(0.0), lambda a, x: a + x["value"])
+    rows = log.gathered().select("activity", "ts", "end_ts", F.when(n > 0, n).alias("n"), F.when(F.size("attributes") > 0, v).alias("v"))
     took = (F.unix_micros("end_ts") - F.unix_micros("ts")) / 3_600_000_000
     sums = {"n_events": F.count("*"), "n_objects": F.sum("n"), "hours": F.sum(took.cast("long")), "total": F.round(F.sum("v"), 2)}
     return rows.groupBy("activity", F.date_format("ts", "yyyy-MM").alias("month")).agg(*[v.alias(k) for k, v in sums.items()])
