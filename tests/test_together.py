@@ -2,6 +2,7 @@
 
 import re
 from dataclasses import replace
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from tidelog.operators import preceding as preceding_module
 from tidelog.operators.properties import Properties
 from tidelog.operators.sweep import dyadic
-from tidelog.operators.writeback import related
+from tidelog.operators.writeback import related, with_series
+from tidelog.plans.queries import _written
 from tidelog.sources import log as log_module
-from tidelog.sources.log import atomic, ocel_rows, orders_log, read_ocel_json, write_ocel_lines
+from tidelog.sources.log import atomic, held, ocel_rows, orders_log, read_ocel_json, write_ocel_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +129,25 @@ def test_activities_told_by_numbers(spark, few, monkeypatch):
         heavy = [r["oid"] for r in log.lifecycles().orderBy(F.desc("n_events")).limit(3).collect()]
         monkeypatch.setattr(preceding_module, "_heavy", lambda log: (heavy, 4))
         assert rows(log) == apart
+
+
+@pytest.mark.parametrize("mechanism", ["starting", "ending", "contains", "overlaps"])
+@pytest.mark.parametrize("is_atomic", [True, False])
+def test_an_enriched_log_has_its_events_in_rows(spark, mechanism, is_atomic):
+    log = orders_log(spark, SF)
+    log = atomic(log) if is_atomic else log
+    p = Properties(spark, log, "QE", "mean", mechanism, is_atomic, start=date(1996, 2, 10), end=date(1997, 5, 20), event_types=("ship item",))
+    enriched = with_series(spark, p, held(p.collect(["ep1", "ep3", "op1"])))
+    listed = lambda x: sorted((r["eid"], r["activity"], r["ts"], r["end_ts"], sorted(map(tuple, r["attributes"] or [])), sorted(map(tuple, r["relationships"] or []))) for r in x.gathered().collect())
+    rows, apart = listed(enriched), listed(replace(enriched, listed=None))
+    assert rows == apart and sum(r[0].endswith("dummy_event") for r in rows) == 2
+    assert 0 < sum(any(o.startswith("ts&ep") for o, _ in r[5]) for r in rows) < len(rows)
+    assert not re.search(r"hashpartitioning\([^)]*eid#", enriched.gathered().filter("activity <> 'dummy'")._jdf.queryExecution().executedPlan().toString())
+    assert replace(enriched, event_attrs=log.event_attrs.filter("value > 1")).in_rows() is None
+
+
+def test_objects_of_a_written_log_are_made_once(spark):
+    log, p = _written(spark, SF)
+    assert "l_orderkey" not in log.objects._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in related(p, p.collect(["op1"]).limit(5))[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, p.log.objects.collect())) == sorted(map(tuple, orders_log(spark, SF).objects.collect()))
