@@ -151,3 +151,23 @@ def test_objects_of_a_written_log_are_made_once(spark):
     assert "l_orderkey" not in log.objects._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in related(p, p.collect(["op1"]).limit(5))[1]._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, p.log.objects.collect())) == sorted(map(tuple, orders_log(spark, SF).objects.collect()))
+
+
+@pytest.mark.parametrize("is_atomic", [True, False])
+@pytest.mark.parametrize("few", [0, 2, 16])
+def test_only_pairs_that_may_be_linked_twice_are_dealt_by_event(spark, few, is_atomic, monkeypatch):
+    monkeypatch.setattr(preceding_module, "FEW_OBJECTS", few)
+    log = orders_log(spark, SF)
+    # Some events have the same part and supplier as others of their order.
+    log_whole = log.whole.withColumn("objects", F.expr("transform(objects, x -> if(x.otype = 'order', x, struct(concat(x.otype, '-', pmod(xxhash64(x.oid), 3)) as oid, x.otype as otype)))"))
+    relations = log_whole.select("eid", F.inline("objects")).withColumn("qualifier", F.lit(""))
+    log = replace(log, relations=relations, together=(log.events, relations, log_whole, log.event_attrs))
+    log = atomic(log) if is_atomic else log
+    rows = lambda df: sorted(map(str, df.select("eid", "prev_eid", "prev_end", "types").collect()))
+    found = preceding_module.preceding(log, is_atomic)
+    assert rows(found) == rows(preceding_module.preceding(replace(log, together=None), is_atomic))
+    sizes = {r[0] for r in found.select(F.size("types")).distinct().collect()}
+    assert max(sizes) > 1 and 1 in sizes
+    shared = preceding_module._found(log, is_atomic, None, signed=True)[0].filter("prev_key is not null")
+    dealt = shared.filter("shared").count()
+    assert dealt == shared.count() if few == 0 else 0 < dealt < shared.count()
