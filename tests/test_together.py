@@ -171,3 +171,29 @@ def test_only_pairs_that_may_be_linked_twice_are_dealt_by_event(spark, few, is_a
     shared = preceding_module._found(log, is_atomic, None, signed=True)[0].filter("prev_key is not null")
     dealt = shared.filter("shared").count()
     assert dealt == shared.count() if few == 0 else 0 < dealt < shared.count()
+
+
+def test_all_properties_deal_no_event_for_its_values_and_no_object_twice(spark):
+    log = orders_log(spark, SF)
+    p = Properties(spark, log, "QE", "mean", "overlaps", False)
+    plan = p.collect(["ep2", "op2", "op3", "op4", "op5"])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*eid#", plan) and "hashpartitioning(oid#" in plan
+    assert "l_orderkey" not in p.lifecycles._jdf.queryExecution().optimizedPlan().toString()
+    names = ["ep2", "op2", "op4", "pp1", "pp7"]
+    together = listed(Properties(spark, log, "QE", "mean", "overlaps", False).collect(names))
+    assert together == sorted(x for name in names for x in listed(Properties(spark, replace(log, together=None), "QE", "mean", "overlaps", False).collect([name])))
+
+
+def test_times_are_numbers_of_the_longest_unit(spark):
+    log = orders_log(spark, SF)
+    for more, unit in (("0 seconds", 3_600_000_000), ("60 seconds", 60_000_000), ("1 second", 1_000_000), ("0.001 seconds", 1000), ("0.000001 seconds", 1)):
+        whole = log.whole.withColumn("end_ts", F.expr(f"end_ts + interval {more}"))
+        events = log.events.withColumn("end_ts", F.expr(f"end_ts + interval {more}"))
+        moved = replace(log, events=events, together=(events, log.relations, whole, log.event_attrs))
+        assert preceding_module._unit(moved, False) == unit and preceding_module._unit(moved, True) == 3_600_000_000
+        if unit in (1, 60_000_000):
+            rows = lambda x: sorted((r["activity"], r["start"], r["stop"], r["latest"] or 0, r["earliest"] or 0, str(r["links"])) for r in preceding_module.events_with_ends(x, False, True).collect())  # noqa: B023, E731
+            micros = rows(moved)
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(preceding_module, "_unit", lambda log, is_atomic: 1)
+                assert rows(moved) == micros
